@@ -28,13 +28,14 @@ MODEL_NAME = "stockout_risk_classifier"
 def features(sales: DataFrame, inventory: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
     """Latest stock and quantity statistics per (product, store) that has stock."""
     pair = ["product_key", "store_key"]
-    latest = inventory.groupBy(*pair).agg(F.max(F.struct("date_key", "stock_level")).alias("_latest"))
+    # By date, then by stock, in one number: the aggregate keeps two numbers per pair and hashes.
+    recency = F.col("date_key").cast("bigint") * (1 << 32) + F.coalesce("stock_level", F.lit(0))
+    latest = inventory.groupBy(*pair).agg(F.max_by("stock_level", recency).alias("current_stock"))
     stats = sales.groupBy(*pair).agg(
         F.avg("quantity").alias("avg_qty"), F.coalesce(F.stddev_samp("quantity"), F.lit(0.0)).alias("std_qty")
     )
     return (
-        latest.select(*pair, F.col("_latest.stock_level").alias("current_stock"))
-        .join(stats, pair, "left")
+        latest.join(stats, pair, "left")
         .join(products.select("product_key", "product_id", "category"), "product_key")
         .join(stores.select("store_key", "store_id"), "store_key")
         .select(

@@ -7,8 +7,10 @@ to the workspace; everything else stays a lazy DataFrame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,13 @@ class RetailModel:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
         self.work = Workspace(spark, "model-" + self.dir.strip("/").replace("/", "-"))
+        self._built: dict[str, Any] = {}
+
+    def once(self, name: str, build: Callable[[], Any]) -> Any:
+        """Value of ``build``, computed at the first call."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -55,6 +64,10 @@ class RetailModel:
 
     @cached_property
     def raw_transactions(self) -> DataFrame:
+        """Order lines as raw sales, landed once: cleaning, validation and the file readers all start here."""
+        return self.work.save(self._transactions(), "raw_transactions")
+
+    def _transactions(self) -> DataFrame:
         lines = self.table("lineitem").select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount"
         )
@@ -215,7 +228,8 @@ class RetailModel:
 
     def orders_stream(self) -> DataFrame:
         schema = self.table("events").schema
-        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.dir)
+        # As a pattern, since the stream source takes a single file only where a pattern found it.
+        stream = self.spark.readStream.schema(schema).parquet(f"{self.dir}/events.parque[t]")
         return self._orders_of(stream)
 
     # Cleaned data and star schema

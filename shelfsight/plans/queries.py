@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import basket, cleaning, dimensions, facts, governance, ingest, kpi, ops, scd, secure, stockout
 from ..schemas import LOGS, RAW, STAR, Registry, TableRule
@@ -244,8 +245,16 @@ _DRIFT_RULE = TableRule("transactions", ("transaction_id", "product_id", "store_
 _DRIFT_ORDER = ["transaction_id", "product_id", "store_id"]
 
 
+def _landed_batch(m: RetailModel) -> DataFrame:
+    return m.once("drift_batch", lambda: m.work.save(_drift_batch(m), "drift_batch"))
+
+
 def _outcome(m: RetailModel) -> governance.Outcome:
-    return governance.process("transactions", _drift_batch(m), Registry.of(_DRIFT_RULE), _DRIFT_ORDER, "batch-1", DETECTED)
+    registry = Registry.of(_DRIFT_RULE)
+    return m.once(
+        "outcome",
+        lambda: governance.process("transactions", _landed_batch(m), registry, _DRIFT_ORDER, "batch-1", DETECTED, m.work),
+    )
 
 
 def _decisions(queue: DataFrame) -> DataFrame:
@@ -254,13 +263,13 @@ def _decisions(queue: DataFrame) -> DataFrame:
 
 @query
 def v_drift_scores(m: RetailModel) -> DataFrame:
-    changes = governance.column_changes(_drift_batch(m), _DRIFT_RULE, _DRIFT_ORDER)
+    changes = governance.column_changes(_landed_batch(m), _DRIFT_RULE, _DRIFT_ORDER)
     return _rounded(changes.drop("sample_values"), 6, "confidence")
 
 
 @query
 def v_decision(m: RetailModel) -> DataFrame:
-    return governance.decide(governance.column_changes(_drift_batch(m), _DRIFT_RULE, _DRIFT_ORDER))
+    return governance.decide(governance.column_changes(_landed_batch(m), _DRIFT_RULE, _DRIFT_ORDER))
 
 
 @query
@@ -497,10 +506,13 @@ def a_model_quality(m: RetailModel) -> DataFrame:
 
 def _fed(m: RetailModel) -> str:
     """Run the order feed over the events once; the folder that holds what it wrote."""
-    out = m.work.location("feed")
-    if not files.exists(m.spark, f"{out}/orders"):
+
+    def run() -> str:
+        out = m.work.fresh("feed")
         live.run_feed(m.orders_stream(), m.rule_scores, out, STREAM_DELAY).awaitTermination()
-    return out
+        return out
+
+    return m.once("feed", run)
 
 
 def _fed_orders(m: RetailModel) -> DataFrame:
@@ -529,9 +541,8 @@ def t_messages(m: RetailModel) -> DataFrame:
 
 @query
 def t_daily_window(m: RetailModel) -> DataFrame:
-    out = m.work.location("daily_stats")
-    if not files.exists(m.spark, out):
-        live.run_daily_stats(m.orders_stream(), out, STREAM_DELAY).awaitTermination()
+    out = m.work.fresh("daily_stats")
+    live.run_daily_stats(m.orders_stream(), out, STREAM_DELAY).awaitTermination()
     return live.read_daily_stats(m.spark, out).drop("approx_customers")
 
 
@@ -619,8 +630,7 @@ def o_retention(m: RetailModel) -> DataFrame:
 @query
 def o_quarantine_retention(m: RetailModel) -> DataFrame:
     """The log is stored as a versioned table, purged, and read back."""
-    kept = ops.keep_recent(_quarantine_log(m), "timestamp", datetime(2024, 2, 10), ops.QUARANTINE_DAYS)
-    table = VersionedTable(m.spark, m.work.location("quarantine_log"), kept.schema)
+    table = VersionedTable(m.spark, m.work.fresh("quarantine_log"), _quarantine_log(m).schema)
     table.replace(_quarantine_log(m))
     table.replace(ops.keep_recent(table.read(), "timestamp", datetime(2024, 2, 10), ops.QUARANTINE_DAYS))
     return table.read()
@@ -629,12 +639,10 @@ def o_quarantine_retention(m: RetailModel) -> DataFrame:
 @query
 def w_status_updates(m: RetailModel) -> DataFrame:
     """Run events appended in two batches and folded on read."""
-    path = m.work.location("run_events")
-    log = Log(m.spark, path, LOGS["run_events"])
-    if not files.exists(m.spark, path):
-        events = _run_events(m)
-        log.append(events.where("status = 'running'"))
-        log.append(events.where("status <> 'running'"))
+    log = Log(m.spark, m.work.fresh("run_events"), LOGS["run_events"])
+    events = _run_events(m)
+    log.append(events.where("status = 'running'"))
+    log.append(events.where("status <> 'running'"))
     return ops.run_log(log.read()).groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
 
 
@@ -642,10 +650,13 @@ def w_status_updates(m: RetailModel) -> DataFrame:
 
 
 def _partitioned(m: RetailModel) -> str:
-    path = m.work.location("sales_by_month")
-    if not files.exists(m.spark, path):
+
+    def write() -> str:
+        path = m.work.fresh("sales_by_month")
         files.write_partitioned_sales(m.fact_sales, m.dim_date, m.dim_store, path)
-    return path
+        return path
+
+    return m.once("sales_by_month", write)
 
 
 @query
@@ -661,15 +672,17 @@ def o_revenue_partitioned(m: RetailModel) -> DataFrame:
 
 @query
 def w_partition_roundtrip(m: RetailModel) -> DataFrame:
-    path = _partitioned(m)
-    files.write_partitioned_sales(m.fact_sales, m.dim_date, m.dim_store, path)
+    """Written twice: the second write replaces the first."""
+    path = m.work.fresh("sales_by_month")
+    for _ in range(2):
+        files.write_partitioned_sales(m.fact_sales, m.dim_date, m.dim_store, path)
     copy = files.read_partitioned_sales(m.spark, path, STAR["fact_sales"])
     return _as_double(copy, "revenue").select("sale_id", "date_key", "revenue", "date_partition", "region")
 
 
 @query
 def w_samples(m: RetailModel) -> DataFrame:
-    path = m.work.location("samples/fact_sales")
+    path = m.work.fresh("sample_fact_sales")
     files.write_sample(m.fact_sales.select("sale_id", "date_key", "revenue"), ["date_key", "sale_id"], path)
     return files.read_csv(m.spark, path, m.fact_sales.select("sale_id", "date_key", F.col("revenue").cast("double")).schema).drop(
         files.CORRUPT
@@ -678,10 +691,9 @@ def w_samples(m: RetailModel) -> DataFrame:
 
 @query
 def s_csv_ingest(m: RetailModel) -> DataFrame:
-    path = m.work.location("raw_csv/transactions.csv")
-    if not files.exists(m.spark, path):
-        m.raw_transactions.write.option("header", True).csv(path)
-    known = RAW["transactions"].add("discount", "decimal(18,4)") if "discount" not in RAW["transactions"].names else RAW["transactions"]
+    path = m.work.fresh("transactions_csv")
+    m.raw_transactions.write.option("header", True).csv(path)
+    known = T.StructType([*RAW["transactions"].fields, T.StructField("discount", T.DecimalType(18, 4))])
     read = files.read_csv_by_name(m.spark, path, known).drop(files.CORRUPT)
     return _as_double(ingest.with_reason(read, TRANSACTION_RULE), "price", "discount")
 
@@ -689,20 +701,17 @@ def s_csv_ingest(m: RetailModel) -> DataFrame:
 @query
 def s_inventory_relabel(m: RetailModel) -> DataFrame:
     """Stock written under a header in another order than its data, read by position."""
-    path = m.work.location("raw_csv/inventory.csv")
-    if not files.exists(m.spark, path):
-        wrong = m.raw_inventory.toDF("date", "store_id", "product_id", "stock_level")
-        wrong.write.option("header", True).csv(path)
+    path = m.work.fresh("inventory_csv")
+    m.raw_inventory.toDF("date", "store_id", "product_id", "stock_level").write.option("header", True).csv(path)
     return files.read_csv(m.spark, path, RAW["inventory"]).drop(files.CORRUPT)
 
 
 @query
 def s_snapshots(m: RetailModel) -> DataFrame:
     """Customer snapshots written one directory each and read together."""
-    root = m.work.location("snapshots")
+    root = m.work.fresh("snapshots")
     schema = m.customer_snapshots.drop("snapshot_ts").schema
-    if not files.exists(m.spark, f"{root}/customers"):
-        for at in (datetime(2002, 1, 15), SNAPSHOT_AT):
-            taken = m.customer_snapshots.where(F.col("snapshot_ts") == F.lit(at)).drop("snapshot_ts")
-            files.write_snapshot(taken, root, "customers", at)
+    for at in (datetime(2002, 1, 15), SNAPSHOT_AT):
+        taken = m.customer_snapshots.where(F.col("snapshot_ts") == F.lit(at)).drop("snapshot_ts")
+        files.write_snapshot(taken, root, "customers", at)
     return files.read_snapshots(m.spark, root, "customers", schema)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,13 +46,10 @@ def read_csv_by_name(spark: SparkSession, path: str, known: T.StructType) -> Dat
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).schema
-        return True
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
+    """Whether a path exists in the file system it names; no files are listed."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
 
 
 def write_snapshot(df: DataFrame, root: str, table: str, taken_at: datetime) -> str:
@@ -98,9 +94,9 @@ def read_quarantine_log(spark: SparkSession, root: str, tables: list[str]) -> Da
 def write_partitioned_sales(sales: DataFrame, dates: DataFrame, stores: DataFrame, path: str, grain: str = "month") -> None:
     """Snappy Parquet copy of the sales fact, partitioned by date and region.
 
-    ``grain`` is ``day`` or ``month``. A region holds many stores, so the rows of one output directory
-    are spread by store before writing: a hot region on a hot day fills several files from several
-    tasks and not one file from one task. Writing twice replaces the partitions it touches.
+    ``grain`` is ``day`` or ``month``. Rows of one directory are brought together to avoid small files,
+    as a rebalance and not a repartition: adaptive execution cuts a directory that holds much of the
+    data into several tasks and files. Writing again replaces the partitions it touches.
     """
     patterns = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
     joined = (
@@ -109,9 +105,9 @@ def write_partitioned_sales(sales: DataFrame, dates: DataFrame, stores: DataFram
         .withColumn("date_partition", F.date_format("date", patterns[grain]))
         .drop("date")
     )
+    balanced = sales.sparkSession.sql("SELECT /*+ REBALANCE(date_partition, region) */ * FROM {joined}", joined=joined)
     (
-        joined.repartition("date_partition", "region", F.pmod(F.hash("sale_id"), F.lit(4)))
-        .write.mode("overwrite")
+        balanced.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
         .partitionBy("date_partition", "region")
@@ -129,8 +125,8 @@ def read_partitioned_sales(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def write_sample(df: DataFrame, order_by: list[str], path: str, rows: int | None = 200) -> None:
-    """Ordered sample as one headered CSV file."""
+    """Ordered sample as headered CSV: one file of the first rows, or the whole table in sorted files."""
     sample = df.orderBy(*order_by)
     if rows is not None:
-        sample = sample.limit(rows)
-    sample.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        sample = sample.limit(rows).coalesce(1)
+    sample.write.mode("overwrite").option("header", True).csv(path)

@@ -8,6 +8,7 @@ re-run of the whole lineage.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,10 @@ def _root(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """One folder per application; ``save`` writes a table once and reads it back."""
+    """One folder per application. ``save`` writes a table and reads it back.
+
+    Every save takes a new directory, so a DataFrame that reads an earlier one stays valid.
+    """
 
     def __init__(self, spark: SparkSession, name: str = "work") -> None:
         self.spark = spark
@@ -37,7 +41,11 @@ class Workspace:
     def location(self, name: str) -> str:
         return f"{self.path}/{name}"
 
+    def fresh(self, name: str) -> str:
+        """A location nothing has been written to yet."""
+        return f"{self.path}/{name}-{uuid.uuid4().hex[:12]}"
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        target = self.location(name)
-        df.write.mode("overwrite").parquet(target)
+        target = self.fresh(name)
+        df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
