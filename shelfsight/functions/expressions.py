@@ -72,12 +72,12 @@ def key_date(key: Column) -> Column:
 
 def ratio(top: Column, bottom: Column) -> Column:
     """Double quotient, NULL for a zero divisor."""
-    return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
+    return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
 def percent(top: Column, bottom: Column) -> Column:
     """``100 * top / bottom`` to two decimals, NULL for a zero divisor."""
-    return F.round(top.cast("double") * 100.0 / F.nullif(bottom.cast("double"), F.lit(0.0)), 2)
+    return F.round(F.try_divide(top.cast("double") * 100.0, bottom.cast("double")), 2)
 
 
 def mask_phone(phone: Column) -> Column:

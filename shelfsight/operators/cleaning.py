@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
+
 CRITICAL = ("transaction_id", "product_id", "store_id")
 SIGMAS = 3.0
 
@@ -87,8 +89,6 @@ def report(stage: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
     names = counts.columns
     as_double = counts.select(
         *(F.col(c).cast("double").alias(c) for c in names),
-        F.round(F.col("final_rows") * 100.0 / F.nullif(F.col("initial_rows").cast("double"), F.lit(0.0)), 2).alias(
-            "retention_rate"
-        ),
+        E.percent(F.col("final_rows"), F.col("initial_rows")).alias("retention_rate"),
     )
     return as_double.unpivot([], [*names, "retention_rate"], "metric", "value")

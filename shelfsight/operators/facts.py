@@ -60,12 +60,11 @@ def fact_inventory(inventory: DataFrame, products: DataFrame, stores: DataFrame)
 
 def unresolved_inventory(inventory: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
     """Number of stock rows that ``fact_inventory`` leaves out."""
-    known = inventory.join(products.select("product_id"), "product_id", "left_semi").join(
-        stores.select("store_id"), "store_id", "left_semi"
-    )
-    return inventory.agg(F.count(F.lit(1)).alias("_all")).select(
-        (F.col("_all") - known.agg(F.count(F.lit(1))).scalar()).alias("unresolved_rows")
+    known = inventory.join(products.select("product_id", "product_key"), "product_id", "left").join(
+        stores.select("store_id", "store_key"), "store_id", "left"
     )
+    absent = F.col("product_key").isNull() | F.col("store_key").isNull()
+    return known.agg(F.count_if(absent).alias("unresolved_rows"))
 
 
 def fact_shipments(shipments: DataFrame, sales: DataFrame, dates: DataFrame) -> DataFrame:
@@ -91,12 +90,10 @@ def unmatched_shipments(shipments: DataFrame, sales: DataFrame, dates: DataFrame
     keyed = shipments.select(
         F.col("transaction_id").alias("sale_id"), E.date_key(F.to_date("ship_date")).alias("date_key")
     )
-    matched = keyed.join(sales.select("sale_id"), "sale_id", "left_semi").join(
-        dates.select("date_key"), "date_key", "left_semi"
-    )
-    return keyed.agg(F.count(F.lit(1)).alias("_all")).select(
-        (F.col("_all") - matched.agg(F.count(F.lit(1))).scalar()).alias("unmatched_rows")
+    matched = keyed.join(sales.select("sale_id", F.lit(True).alias("_sale")), "sale_id", "left").join(
+        dates.select("date_key", F.lit(True).alias("_day")), "date_key", "left"
     )
+    return matched.agg(F.count_if(F.col("_sale").isNull() | F.col("_day").isNull()).alias("unmatched_rows"))
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

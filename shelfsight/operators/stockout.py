@@ -201,19 +201,18 @@ def log_rows(scored: DataFrame, at: datetime | Column, log: DataFrame, work: Wor
     return assign_keys(rows, ["timestamp", "product_id", "store_id"], "id", work, name, after=largest)
 
 
-def _with_explanation(log: DataFrame) -> DataFrame:
-    """Parse the explanation; text that is missing or not JSON gives the defaults."""
-    parsed = log.withColumn("_e", F.from_json("explanation_json", EXPLANATION))
-    defaults = {"risk_level": F.lit("Unknown"), "current_stock": F.lit(0.0), "avg_daily_demand": F.lit(0.0), "volatility_cv": F.lit(0.0)}
-    for name, default in defaults.items():
-        parsed = parsed.withColumn(name, F.coalesce(F.col(f"_e.{name}"), default))
-    return parsed.drop("_e")
+def _explained(name: str) -> Column:
+    """A part of the explanation; text that is missing or not JSON gives the default."""
+    text = F.get_json_object("explanation_json", f"$.{name}")
+    if name == "risk_level":
+        return F.coalesce(text, F.lit("Unknown")).alias(name)
+    return F.coalesce(text.try_cast("double"), F.lit(0.0)).alias(name)
 
 
 def decision_feed(log: DataFrame, rows: int = 20) -> DataFrame:
     """Newest decisions in the words the feed shows."""
     newest = log.orderBy(F.desc("timestamp"), F.desc("id")).limit(rows)
-    return _with_explanation(newest).select(
+    return newest.select(
         F.concat(F.lit("ML-"), F.col("id").cast("string")).alias("decision_id"),
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
         F.col("model_name").alias("decision_type"),
@@ -222,7 +221,7 @@ def decision_feed(log: DataFrame, rows: int = 20) -> DataFrame:
             "action"
         ),
         "confidence",
-        F.concat("risk_level", F.lit(" stockout risk")).alias("impact"),
+        F.concat(_explained("risk_level"), F.lit(" stockout risk")).alias("impact"),
         F.lit("executed").alias("status"),
     )
 
@@ -235,10 +234,11 @@ def latest_risks(log: DataFrame, products: DataFrame, stores: DataFrame, rows: i
     """
     pair = ["product_id", "store_id"]
     last = log.groupBy(*pair).agg(F.max("timestamp").alias("timestamp"))
-    current = _with_explanation(log.join(last, [*pair, "timestamp"], "left_semi"))
+    current = log.join(last, [*pair, "timestamp"], "left_semi").withColumn("risk_level", _explained("risk_level"))
     days = F.round(E.ratio(F.col("current_stock"), F.col("avg_daily_demand")), 1)
     return (
         current.where(F.col("risk_level").isin("High", "Critical"))
+        .select("*", _explained("current_stock"), _explained("avg_daily_demand"))
         .join(products.select("product_id", F.col("name").alias("product_name")), "product_id")
         .join(stores.select("store_id", "store_name"), "store_id")
         .withColumn("days_remaining", days)
@@ -262,17 +262,9 @@ def latest_risks(log: DataFrame, products: DataFrame, stores: DataFrame, rows: i
 def reasoning(log: DataFrame, rows: int = 50) -> DataFrame:
     """Newest predictions with the factors behind them."""
     newest = log.orderBy(F.desc("timestamp"), F.desc("id")).limit(rows)
-    return _with_explanation(newest).select(
-        "id",
-        "timestamp",
-        "store_id",
-        "product_id",
-        "prediction",
-        "confidence",
-        "risk_level",
-        "current_stock",
-        "avg_daily_demand",
-        "volatility_cv",
+    factors = ("risk_level", "current_stock", "avg_daily_demand", "volatility_cv")
+    return newest.select(
+        "id", "timestamp", "store_id", "product_id", "prediction", "confidence", *(_explained(f) for f in factors)
     )
 
 

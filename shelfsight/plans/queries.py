@@ -249,12 +249,28 @@ def _landed_batch(m: RetailModel) -> DataFrame:
     return m.once("drift_batch", lambda: m.work.save(_drift_batch(m), "drift_batch"))
 
 
-def _outcome(m: RetailModel) -> governance.Outcome:
-    registry = Registry.of(_DRIFT_RULE)
-    return m.once(
-        "outcome",
-        lambda: governance.process("transactions", _landed_batch(m), registry, _DRIFT_ORDER, "batch-1", DETECTED, m.work),
-    )
+def _governed(m: RetailModel) -> tuple[Log, Log]:
+    """Change log and approval queue after the batch went through governance."""
+
+    def run() -> tuple[Log, Log]:
+        outcome = governance.process(
+            "transactions", _landed_batch(m), Registry.of(_DRIFT_RULE), _DRIFT_ORDER, "batch-1", DETECTED, m.work
+        )
+        changes = Log(m.spark, m.work.fresh("schema_change_log"), LOGS["schema_change_log"])
+        queue = Log(m.spark, m.work.fresh("schema_approval_queue"), LOGS["schema_approval_queue"])
+        changes.append(outcome.log)
+        queue.append(outcome.queue)
+        return changes, queue
+
+    return m.once("governed", run)
+
+
+def _change_log(m: RetailModel) -> DataFrame:
+    return _governed(m)[0].read()
+
+
+def _queue(m: RetailModel) -> DataFrame:
+    return _governed(m)[1].read()
 
 
 def _decisions(queue: DataFrame) -> DataFrame:
@@ -274,37 +290,36 @@ def v_decision(m: RetailModel) -> DataFrame:
 
 @query
 def v_change_log(m: RetailModel) -> DataFrame:
-    log = _outcome(m).log
+    log = _change_log(m)
     kept = ("table_name", "change_type", "column_name", "old_value", "new_value", "confidence_score", "status", "affected_rows")
     return _rounded(log.select(*kept), 6, "confidence_score")
 
 
 @query
 def v_queue_expanded(m: RetailModel) -> DataFrame:
-    expanded = governance.expand_decision(_outcome(m).queue)
+    expanded = governance.expand_decision(_queue(m))
     return _rounded(expanded.select("type", "column", "confidence", "data_type"), 6, "confidence")
 
 
 @query
 def v_pending(m: RetailModel) -> DataFrame:
-    return governance.pending_requests(_outcome(m).queue).select("table_name", "action", "reason")
+    return governance.pending_requests(_queue(m)).select("table_name", "action", "reason")
 
 
 @query
 def v_approved(m: RetailModel) -> DataFrame:
-    outcome = _outcome(m)
-    resolved = governance.resolve_changes(outcome.log, outcome.queue, _decisions(outcome.queue))
+    resolved = governance.resolve_changes(_change_log(m), _queue(m), _decisions(_queue(m)))
     return resolved.select("column_name", "status", "approved_by", "approved_at")
 
 
 @query
 def v_history(m: RetailModel) -> DataFrame:
-    return _rounded(governance.change_history(_outcome(m).log, 20), 6, "confidence_score")
+    return _rounded(governance.change_history(_change_log(m), 20), 6, "confidence_score")
 
 
 @query
 def v_summary(m: RetailModel) -> DataFrame:
-    return governance.change_summary(_outcome(m).log)
+    return governance.change_summary(_change_log(m))
 
 
 # Warehouse
@@ -371,7 +386,8 @@ def d_row_counts(m: RetailModel) -> DataFrame:
 
 
 def _newest(m: RetailModel) -> DataFrame:
-    return files.latest_per_key(m.customer_snapshots, "customer_id", "snapshot_ts").drop("snapshot_ts")
+    newest = files.latest_per_key(m.customer_snapshots, "customer_id", "snapshot_ts").drop("snapshot_ts")
+    return m.once("newest", lambda: m.work.save(newest, "newest_customers"))
 
 
 def _after(m: RetailModel) -> DataFrame:
