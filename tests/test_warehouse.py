@@ -1,0 +1,178 @@
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from shelfsight.functions import expressions as E
+from shelfsight.functions.keys import assign_keys
+from shelfsight.operators import dimensions, facts, ops
+from shelfsight.schemas import LOGS, STAR
+from shelfsight.sources import files
+from shelfsight.sources.tables import Log, VersionedTable
+
+AT = datetime(2024, 1, 1)
+
+
+def test_keys_are_ranks(spark, work):
+    df = spark.range(5000).select(F.format_string("ID%05d", 4999 - F.col("id")).alias("k")).repartition(7)
+    keyed = assign_keys(df, ["k"], "n", work, "ranked")
+    assert [r["n"] for r in keyed.orderBy("k").collect()] == list(range(1, 5001))
+    more = assign_keys(df.limit(3), ["k"], "n", work, "ranked", after=keyed.agg(F.max("n")).scalar())
+    assert rows(more, "n") == [(5001,), (5002,), (5003,)]
+    assert assign_keys(df.limit(0), ["k"], "n", work, "ranked").count() == 0
+
+
+def test_calendar(spark):
+    festival = spark.createDataFrame([(date(2024, 3, 25), "Holi")], "date date, festival_name string")
+    days = dimensions.dim_date(spark, date(2024, 1, 1), date(2024, 12, 31), festival)
+    assert days.count() == 366
+    assert rows(days.where("date_key in (20240229, 20240324, 20240325)"), "date_key", "is_weekend", "is_holiday", "festival_name") == [
+        (20240229, False, False, None),
+        (20240324, True, False, None),
+        (20240325, False, True, "Holi"),
+    ]
+    assert days.schema.names == STAR["dim_date"].names
+
+
+def test_key_round_trip(spark):
+    days = dimensions.dim_date(spark, date(1999, 12, 1), date(2004, 3, 1))
+    assert days.where(E.key_date(F.col("date_key")) != F.col("date")).count() == 0
+
+
+@pytest.fixture
+def star(spark, work):
+    customers = spark.createDataFrame(
+        [("C1", "Ann", "a@x.org", "123", "Delhi"), ("C2", "Bo", None, None, "Pune")],
+        "customer_id string, name string, email string, phone string, city string",
+    )
+    products = spark.createDataFrame(
+        [("P1", "Pen", "Toys", Decimal("10.00"), Decimal("6.00"))],
+        "product_id string, product_name string, category string, base_price decimal(12,2), cost_price decimal(12,2)",
+    )
+    stores = spark.createDataFrame(
+        [("S1", "One", " mumbai "), ("S2", "Two", "Kolkata"), ("S3", "Three", "Nowhere"), ("S4", "Four", None)],
+        "store_id string, store_name string, city string",
+    )
+    return {
+        "dates": dimensions.dim_date(spark, date(2024, 1, 1), date(2024, 12, 31)),
+        "customers": dimensions.dim_customer(customers, AT, work),
+        "products": dimensions.dim_product(products, work),
+        "stores": dimensions.dim_store(stores, work),
+    }
+
+
+def test_dimensions(star):
+    assert rows(star["products"]) == [(1, "P1", "Pen", "Toys", None, Decimal("10.00"))]
+    assert rows(star["stores"], "store_key", "region") == [(1, "West"), (2, "East"), (3, "Unknown"), (4, "Unknown")]
+    assert rows(star["customers"], "customer_key", "customer_id", "is_current", "version") == [(1, "C1", True, 1), (2, "C2", True, 1)]
+    assert rows(dimensions.store_region_counts(star["stores"])) == [("East", 1), ("Unknown", 2), ("West", 1)]
+
+
+def sales(spark, star):
+    cleaned = spark.createDataFrame(
+        [
+            ("T1", datetime(2024, 2, 28, 10), "S1", "C1", "P1", 3, Decimal("10.00"), Decimal("1.5000")),
+            ("T2", datetime(2024, 3, 1), "S1", "C1", "P1", 1, Decimal("10.00"), None),
+            ("T3", datetime(2024, 3, 1), "S1", None, "P1", 1, Decimal("10.00"), None),
+            ("T4", datetime(2024, 3, 1), "S1", "C1", "P9", 1, Decimal("10.00"), None),
+            ("T5", datetime(2025, 3, 1), "S1", "C1", "P1", 1, Decimal("10.00"), None),
+        ],
+        "transaction_id string, date timestamp, store_id string, customer_id string, product_id string, quantity int, "
+        "price decimal(12,2), discount decimal(18,4)",
+    )
+    return facts.fact_sales(cleaned, star["customers"], star["products"], star["stores"], star["dates"])
+
+
+def test_sales_keep_known_keys_only(spark, star):
+    assert rows(sales(spark, star)) == [
+        ("T1", 20240228, 1, 1, 1, 3, Decimal("28.5000"), Decimal("1.5000")),
+        ("T2", 20240301, 1, 1, 1, 1, Decimal("10.0000"), Decimal("0.0000")),
+    ]
+
+
+def test_inventory(spark, star):
+    stock = spark.createDataFrame(
+        [("S1", "P1", "2024-01-31", 5), ("S9", "P1", "2024-01-31", 5), ("S1", "P9", "2024-01-31", 5)],
+        "store_id string, product_id string, date string, stock_level int",
+    )
+    assert rows(facts.fact_inventory(stock, star["products"], star["stores"])) == [(None, 20240131, 1, 1, 5, 20)]
+    assert facts.unresolved_inventory(stock, star["products"], star["stores"]).first()[0] == 2
+
+
+def test_shipment_days_are_full_periods(spark, star):
+    sold = sales(spark, star)
+    shipments = spark.createDataFrame(
+        [
+            ("A", "T1", datetime(2024, 2, 28, 23), datetime(2024, 2, 29, 1)),
+            ("B", "T1", datetime(2024, 2, 28), datetime(2024, 3, 5)),
+            ("C", "T2", datetime(2024, 3, 1), None),
+            ("D", "T9", datetime(2024, 3, 1), datetime(2024, 3, 2)),
+            ("E", "T2", datetime(2023, 3, 1), datetime(2024, 3, 2)),
+        ],
+        "shipment_id string, transaction_id string, ship_date timestamp, delivery_date timestamp",
+    )
+    made = facts.fact_shipments(shipments, sold, star["dates"])
+    assert rows(made, "shipment_id", "delivery_time", "on_time_flag") == [("A", 0, True), ("B", 6, False), ("C", None, False)]
+    assert facts.unmatched_shipments(shipments, sold, star["dates"]).first()[0] == 2
+
+
+def test_verification_and_counts(spark, star):
+    with pytest.raises(RuntimeError, match="brand_new"):
+        facts.verify_columns({"t": star["dates"]}, {"t": ["date_key", "brand_new"]})
+    with pytest.raises(RuntimeError, match="gone"):
+        facts.verify_columns({}, {"gone": []})
+    counted = facts.row_counts({"a": star["dates"], "b": star["dates"].limit(0)})
+    assert rows(counted) == [("a", 366, False), ("b", 0, True)]
+
+
+def test_partitioned_copy_prunes_and_rewrites(spark, star, tmp_path):
+    sold, path = sales(spark, star), str(tmp_path / "by_day")
+    for _ in range(2):
+        files.write_partitioned_sales(sold, star["dates"], star["stores"], path, grain="day")
+    schema = STAR["fact_sales"]
+    assert files.read_partitioned_sales(spark, path, schema).count() == 2
+    one = files.read_partitioned_sales(spark, path, schema, F.col("date_partition") == "2024-03-01")
+    assert rows(one, "sale_id", "region") == [("T2", "West")]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date_partition" in plan
+    assert ops.revenue_of_day(one, 20240301).first()["revenue"] == ops.revenue_of_day(sold, 20240301).first()["revenue"] == 10.0
+    files.write_partitioned_sales(sold.limit(0), star["dates"], star["stores"], path, grain="day")
+    assert files.read_partitioned_sales(spark, path, schema).count() == 2
+
+
+def test_versioned_table(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), STAR["dim_store"])
+    assert table.version() is None and table.read().count() == 0
+    table.replace(spark.createDataFrame([(1, "a", "b", "c", "d"), (2, "a", "b", "c", None)], STAR["dim_store"]))
+    before = table.read()
+    assert table.delete_where(F.col("region") == "d") == 2
+    assert rows(table.read(), "store_key") == [(2,)]
+    assert before.count() == 2
+
+
+def test_log_folds_to_the_latest(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "log"), LOGS["run_events"])
+    assert log.read().count() == 0
+    event = lambda *row: spark.createDataFrame([row], LOGS["run_events"])
+    log.append(event(1, "p", datetime(2024, 1, 1), "running", None, None, None))
+    log.append(event(2, "p", datetime(2024, 1, 2), "running", None, None, None))
+    log.append(event(1, "p", datetime(2024, 1, 1, 0, 1), "success", 10, 2, None))
+    runs = ops.run_log(log.read())
+    assert rows(runs, "run_id", "status", "rows_processed", "duration_seconds") == [(1, "success", 10, 60.0), (2, "running", None, None)]
+    assert ops.success_rate(ops.run_history(runs)).first().asDict() == {"runs": 2, "success_rate_pct": 50.0}
+    assert ops.run_history(runs, 1).first()["run_id"] == 2
+    assert rows(ops.keep_recent(runs, "start_time", datetime(2024, 1, 3, 5), 1), "run_id") == [(2,)]
+
+
+def test_quarantine_rate(spark):
+    log = spark.createDataFrame([(datetime(2024, 1, 1, 10, m),) for m in range(60)], "timestamp timestamp")
+    assert ops.quarantine_rate(log, datetime(2024, 1, 1, 11, 0)).first().asDict() == {"issue_count": 30, "is_high": False}
+    assert ops.quarantine_rate(log, datetime(2024, 1, 1, 11, 0), limit=29).first()["is_high"]
+
+
+def test_sample_export(spark, star, tmp_path):
+    files.write_sample(star["dates"], ["date_key"], str(tmp_path / "s"), 5)
+    parts = list((tmp_path / "s").glob("part-*"))
+    assert len(parts) == 1 and len(parts[0].read_text().splitlines()) == 6
