@@ -100,18 +100,25 @@ TABLES = {
         SELECT customer_id, name, email, phone, city FROM (
             SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY snapshot_ts DESC) AS rn FROM snapshots)
         WHERE rn = 1""",
+    "new_customers": """
+        SELECT (SELECT max(customer_key) FROM dim_customer) + row_number() OVER (ORDER BY customer_id) AS customer_key,
+               customer_id, min(name) AS name, min(email) AS email, min(phone) AS phone, min(city) AS city,
+               TIMESTAMP '2002-02-01 00:00:00' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, true AS is_current,
+               1 AS version
+        FROM snapshots WHERE customer_id NOT IN (SELECT customer_id FROM dim_customer) GROUP BY customer_id""",
+    "dim_extended": "SELECT * FROM dim_customer UNION ALL SELECT * FROM new_customers",
     "changed": """
         SELECT n.customer_id, n.name, n.email, n.phone, n.city, d.version AS current_version
-        FROM newest n JOIN dim_customer d ON n.customer_id = d.customer_id
+        FROM newest n JOIN dim_extended d ON n.customer_id = d.customer_id
         WHERE d.is_current AND coalesce(n.city, '') <> coalesce(d.city, '')""",
     "dim_customer_after": """
         SELECT customer_key, customer_id, name, email, phone, city, valid_from,
                CASE WHEN is_current AND customer_id IN (SELECT customer_id FROM changed)
                     THEN TIMESTAMP '2002-02-01 00:00:00' ELSE valid_to END AS valid_to,
                is_current AND customer_id NOT IN (SELECT customer_id FROM changed) AS is_current, version
-        FROM dim_customer
+        FROM dim_extended
         UNION ALL
-        SELECT (SELECT max(customer_key) FROM dim_customer) + row_number() OVER (ORDER BY customer_id), customer_id, name,
+        SELECT (SELECT max(customer_key) FROM dim_extended) + row_number() OVER (ORDER BY customer_id), customer_id, name,
                email, phone, city, TIMESTAMP '2002-02-01 00:00:00', NULL, true, current_version + 1
         FROM changed""",
     "dim_product": f"""
@@ -486,12 +493,7 @@ FINAL = {
         for t in ("dim_date", "dim_customer", "dim_product", "dim_store", "fact_sales", "fact_inventory", "fact_shipments")
     ),
     "e_latest_snapshot": "SELECT * FROM newest",
-    "e_new_customers": """
-        SELECT (SELECT max(customer_key) FROM dim_customer) + row_number() OVER (ORDER BY customer_id) AS customer_key,
-               customer_id, min(name) AS name, min(email) AS email, min(phone) AS phone, min(city) AS city,
-               TIMESTAMP '2002-02-01 00:00:00' AS valid_from, CAST(NULL AS TIMESTAMP) AS valid_to, true AS is_current,
-               1 AS version
-        FROM snapshots WHERE customer_id NOT IN (SELECT customer_id FROM dim_customer) GROUP BY customer_id""",
+    "e_new_customers": "SELECT * FROM new_customers",
     "e_changed_customers": "SELECT * FROM changed",
     "e_scd2_apply": "SELECT * FROM dim_customer_after",
     "e_scd2_checks": """

@@ -390,8 +390,19 @@ def _newest(m: RetailModel) -> DataFrame:
     return m.once("newest", lambda: m.work.save(newest, "newest_customers"))
 
 
+def _extended(m: RetailModel) -> DataFrame:
+    """The dimension with first versions of the customers it did not hold."""
+
+    def build() -> DataFrame:
+        added = scd.new_customers(m.dim_customer, m.customer_snapshots, SNAPSHOT_AT, m.work)
+        return m.work.save(m.dim_customer.unionByName(added), "dim_customer_extended")
+
+    return m.once("dim_customer_extended", build)
+
+
 def _after(m: RetailModel) -> DataFrame:
-    return scd.apply_snapshot(m.dim_customer, _newest(m), SNAPSHOT_AT, m.work)
+    after = lambda: scd.apply_snapshot(_extended(m), _newest(m), SNAPSHOT_AT, m.work)
+    return m.once("dim_customer_after", lambda: m.work.save(after(), "dim_customer_after"))
 
 
 @query
@@ -406,7 +417,7 @@ def e_new_customers(m: RetailModel) -> DataFrame:
 
 @query
 def e_changed_customers(m: RetailModel) -> DataFrame:
-    return scd.changed_customers(m.dim_customer, _newest(m))
+    return scd.changed_customers(_extended(m), _newest(m))
 
 
 @query
@@ -416,7 +427,7 @@ def e_scd2_apply(m: RetailModel) -> DataFrame:
 
 @query
 def e_scd2_checks(m: RetailModel) -> DataFrame:
-    return scd.checks(m.work.save(_after(m), "dim_customer_after"), _newest(m))
+    return scd.checks(_after(m), _newest(m))
 
 
 # Role views
