@@ -1,14 +1,15 @@
 """Cleaning of raw transactions and the report on what each step did.
 
-Both outputs start from ``staged``: one row per transaction id, its number of copies and a flag per
-step. Grouping keeps one row per id on the map side, so an id with many copies is never gathered.
+Both outputs start from ``staged``: one row per transaction id with a flag per step. Spark pushes the
+"first row per id" below the shuffle, so map tasks send one row per id and an id with many copies is
+never gathered.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -24,14 +25,9 @@ def staged(raw: DataFrame, as_of: datetime, order_by: list[str] | None = None) -
     NULL ids count as one id.
     """
     has_discount = "discount" in raw.columns
-    rest = [c for c in raw.columns if c != "transaction_id"]
-    order = order_by or rest
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    one_each = (
-        raw.groupBy("transaction_id")
-        .agg(first.alias("_first"), F.count(F.lit(1)).alias("copies"))
-        .select("transaction_id", "copies", "_first.*")
-    )
+    order = order_by or [c for c in raw.columns if c != "transaction_id"]
+    place = F.row_number().over(Window.partitionBy("transaction_id").orderBy(*order))
+    one_each = raw.withColumn("_place", place).where("_place = 1").drop("_place")
     stamp = one_each.schema["date"].dataType.simpleString()
     when = F.try_to_timestamp("date") if stamp == "string" else F.col("date").cast("timestamp")
     return (
@@ -67,17 +63,18 @@ def cleaned(stage: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
     """Rows that survive every step, with anomalous prices flagged and kept."""
     kept = stage.where(_kept())
     flag = F.coalesce(F.col("price").cast("double") > _threshold(kept, sigmas), F.lit(False))
-    dropped = ("copies", "discount_was_null", "is_complete", "price_was_negative", "has_quantity", "is_past")
+    dropped = ("discount_was_null", "is_complete", "price_was_negative", "has_quantity", "is_past")
     return kept.withColumn("is_anomaly", flag).drop(*dropped)
 
 
-def report(stage: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
+def report(raw: DataFrame, stage: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
     """(metric, value) rows: what each step removed or repaired, plus the retention rate in percent."""
     limit = _threshold(stage.where(_kept()), sigmas)
+    initial = raw.agg(F.count(F.lit(1))).scalar()
     complete, quantity, past = F.col("is_complete"), F.col("has_quantity"), F.col("is_past")
     counts = stage.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("initial_rows"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates_removed"),
+        initial.alias("initial_rows"),
+        (initial - F.count(F.lit(1))).alias("duplicates_removed"),
         F.count_if("discount_was_null").alias("nulls_fixed"),
         F.count_if(~complete).alias("critical_rows_removed"),
         F.count_if(complete & F.col("price_was_negative")).alias("invalid_values_fixed"),

@@ -182,7 +182,7 @@ def c_clean(m: RetailModel) -> DataFrame:
 
 @query
 def c_report(m: RetailModel) -> DataFrame:
-    return cleaning.report(m.staged)
+    return cleaning.report(m.raw_transactions, m.staged)
 
 
 @query
@@ -621,7 +621,7 @@ def o_run_log(m: RetailModel) -> DataFrame:
 
 @query
 def o_run_metrics(m: RetailModel) -> DataFrame:
-    return ops.run_metrics(cleaning.report(m.staged), 1, DETECTED).drop("timestamp")
+    return ops.run_metrics(cleaning.report(m.raw_transactions, m.staged), 1, DETECTED).drop("timestamp")
 
 
 @query

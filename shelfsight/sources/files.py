@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,10 +68,9 @@ def read_snapshots(spark: SparkSession, root: str, table: str, schema: T.StructT
 
 def latest_per_key(df: DataFrame, key: str, version: str, *tie_break: str) -> DataFrame:
     """Newest row per key. Map tasks keep one row per key, so a hot key never travels whole."""
-    order = F.struct(F.col(version), *(F.col(c) for c in tie_break))
-    rest = [c for c in df.columns if c != key]
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return newest.select(key, "_row.*").select(*df.columns)
+    order = [F.desc(version), *(F.desc(c) for c in tie_break)]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def write_quarantine(df: DataFrame, root: str, table: str, at: datetime) -> None:

@@ -32,13 +32,17 @@ RAW = [
 ]
 
 
-def staged(spark, data=RAW):
-    return cleaning.staged(spark.createDataFrame(data, SCHEMA), AS_OF)
+def staged(raw):
+    return cleaning.staged(raw, AS_OF)
+
+
+def report_of(raw):
+    return {r["metric"]: r["value"] for r in cleaning.report(raw, staged(raw)).collect()}
 
 
 def test_steps_and_report(spark):
-    stage = staged(spark)
-    report = {r["metric"]: r["value"] for r in cleaning.report(stage).collect()}
+    raw = spark.createDataFrame(RAW, SCHEMA)
+    report = report_of(raw)
     assert report == {
         "initial_rows": 12.0,
         "duplicates_removed": 2.0,
@@ -53,8 +57,7 @@ def test_steps_and_report(spark):
     }
     removed = ("duplicates_removed", "critical_rows_removed", "invalid_quantity_removed", "future_rows_removed")
     assert report["initial_rows"] - sum(report[r] for r in removed) == report["final_rows"]
-    kept = cleaning.cleaned(stage)
-    assert rows(kept, "transaction_id", "price", "discount") == [
+    assert rows(cleaning.cleaned(staged(raw)), "transaction_id", "price", "discount") == [
         ("T1", Decimal("12.00"), Decimal("1.0000")),
         ("T2", Decimal("10.00"), Decimal("0.0000")),
         ("T4", Decimal("5.00"), Decimal("1.0000")),
@@ -64,27 +67,31 @@ def test_steps_and_report(spark):
 
 def test_declared_order_decides_which_copy_is_first(spark):
     raw = spark.createDataFrame(RAW[:2], SCHEMA)
-    first = cleaning.staged(raw, AS_OF, order_by=["price"]).first()
-    assert first["price"] == Decimal("10.00") and first["copies"] == 2
+    assert rows(cleaning.staged(raw, AS_OF, order_by=["price"]), "price") == [(Decimal("10.00"),)]
+    assert rows(staged(raw), "price") == [(Decimal("12.00"),)]
 
 
 def test_absent_discount_column(spark):
     raw = spark.createDataFrame(RAW, SCHEMA).drop("discount")
-    stage = cleaning.staged(raw, AS_OF)
-    report = {r["metric"]: r["value"] for r in cleaning.report(stage).collect()}
-    assert report["nulls_fixed"] == 0.0
-    assert {r["discount"] for r in cleaning.cleaned(stage).collect()} == {Decimal("0.0000")}
+    assert report_of(raw)["nulls_fixed"] == 0.0
+    assert {r["discount"] for r in cleaning.cleaned(staged(raw)).collect()} == {Decimal("0.0000")}
 
 
 def test_anomalies_are_flagged_and_kept(spark):
     data = [line(f"T{i}") for i in range(30)] + [line("X", price="900.00")]
-    kept = cleaning.cleaned(staged(spark, data))
+    kept = cleaning.cleaned(staged(spark.createDataFrame(data, SCHEMA)))
     assert kept.count() == 31
     assert [r["transaction_id"] for r in kept.where("is_anomaly").collect()] == ["X"]
 
 
 def test_empty_input(spark):
-    stage = staged(spark, [])
-    assert cleaning.cleaned(stage).count() == 0
-    report = {r["metric"]: r["value"] for r in cleaning.report(stage).collect()}
+    raw = spark.createDataFrame([], SCHEMA)
+    assert cleaning.cleaned(staged(raw)).count() == 0
+    report = report_of(raw)
     assert report["initial_rows"] == 0.0 and report.get("retention_rate") is None
+
+
+def test_many_copies_are_cut_before_the_shuffle(spark):
+    plan = staged(spark.createDataFrame(RAW, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    exchange = plan.index("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in plan[exchange:]
