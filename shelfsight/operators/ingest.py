@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RAW, Registry, TableRule
+from ..schemas import RAW, Registry, TableRule, raw_fields
 from ..sources import files
 
 REASON = "quarantine_reason"
@@ -78,7 +78,7 @@ class BatchIngest:
         if table == "inventory":
             df = files.read_csv(self.spark, path, RAW[table])
         else:
-            df = files.read_csv_by_name(self.spark, path, RAW.get(table))
+            df = files.read_csv_by_name(self.spark, path, raw_fields(table))
         df = df.drop(files.CORRUPT)
         counts = row_counts(df, rule).first()
         if counts["quarantined_rows"]:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, dimensions, facts, stockout
 from ..schemas import LOGS, TableRule
+from ..session import fit_shuffles
+from ..sources import files
 from ..workspace import Workspace
 
 AS_OF = datetime(2002, 1, 1)
@@ -50,6 +52,8 @@ class RetailModel:
         self.spark, self.dir = spark, sf_dir.rstrip("/")
         self.work = Workspace(spark, "model-" + self.dir.strip("/").replace("/", "-"))
         self._built: dict[str, Any] = {}
+        # Order lines are by far the largest input, and about four times their Parquet size as rows.
+        fit_shuffles(spark, 4 * files.stored_bytes(spark, f"{self.dir}/lineitem.parquet"))
 
     def once(self, name: str, build: Callable[[], Any]) -> Any:
         """Value of ``build``, computed at the first call."""

@@ -613,15 +613,20 @@ FINAL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _with_tables(sql) for name, sql in FINAL.items()}
+    found = {name: _with_tables(sql, TABLES) for name, sql in FINAL.items()}
+    # A batch run rejects rows without a required value before it looks for copies.
+    required = " AND ".join(f"{c} IS NOT NULL" for c in ("transaction_id", "product_id", "store_id", "date", "quantity", "price"))
+    accepted = f"SELECT * FROM ({TABLES['raw_transactions']}) WHERE {required}"
+    found["o_batch_flow"] = _with_tables(FINAL["d_fact_sales"], {**TABLES, "raw_transactions": accepted})
+    return found
 
 
-def _with_tables(final: str) -> str:
+def _with_tables(final: str, tables: dict[str, str]) -> str:
     """Prefix a query with the common tables it needs, in dependency order."""
     needed: list[str] = []
 
     def visit(sql: str) -> None:
-        for name, body in TABLES.items():
+        for name, body in tables.items():
             if name not in needed and re.search(rf"\b{name}\b", sql) and body is not sql:
                 visit(body)
                 if name not in needed:
@@ -630,4 +635,4 @@ def _with_tables(final: str) -> str:
     visit(final)
     if not needed:
         return final
-    return "WITH " + ",\n".join(f"{name} AS ({TABLES[name]})" for name in needed) + "\n" + final
+    return "WITH " + ",\n".join(f"{name} AS ({tables[name]})" for name in needed) + "\n" + final

@@ -7,14 +7,17 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import basket, cleaning, dimensions, facts, governance, ingest, kpi, ops, scd, secure, stockout
-from ..schemas import LOGS, RAW, STAR, Registry, TableRule
+from ..schemas import LOGS, RAW, STAR, Registry, TableRule, raw_fields
 from ..sources import files
 from ..sources.tables import Log, VersionedTable
 from ..streaming import orders as live
+from .flow import Warehouse, run_batch
 from .model import (
+    AS_OF,
+    FIRST_DAY,
+    LAST_DAY,
     FREQUENCY,
     MOVEMENT,
     REGIONS,
@@ -673,6 +676,39 @@ def w_status_updates(m: RetailModel) -> DataFrame:
     return ops.run_log(log.read()).groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
 
 
+# The whole batch
+
+
+def _write_raw(m: RetailModel) -> str:
+    """Raw inputs as the CSV files a batch starts from."""
+    folder = m.work.fresh("raw_csv")
+    shipments = m.raw_shipments.withColumn("courier", F.lit("Any"))
+    inputs = {
+        "customers": m.raw_customers,
+        "products": m.raw_products,
+        "stores": m.raw_stores,
+        "inventory": m.raw_inventory,
+        "transactions": m.raw_transactions,
+        "shipments": shipments,
+    }
+    for name, df in inputs.items():
+        df.write.option("header", True).csv(f"{folder}/{name}.csv")
+    return folder
+
+
+@query
+def o_batch_flow(m: RetailModel) -> DataFrame:
+    """Ingest, cleaning and warehouse build in one run from CSV files; the sales it arrives at."""
+
+    def run() -> Warehouse:
+        warehouse = Warehouse(m.spark, m.work.fresh("warehouse"))
+        run_batch(warehouse, _write_raw(m), AS_OF, 1, FIRST_DAY, LAST_DAY, work=m.work, regions=REGIONS)
+        return warehouse
+
+    sales = m.once("batch_flow", run).table("fact_sales")
+    return _as_double(sales, "revenue", "discount")
+
+
 # Layout, files
 
 
@@ -720,8 +756,7 @@ def w_samples(m: RetailModel) -> DataFrame:
 def s_csv_ingest(m: RetailModel) -> DataFrame:
     path = m.work.fresh("transactions_csv")
     m.raw_transactions.write.option("header", True).csv(path)
-    known = T.StructType([*RAW["transactions"].fields, T.StructField("discount", T.DecimalType(18, 4))])
-    read = files.read_csv_by_name(m.spark, path, known).drop(files.CORRUPT)
+    read = files.read_csv_by_name(m.spark, path, raw_fields("transactions")).drop(files.CORRUPT)
     return _as_double(ingest.with_reason(read, TRANSACTION_RULE), "price", "discount")
 
 

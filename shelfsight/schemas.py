@@ -52,6 +52,9 @@ RAW = {
     ),
 }
 
+# Columns a raw input may have beyond those above.
+OPTIONAL = {"transactions": _struct(f"discount {MONEY}"), "products": _struct("brand string")}
+
 STAR = {
     "dim_date": _struct(
         "date_key int, date date, year int, month int, day int, is_weekend boolean, is_holiday boolean, "
@@ -145,6 +148,16 @@ class Registry:
         return self.rules[table]
 
 
+def optional_names(table: str) -> list[str]:
+    return OPTIONAL[table].names if table in OPTIONAL else []
+
+
+def raw_fields(table: str) -> list[T.StructField]:
+    """All columns a raw input is known to have or may have."""
+    extra = OPTIONAL[table].fields if table in OPTIONAL else []
+    return [*RAW[table].fields, *extra]
+
+
 def default_registry() -> Registry:
     """Every column of the raw schema known, the identifying ones required."""
     required = {
@@ -156,13 +169,12 @@ def default_registry() -> Registry:
         "shipments": ("shipment_id", "transaction_id"),
         "web_clickstream": ("session_id", "timestamp"),
     }
-    extra = {"transactions": ("discount",)}
     return Registry.of(
         *(
             TableRule(
                 name,
                 required[name],
-                tuple(c for c in schema.names if c not in required[name]) + extra.get(name, ()),
+                tuple(c for c in [*schema.names, *optional_names(name)] if c not in required[name]),
             )
             for name, schema in RAW.items()
         )

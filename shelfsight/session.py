@@ -23,3 +23,20 @@ def build_session(app_name: str = "shelfsight", master: str | None = None, **ext
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+PARTITION_BYTES = 256 << 20
+MOST_PARTITIONS = 40_000
+
+
+def fit_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
+    """Raise the number of shuffle partitions so that one holds about 256 MB; never lower it.
+
+    Adaptive execution merges partitions that turn out small, but it starts from this number and
+    cannot go beyond it.
+    """
+    now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(-(-shuffled_bytes // PARTITION_BYTES), MOST_PARTITIONS)
+    if wanted > now:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return max(now, wanted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,12 +36,12 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
 
 
-def read_csv_by_name(spark: SparkSession, path: str, known: T.StructType) -> DataFrame:
+def read_csv_by_name(spark: SparkSession, path: str, known: Iterable[T.StructField]) -> DataFrame:
     """CSV read in its own column order: known columns get their type, unknown ones stay text.
 
     This is the reader for inputs whose columns may drift. Only the header is looked at beforehand.
     """
-    types = {f.name: f.dataType for f in known.fields}
+    types = {f.name: f.dataType for f in known}
     fields = [T.StructField(c, types.get(c, T.StringType())) for c in csv_header(spark, path)]
     return read_csv(spark, path, T.StructType(fields))
 
@@ -52,6 +53,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder in its file system."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def write_snapshot(df: DataFrame, root: str, table: str, taken_at: datetime) -> str:
     """Append-only snapshot of a table: every run lands in its own directory."""
     target = f"{root}/{table}/snapshot={taken_at.strftime(STAMP)}"

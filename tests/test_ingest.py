@@ -75,7 +75,7 @@ def test_bad_values_become_null_and_are_quarantined(spark, tmp_path):
         "transaction_id,date,store_id,customer_id,product_id,quantity,price,payment_method\n"
         "T1,2024-01-01,ST1,C1,P1,two,10.5,Cash\nT2,2024-01-01,ST1,C1,P1,2,10.5,Cash\n"
     )
-    df = files.read_csv_by_name(spark, str(tmp_path / "transactions.csv"), RAW["transactions"]).drop(files.CORRUPT)
+    df = files.read_csv_by_name(spark, str(tmp_path / "transactions.csv"), RAW["transactions"].fields).drop(files.CORRUPT)
     rule = default_registry().rule("transactions")
     assert [r["quarantine_reason"] for r in ingest.quarantined_rows(df, rule).collect()] == ["missing_required_value:quantity"]
     assert [r["transaction_id"] for r in ingest.valid_rows(df, rule).collect()] == ["T2"]

@@ -176,3 +176,16 @@ def test_sample_export(spark, star, tmp_path):
     files.write_sample(star["dates"], ["date_key"], str(tmp_path / "s"), 5)
     parts = list((tmp_path / "s").glob("part-*"))
     assert len(parts) == 1 and len(parts[0].read_text().splitlines()) == 6
+
+
+def test_shuffles_grow_with_the_data_and_never_shrink(spark):
+    from shelfsight.session import MOST_PARTITIONS, fit_shuffles
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert fit_shuffles(spark, 10) == int(before)
+        assert fit_shuffles(spark, 100 << 30) == 400
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "400"
+        assert fit_shuffles(spark, 1 << 60) == MOST_PARTITIONS
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
