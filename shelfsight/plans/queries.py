@@ -729,8 +729,8 @@ def o_revenue_flat(m: RetailModel) -> DataFrame:
 
 @query
 def o_revenue_partitioned(m: RetailModel) -> DataFrame:
-    month = F.col("date_partition") == "1998-03"
-    return ops.revenue_of_day(files.read_partitioned_sales(m.spark, _partitioned(m), STAR["fact_sales"], month), DAY)
+    month = files.read_partitioned_sales(m.spark, _partitioned(m), STAR["fact_sales"], dates=["1998-03"])
+    return ops.revenue_of_day(month, DAY)
 
 
 @query

@@ -122,12 +122,24 @@ def write_partitioned_sales(sales: DataFrame, dates: DataFrame, stores: DataFram
     )
 
 
-def read_partitioned_sales(spark: SparkSession, path: str, schema: T.StructType, where: Column | None = None) -> DataFrame:
-    """Partitioned copy; a condition on ``date_partition`` or ``region`` prunes directories."""
+def read_partitioned_sales(
+    spark: SparkSession, path: str, schema: T.StructType, dates: list[str] | None = None, where: Column | None = None
+) -> DataFrame:
+    """Partitioned copy.
+
+    ``dates`` names the wanted date partitions: only their directories are listed. A condition on
+    ``date_partition`` or ``region`` in ``where`` prunes directories after all have been listed.
+    """
     full = T.StructType(
         [*schema.fields, T.StructField("date_partition", T.StringType()), T.StructField("region", T.StringType())]
     )
-    df = spark.read.schema(full).parquet(path)
+    if dates is None:
+        df = spark.read.schema(full).parquet(path)
+    else:
+        wanted = [d for d in (f"{path}/date_partition={date}" for date in dates) if exists(spark, d)]
+        if not wanted:
+            return spark.createDataFrame([], full)
+        df = spark.read.schema(full).option("basePath", path).parquet(*wanted)
     return df if where is None else df.where(where)
 
 

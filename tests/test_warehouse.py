@@ -133,7 +133,9 @@ def test_partitioned_copy_prunes_and_rewrites(spark, star, tmp_path):
         files.write_partitioned_sales(sold, star["dates"], star["stores"], path, grain="day")
     schema = STAR["fact_sales"]
     assert files.read_partitioned_sales(spark, path, schema).count() == 2
-    one = files.read_partitioned_sales(spark, path, schema, F.col("date_partition") == "2024-03-01")
+    assert rows(files.read_partitioned_sales(spark, path, schema, ["2024-03-01", "1999-01-01"]), "sale_id", "region") == [("T2", "West")]
+    assert files.read_partitioned_sales(spark, path, schema, ["1999-01-01"]).count() == 0
+    one = files.read_partitioned_sales(spark, path, schema, where=F.col("date_partition") == "2024-03-01")
     assert rows(one, "sale_id", "region") == [("T2", "West")]
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date_partition" in plan
