@@ -5,19 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, secret_scan, token_counts
-from .common import table
+from . import bpe, language_id, secret_scan, token_counts, toxicity
+from .common import held_out, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out(docs.doc_id)))
+    found = language_id.predict(docs, ["doc_id"], model)
+    return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(~held_out(docs.doc_id)), table(spark, sf_dir, "labels"))
+    found = toxicity.predict(docs, ["doc_id"], model)
+    return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "score", (found.score >= F.lit(0.5)).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
