@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, secret_scan, token_counts, toxicity
+from . import bpe, decontaminate, language_id, secret_scan, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -33,6 +33,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found.doc_id).alias("held_out"), "score", (found.score >= F.lit(0.5)).cast("int").alias("predicted"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), ["doc_id"], table(spark, sf_dir, "benchmark"))
+    return decontaminate.digests(found, ["doc_id"])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
