@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -69,6 +69,18 @@ def map_texts(df: DataFrame, keep: list[str], text: str, start: Callable[[], Cal
     return source.mapInArrow(run, schema)
 
 
+def first_by_hash(ids: DataFrame, group: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each value of ``group``: those whose ``_id`` hashes lowest.
+
+    A group is thinned to about twice as many rows by its size before they are ranked, so one with a third of all rows
+    ranks no more of them than any other.
+    """
+    sizes = ids.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    spot = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
+    thin = ids.join(sizes, group).where(spot * F.col("_size") < F.lit(2.0 * most * (1 << 40)))
+    return thin.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(spot, "_id"))).where(F.col("_n") <= most).drop("_n", "_size")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that nothing above it is run twice."""
     return Workspace(df.sparkSession, "llm").save(df, name)

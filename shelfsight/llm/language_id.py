@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, map_texts
+from .common import Cache, first_by_hash, map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -54,10 +54,8 @@ def grams(word: str, n: int) -> list[str]:
 def sample(docs: DataFrame, language: str, doc_id: str, text: str, most: int = SAMPLE_DOCS) -> DataFrame:
     """At most ``most`` documents a language. Only ids and languages are ranked, then the texts are looked up."""
     labelled = docs.where((F.col(language) != "") & F.col(text).isNotNull())
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ranked = labelled.select(F.col(language).alias("_lang"), F.col(doc_id).alias("_id")).withColumn("_n", F.row_number().over(first))
     # At most ``most`` ids a language, whatever the number of documents; Spark picks the join by their measured size.
-    chosen = ranked.where(F.col("_n") <= most).select("_id").distinct()
+    chosen = first_by_hash(labelled.select(F.col(language).alias("_lang"), F.col(doc_id).alias("_id")), "_lang", most).select("_id").distinct()
     texts = labelled.select(F.col(language).alias("lang"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     return texts.join(chosen, "_id", "left_semi").select("lang", "text")
 

@@ -22,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, map_texts, saved
+from .common import Cache, first_by_hash, map_texts, saved
 
 WORD = re.compile(r"[^\W_]+")
 LENGTHS = (3, 4, 5)
@@ -65,8 +65,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
     """At most ``most`` rows of either class, and how many rows each class has in all."""
     ids = labelled(docs.select(doc_id, F.lit("").alias(text)), labels, doc_id, text, label).select("_id", "toxic")
     sizes = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).groupBy("_id").agg(F.first("toxic").alias("toxic"))
+    chosen = first_by_hash(ids, "toxic", most).groupBy("_id").agg(F.first("toxic").alias("toxic"))
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(chosen, "_id"), sizes
 
 
