@@ -50,9 +50,11 @@ def map_texts(df: DataFrame, keep: list[str], text: str, start: Callable[[], Cal
     ``start`` runs once in a task and returns a function from a text (None for null) to a tuple. Only ``keep`` and
     ``text`` are read, so other columns of ``df`` can't clash with ``out``.
     """
-    source = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    # A text that is kept is sent to Python once; otherwise it stands behind the kept columns and ends here.
+    at_text = keep.index(text) if text in keep else len(keep)
+    source = df.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias("_text")]))
     added = schema_of(out)
-    schema = StructType([*source.schema.fields[:-1], *added.fields])
+    schema = StructType([*source.schema.fields[: len(keep)], *added.fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,10 +62,10 @@ def map_texts(df: DataFrame, keep: list[str], text: str, start: Callable[[], Cal
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 piece = batch.slice(at, ROWS_AT_A_TIME)
-                found = [handle(t) for t in piece.column(piece.num_columns - 1).to_pylist()]
-                columns = list(zip(*found)) if found else [()] * len(added.fields)
-                arrays = [c.cast(f.type) for c, f in zip(piece.columns[:-1], arrow)]
-                arrays += [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(arrays) :])]
+                found = [handle(t) for t in piece.column(at_text).to_pylist()]
+                columns = list(zip(*found))
+                arrays = [c.cast(f.type) for c, f in zip(piece.columns[: len(keep)], arrow)]
+                arrays += [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keep) :])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return source.mapInArrow(run, schema)

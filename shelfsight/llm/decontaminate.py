@@ -253,7 +253,8 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str, most: int) -> Itera
 
 def find(docs: DataFrame, keep: list[str], benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``keep`` columns, number of words and of hit words, ids of the items found (as sorted strings) and removal spans."""
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    at_text = keep.index(text) if text in keep else len(keep)
+    source = docs.select(*keep, *([] if text in keep else [F.col(text).cast("string").alias("_text")]))
     out = StructType([*source.schema.fields, *schema_of(FOUND).fields])
     found = source.withColumns({f.name: F.lit(None).cast(f.dataType) for f in out.fields[len(source.columns) :]})
     arrow = to_arrow_schema(out)
@@ -261,30 +262,30 @@ def find(docs: DataFrame, keep: list[str], benchmark: DataFrame, text: str = "te
     # An empty block counts the words where there is no benchmark.
     blocks = [spark.sparkContext.broadcast(windows_of(items, window)) for items in blocks_of(benchmark, item_id, item_text, block_chars)] or [spark.sparkContext.broadcast({})]
     for block in blocks:
-        found = found.mapInArrow(_searcher(block, len(keep), arrow, shard_words), out)
-    return found.drop("_text")
+        found = found.mapInArrow(_searcher(block, at_text, len(source.columns), arrow, shard_words), out)
+    return found.select(*keep, *(f.name for f in out.fields[len(source.columns) :]))
 
 
-def _searcher(block, width: int, schema: pa.Schema, shard_words: int) -> Callable:
+def _searcher(block, at_text: int, width: int, schema: pa.Schema, shard_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = list(block.value)
         items = [block.value[p] for p in phrases]
 
         def result(piece: pa.RecordBatch, documents: list[list[bytes]]) -> pa.RecordBatch:
-            texts, earlier_items, earlier_spans = (piece.column(width + k).to_pylist() for k in (0, 3, 4))
+            texts, earlier_items, earlier_spans = (piece.column(k).to_pylist() for k in (at_text, width + 2, width + 3))
             columns: list[list] = [[], [], [], []]
             for text, words, old, old_spans, (new, spans) in zip(texts, documents, earlier_items, earlier_spans, search_shard(documents, phrases, items)):
                 spans = merged(spans + [(s["first_word"], s["end_word"]) for s in old_spans or []])
                 values = (len(words), sum(b - a for a, b in spans), sorted({*new, *(old or [])}), _with_places(text, spans))
                 for column, value in zip(columns, values):
                     column.append(value)
-            arrays = [c.cast(f.type) for c, f in zip(piece.columns[: width + 1], schema)]
-            arrays += [pa.array(c, f.type) for c, f in zip(columns, list(schema)[width + 1 :])]
+            arrays = [c.cast(f.type) for c, f in zip(piece.columns[:width], schema)]
+            arrays += [pa.array(c, f.type) for c, f in zip(columns, list(schema)[width:])]
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for batch in batches:
             documents, words, first = [], 0, 0
-            for at, text in enumerate(t.as_py() for t in batch.column(width)):
+            for at, text in enumerate(t.as_py() for t in batch.column(at_text)):
                 documents.append(words_of(text))
                 words += len(documents[-1])
                 if words >= shard_words or at + 1 == batch.num_rows:

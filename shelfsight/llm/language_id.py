@@ -34,6 +34,7 @@ STEP_DOWN = 0.8
 SMOOTHING = 0.5
 SAMPLE_DOCS = 2_000
 MODEL_ENTRIES = 200_000
+MOST_BROADCAST_IDS = 1_000_000
 MOST_WORD_LENGTH = 64  # of a key in the model; longer words are scored by their n-grams
 UNKNOWN = "und"
 
@@ -54,8 +55,11 @@ def grams(word: str, n: int) -> list[str]:
 def sample(docs: DataFrame, language: str, doc_id: str, text: str, most: int = SAMPLE_DOCS) -> DataFrame:
     """At most ``most`` documents a language. Only ids and languages are ranked, then the texts are looked up."""
     labelled = docs.where((F.col(language) != "") & F.col(text).isNotNull())
-    # At most ``most`` ids a language, whatever the number of documents; Spark picks the join by their measured size.
-    chosen = first_by_hash(labelled.select(F.col(language).alias("_lang"), F.col(doc_id).alias("_id")), "_lang", most).select("_id").distinct()
+    ids = labelled.select(F.col(language).alias("_lang"), F.col(doc_id).alias("_id"))
+    chosen = first_by_hash(ids, "_lang", most).select("_id").distinct()
+    # At most ``most`` ids for each language: few enough to be broadcast unless the languages are very many.
+    if ids.select(F.count_distinct("_lang").alias("n")).first()["n"] * most <= MOST_BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     texts = labelled.select(F.col(language).alias("lang"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     return texts.join(chosen, "_id", "left_semi").select("lang", "text")
 

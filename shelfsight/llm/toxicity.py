@@ -66,7 +66,8 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
     ids = labelled(docs.select(doc_id, F.lit("").alias(text)), labels, doc_id, text, label).select("_id", "toxic")
     sizes = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = first_by_hash(ids, "toxic", most).groupBy("_id").agg(F.first("toxic").alias("toxic"))
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(chosen, "_id"), sizes
+    # At most ``most`` ids of either class are broadcast.
+    return docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "_id"), sizes
 
 
 def sample_features(sampled: DataFrame) -> DataFrame:
