@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,8 +30,8 @@ from .common import Cache, first_by_hash, map_texts, saved
 WORD = re.compile(r"[^\W_]+")
 LENGTHS = (3, 4, 5)
 BITS = 20
-SAMPLE_ROWS = 4_000
-FEATURES = 20_000
+SAMPLE_ROWS = 3_000
+FEATURES = 10_000
 LEAST_DOCS = 3
 SMOOTHING = 1.0
 PENALTY, STEPS = 1.0, 200
@@ -42,7 +42,7 @@ def word_features(word: str) -> frozenset[int]:
     return frozenset(zlib.crc32(padded[4 * i : 4 * (i + n)]) & mask for n in LENGTHS for i in range(len(padded) // 4 - n + 1))
 
 
-def text_features(text: str | None, of_word: Callable[[str], frozenset[int]]) -> set[int]:
+def text_features(text: str | None, of_word: Callable[[str], Iterable[int]]) -> set[int]:
     return set().union(*map(of_word, set(WORD.findall(text.lower())))) if text else set()
 
 
@@ -74,7 +74,7 @@ def sample_features(sampled: DataFrame) -> DataFrame:
     """(toxic, features) of each sampled row, the features as packed unsigned 32-bit integers."""
 
     def start() -> Callable:
-        of_word = Cache(word_features, 100_000).__getitem__
+        of_word = Cache(word_features, 30_000).__getitem__
         return lambda t: (np.array(sorted(text_features(t, of_word)), "<u4").tobytes(),)
 
     return map_texts(sampled, ["toxic"], "text", start, "features binary")
@@ -156,7 +156,7 @@ def predict(df: DataFrame, keep: list[str], model: Model, text: str = "text") ->
 
     def start() -> Callable:
         weights = shared.value.weights
-        of_word = Cache(lambda word: frozenset(f for f in word_features(word) if f in weights)).__getitem__
+        of_word = Cache(lambda word: tuple(f for f in word_features(word) if f in weights), 200_000).__getitem__
 
         def handle(t):
             margin = shared.value.intercept + sum(sorted(map(weights.__getitem__, text_features(t, of_word))))
