@@ -113,7 +113,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     bits = int(rank.max()).bit_length()
     width = max(1, 62 // max(1, bits))  # words of which one number holds the order
     key = np.zeros(n, "i8")
-    for k in range(width):
+    for k in range(min(width, n)):
         key[: n - k] |= rank[k:] << (bits * (width - 1 - k))
     order = np.argsort(key)
     at, open_ = order, np.arange(n)

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import Cache, first_by_hash, map_texts, saved
 
 WORD = re.compile(r"[^\W_]+")
-LENGTHS = (3, 4, 5)
+LENGTHS = (3, 4, 5, 6)
+WHOLE = 24
 BITS = 20
 SAMPLE_ROWS = 3_000
 FEATURES = 10_000
@@ -38,8 +39,11 @@ PENALTY, STEPS = 1.0, 200
 
 
 def word_features(word: str) -> frozenset[int]:
+    """Hashed n-grams of a word with its edges, of the lengths in ``LENGTHS`` and, up to ``WHOLE``, of its own."""
     padded, mask = f" {word} ".encode("utf-32-le"), (1 << BITS) - 1
-    return frozenset(zlib.crc32(padded[4 * i : 4 * (i + n)]) & mask for n in LENGTHS for i in range(len(padded) // 4 - n + 1))
+    size = len(padded) // 4
+    lengths = (*LENGTHS, size) if max(LENGTHS) < size <= WHOLE else LENGTHS
+    return frozenset(zlib.crc32(padded[4 * i : 4 * (i + n)]) & mask for n in lengths for i in range(size - n + 1))
 
 
 def text_features(text: str | None, of_word: Callable[[str], Iterable[int]]) -> set[int]:

@@ -54,10 +54,10 @@ def test_members_stand_at_their_offsets(spark):
     assert files.count() > 1  # a task begins another archive when one is full
     system, _ = fs.FileSystem.from_uri(folder)
     for row in warc.normalise(files, folder).collect():
-        with system.open_input_stream(row.index, compression=None) as lines:
+        with system.open_input_stream(row["index"], compression=None) as lines:
             places = [line.split() for line in lines.read().decode().splitlines()]
-        assert len(places) == row.records
-        with system.open_input_file(row.path) as archive:
+        assert len(places) == row["records"]
+        with system.open_input_file(row["path"]) as archive:
             whole = archive.read()
         assert sum(int(p[1]) for p in places) == len(whole)
         for offset, length, kind, name in places:
