@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from ..sources.files import POSITION
 
 CRITICAL = ("transaction_id", "product_id", "store_id")
 SIGMAS = 3.0
@@ -21,13 +22,14 @@ SIGMAS = 3.0
 def staged(raw: DataFrame, as_of: datetime, order_by: list[str] | None = None) -> DataFrame:
     """First row per transaction id with its repairs and flags, before any row is dropped.
 
-    ``order_by`` says which of several copies is first; by default all columns in order, NULLs first.
-    NULL ids count as one id.
+    Of several copies the first in the raw files counts, where the rows carry their ``POSITION``. ``order_by`` states
+    another order. Rows without a position go by all columns in order, NULLs last. NULL ids count as one id.
     """
     has_discount = "discount" in raw.columns
-    order = order_by or [c for c in raw.columns if c != "transaction_id"]
+    other = [F.col(c).asc_nulls_last() for c in raw.columns if c != "transaction_id"]
+    order = order_by or ([POSITION] if POSITION in raw.columns else other)
     place = F.row_number().over(Window.partitionBy("transaction_id").orderBy(*order))
-    one_each = raw.withColumn("_place", place).where("_place = 1").drop("_place")
+    one_each = raw.withColumn("_place", place).where("_place = 1").drop("_place", POSITION)
     stamp = one_each.schema["date"].dataType.simpleString()
     when = F.try_to_timestamp("date") if stamp == "string" else F.col("date").cast("timestamp")
     return (

@@ -12,6 +12,7 @@ from ..schemas import RAW, Registry, TableRule, raw_fields
 from ..sources import files
 
 REASON = "quarantine_reason"
+UNREADABLE = "unreadable_value"
 
 # Logical tables of one batch and the files they come from.
 BATCH_TABLES = tuple((name, f"{name}.csv") for name in (
@@ -20,17 +21,22 @@ BATCH_TABLES = tuple((name, f"{name}.csv") for name in (
 
 
 def with_reason(df: DataFrame, rule: TableRule) -> DataFrame:
-    """Add the reasons a row breaks the rule, alphabetically and ';'-joined; '' when it breaks none."""
+    """Add the reasons a row breaks the rule, alphabetically and ';'-joined; '' when it breaks none.
+
+    A row that holds a value its column can't, with its text in ``_corrupt``, is unreadable.
+    """
     absent = sorted(c for c in rule.required if c not in df.columns)
     present = sorted(c for c in rule.required if c in df.columns)
     parts = [F.lit(f"missing_required_column:{c}") for c in absent]
     parts += [F.when(F.col(c).isNull(), F.lit(f"missing_required_value:{c}")) for c in present]
+    if files.CORRUPT in df.columns:
+        parts.append(F.when(F.col(files.CORRUPT).isNotNull(), F.lit(UNREADABLE)))
     reason = F.concat_ws(";", *parts) if parts else F.lit("")
     return df.withColumn(REASON, reason)
 
 
 def valid_rows(df: DataFrame, rule: TableRule) -> DataFrame:
-    return with_reason(df, rule).where(F.col(REASON) == "").drop(REASON)
+    return with_reason(df, rule).where(F.col(REASON) == "").drop(REASON, files.CORRUPT)
 
 
 def quarantined_rows(df: DataFrame, rule: TableRule) -> DataFrame:
@@ -39,7 +45,7 @@ def quarantined_rows(df: DataFrame, rule: TableRule) -> DataFrame:
 
 def drifted_columns(df: DataFrame, rule: TableRule) -> list[str]:
     """Columns the rule does not know; they stay in the valid output."""
-    return sorted(c for c in df.columns if c not in rule.known)
+    return sorted(c for c in df.columns if c not in rule.known and c not in (files.CORRUPT, files.POSITION))
 
 
 def row_counts(df: DataFrame, rule: TableRule) -> DataFrame:
@@ -78,8 +84,8 @@ class BatchIngest:
         if table == "inventory":
             df = files.read_csv(self.spark, path, RAW[table])
         else:
-            df = files.read_csv_by_name(self.spark, path, raw_fields(table))
-        df = df.drop(files.CORRUPT)
+            # Cleaning keeps the first of several copies of a sale, so only sales carry their position.
+            df = files.read_csv_by_name(self.spark, path, raw_fields(table), position=table == "transactions")
         counts = row_counts(df, rule).first()
         if counts["quarantined_rows"]:
             files.write_quarantine(quarantined_rows(df, rule), self.out, table, at)

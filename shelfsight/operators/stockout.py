@@ -11,7 +11,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -23,6 +23,7 @@ FEATURES = ["current_stock", "avg_qty", "std_qty", "category_code"]
 LEVELS = ((0.8, "Critical"), (0.6, "High"), (0.4, "Medium"))
 SEVERITY = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1}
 MODEL_NAME = "stockout_risk_classifier"
+_MODEL_FACTS = "constant_risk double, rows long"
 
 
 def features(sales: DataFrame, inventory: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
@@ -84,15 +85,18 @@ class RiskModels:
         self.regressor.write().overwrite().save(f"{path}/regressor")
         if self.classifier is not None:
             self.classifier.write().overwrite().save(f"{path}/classifier")
+        facts = SparkSession.getActiveSession().createDataFrame([(self.constant_risk, self.rows)], _MODEL_FACTS)
+        facts.coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
 
     @classmethod
-    def load(cls, path: str, constant_risk: float | None = None) -> "RiskModels":
+    def load(cls, path: str) -> "RiskModels":
+        constant, rows = SparkSession.getActiveSession().read.schema(_MODEL_FACTS).parquet(f"{path}/facts").first()
         return cls(
             PipelineModel.load(f"{path}/prepare"),
-            None if constant_risk is not None else PipelineModel.load(f"{path}/classifier"),
+            None if constant is not None else PipelineModel.load(f"{path}/classifier"),
             PipelineModel.load(f"{path}/regressor"),
-            constant_risk,
-            0,
+            constant,
+            rows,
         )
 
 

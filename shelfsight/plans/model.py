@@ -214,11 +214,12 @@ class RetailModel:
 
     def _orders_of(self, events: DataFrame) -> DataFrame:
         key, k = F.col("event_id"), F.get_json_object("props", "$.k").cast("bigint")
+        products, stores = self.table("part").count(), self.table("supplier").count()
         return events.where(F.col("event_type") == "purchase").select(
             key.alias("order_id"),
             F.col("ts").cast("timestamp").alias("timestamp"),
-            F.concat(F.lit("P"), F.lpad((key % 2000).cast("string"), 12, "0")).alias("product_id"),
-            F.concat(F.lit("ST"), F.lpad((key % 100).cast("string"), 12, "0")).alias("store_id"),
+            F.concat(F.lit("P"), F.lpad((key % products).cast("string"), 12, "0")).alias("product_id"),
+            F.concat(F.lit("ST"), F.lpad((key % stores).cast("string"), 12, "0")).alias("store_id"),
             (k % 3 + 1).cast("int").alias("quantity"),
             F.col("value").cast("decimal(12,2)").alias("price"),
             F.col("user_id").cast("string").alias("customer_id"),

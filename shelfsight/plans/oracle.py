@@ -50,9 +50,9 @@ TABLES = {
                coalesce(quantity > 0, false) AS has_quantity, try_cast(date AS TIMESTAMP) AS date,
                coalesce(try_cast(date AS TIMESTAMP) <= TIMESTAMP '2002-01-01 00:00:00', false) AS is_past
         FROM (SELECT *, count(*) OVER (PARTITION BY transaction_id) AS copies,
-                     row_number() OVER (PARTITION BY transaction_id ORDER BY date NULLS FIRST, store_id NULLS FIRST,
-                         customer_id NULLS FIRST, product_id NULLS FIRST, quantity NULLS FIRST, price NULLS FIRST,
-                         payment_method NULLS FIRST, discount NULLS FIRST) AS rn
+                     row_number() OVER (PARTITION BY transaction_id ORDER BY date NULLS LAST, store_id NULLS LAST,
+                         customer_id NULLS LAST, product_id NULLS LAST, quantity NULLS LAST, price NULLS LAST,
+                         payment_method NULLS LAST, discount NULLS LAST) AS rn
               FROM raw_transactions) WHERE rn = 1""",
     "price_limit": f"""
         SELECT avg(CAST(price AS DOUBLE)) + 3.0 * stddev_samp(CAST(price AS DOUBLE)) AS price_limit
@@ -241,8 +241,8 @@ TABLES = {
         SELECT row_number() OVER (ORDER BY stamp, product_id, store_id) AS id, stamp AS timestamp, *
         FROM rule_scores CROSS JOIN (VALUES (TIMESTAMP '2002-01-01'), (TIMESTAMP '2002-01-02')) AS d(stamp)""",
     "live_orders": f"""
-        SELECT event_id AS order_id, ts AS timestamp, 'P' || lpad(CAST(event_id % 2000 AS VARCHAR), 12, '0') AS product_id,
-               'ST' || lpad(CAST(event_id % 100 AS VARCHAR), 12, '0') AS store_id,
+        SELECT event_id AS order_id, ts AS timestamp, 'P' || lpad(CAST(event_id % (SELECT count(*) FROM part) AS VARCHAR), 12, '0') AS product_id,
+               'ST' || lpad(CAST(event_id % (SELECT count(*) FROM supplier) AS VARCHAR), 12, '0') AS store_id,
                CAST(CAST(json_extract(props, '$.k') AS BIGINT) % 3 + 1 AS INTEGER) AS quantity,
                CAST(value AS DECIMAL(12,2)) AS price, CAST(user_id AS VARCHAR) AS customer_id,
                {_PAYMENT.format('event_id')} AS payment_method, 'events' AS order_source

@@ -26,7 +26,6 @@ def build_session(app_name: str = "shelfsight", master: str | None = None, **ext
 
 
 PARTITION_BYTES = 256 << 20
-MOST_PARTITIONS = 40_000
 
 
 def fit_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
@@ -36,7 +35,7 @@ def fit_shuffles(spark: SparkSession, shuffled_bytes: int) -> int:
     cannot go beyond it.
     """
     now = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(-(-shuffled_bytes // PARTITION_BYTES), MOST_PARTITIONS)
+    wanted = -(-shuffled_bytes // PARTITION_BYTES)
     if wanted > now:
         spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
     return max(now, wanted)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt"
+#: Where a row stood: its file, the block of the file and the row within what one task read of it.
+POSITION = "_position"
 STAMP = "%Y%m%dT%H%M%S"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Headered CSV under an explicit schema; unreadable lines keep their text in ``_corrupt``.
 
     Columns follow the schema by position, so a file whose header names columns in another order than
@@ -31,19 +33,45 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names a CSV declares."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+def with_position(df: DataFrame) -> DataFrame:
+    """Rows read from files with their ``POSITION``, which sorts as the rows stand in the files."""
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    return df.select("*", place.alias(POSITION))
+
+
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files of a CSV folder by the column names they declare. One pass looks for each file's first line."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for header, found in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect():
+        columns = spark.read.option("header", True).option("inferSchema", False).csv(found[0]).columns
+        layouts.setdefault(tuple(columns), []).extend(found)
+    return layouts
 
 
-def read_csv_by_name(spark: SparkSession, path: str, known: Iterable[T.StructField]) -> DataFrame:
-    """CSV read in its own column order: known columns get their type, unknown ones stay text.
+def read_csv_by_name(spark: SparkSession, path: str, known: Iterable[T.StructField], position: bool = False) -> DataFrame:
+    """CSV read by the column names of each file: known columns get their type, unknown ones stay text.
 
-    This is the reader for inputs whose columns may drift. Only the header is looked at beforehand.
+    This is the reader for inputs whose columns may drift. Files that declare the same columns are read together,
+    the layouts are united by name, and a column that a file lacks is NULL in its rows.
     """
     types = {f.name: f.dataType for f in known}
-    fields = [T.StructField(c, types.get(c, T.StringType())) for c in csv_header(spark, path)]
-    return read_csv(spark, path, T.StructType(fields))
+    parts = []
+    for columns, found in csv_layouts(spark, path).items():
+        part = read_csv(spark, found, T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in columns]))
+        part = with_position(part) if position else part
+        parts.append(part.select(*(c for c in part.columns if c != CORRUPT), CORRUPT))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*known, T.StructField(CORRUPT, T.StringType())]))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -61,9 +89,9 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def write_snapshot(df: DataFrame, root: str, table: str, taken_at: datetime) -> str:
-    """Append-only snapshot of a table: every run lands in its own directory."""
+    """Snapshot of a table: every run lands in its own directory, which the same run replaces when it is tried again."""
     target = f"{root}/{table}/snapshot={taken_at.strftime(STAMP)}"
-    df.write.mode("errorifexists").parquet(target)
+    df.write.mode("overwrite").parquet(target)
     return target
 
 
@@ -82,8 +110,8 @@ def latest_per_key(df: DataFrame, key: str, version: str, *tie_break: str) -> Da
 
 
 def write_quarantine(df: DataFrame, root: str, table: str, at: datetime) -> None:
-    """Append rejected rows of a table with the time they were rejected."""
-    df.withColumn("timestamp", F.lit(at)).write.mode("append").parquet(f"{root}/quarantine/{table}")
+    """Rejected rows of a table with the time they were rejected; a run that is tried again replaces its own."""
+    df.withColumn("timestamp", F.lit(at)).write.mode("overwrite").parquet(f"{root}/quarantine/{table}/run={at.strftime(STAMP)}")
 
 
 def read_quarantine_log(spark: SparkSession, root: str, tables: list[str]) -> DataFrame:
@@ -93,7 +121,7 @@ def read_quarantine_log(spark: SparkSession, root: str, tables: list[str]) -> Da
     for table in tables:
         path = f"{root}/quarantine/{table}"
         if exists(spark, path):
-            rows = spark.read.schema(wanted).parquet(path).select(F.lit(table).alias("table_name"), "*")
+            rows = spark.read.schema(wanted).parquet(path).select(F.lit(table).alias("table_name"), *wanted.names)
             log = rows if log is None else log.unionByName(rows)
     return log if log is not None else spark.createDataFrame([], "table_name string, quarantine_reason string, timestamp timestamp")
 
@@ -103,7 +131,7 @@ def write_partitioned_sales(sales: DataFrame, dates: DataFrame, stores: DataFram
 
     ``grain`` is ``day`` or ``month``. Rows of one directory are brought together to avoid small files,
     as a rebalance and not a repartition: adaptive execution cuts a directory that holds much of the
-    data into several tasks and files. Writing again replaces the partitions it touches.
+    data into several tasks and files. Writing again replaces the whole copy, so nothing of an earlier one is left.
     """
     patterns = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}
     joined = (
@@ -115,7 +143,7 @@ def write_partitioned_sales(sales: DataFrame, dates: DataFrame, stores: DataFram
     balanced = sales.sparkSession.sql("SELECT /*+ REBALANCE(date_partition, region) */ * FROM {joined}", joined=joined)
     (
         balanced.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .option("compression", "snappy")
         .partitionBy("date_partition", "region")
         .parquet(path)

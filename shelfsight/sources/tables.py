@@ -44,6 +44,18 @@ class VersionedTable:
             return None
         return self.spark.read.schema(_COMMIT).parquet(commits).agg(F.max("version")).first()[0]
 
+    def current_path(self) -> str | None:
+        current = self.version()
+        return None if current is None else f"{self.path}/version={current}"
+
+    def next_version(self) -> tuple[int, str]:
+        """Number and folder of a version that is written elsewhere and then announced with ``commit``."""
+        following = (self.version() or 0) + 1
+        return following, f"{self.path}/version={following}"
+
+    def commit(self, version: int) -> None:
+        self.spark.createDataFrame([(version,)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+
     def read(self) -> DataFrame:
         current = self.version()
         if current is None:
@@ -51,11 +63,9 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={current}")
 
     def replace(self, rows: DataFrame) -> int:
-        following = (self.version() or 0) + 1
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields)).write.mode("overwrite").parquet(
-            f"{self.path}/version={following}"
-        )
-        self.spark.createDataFrame([(following,)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
+        following, path = self.next_version()
+        rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema.fields)).write.mode("overwrite").parquet(path)
+        self.commit(following)
         return following
 
     def delete_where(self, condition: Column) -> int:
@@ -63,12 +73,16 @@ class VersionedTable:
         return self.replace(self.read().where(~F.coalesce(condition, F.lit(False))))
 
 
-def latest_event(events: DataFrame, key: str, at: str) -> DataFrame:
+def latest_event(events: DataFrame, key: str, at: str, rank: Column | None = None) -> DataFrame:
     """Fold an event log: per key the last known value of every column, by event time.
 
-    Each column keeps its newest non-NULL value, so a later event need only carry what changed.
+    Each column keeps its newest non-NULL value, so a later event need only carry what changed. Of events at the same
+    instant the one with the higher ``rank`` is the later, then the one with the greater value.
     """
+    rank = F.lit(0) if rank is None else rank
     newest = [
-        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in events.columns if c not in (key, at)
+        F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(at), rank.alias("_rank"), F.col(c).alias("_value"))))["_value"].alias(c)
+        for c in events.columns
+        if c not in (key, at)
     ]
     return events.groupBy(key).agg(F.min(at).alias(f"first_{at}"), F.max(at).alias(f"last_{at}"), *newest)

@@ -140,8 +140,8 @@ def test_partitioned_copy_prunes_and_rewrites(spark, star, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date_partition" in plan
     assert ops.revenue_of_day(one, 20240301).first()["revenue"] == ops.revenue_of_day(sold, 20240301).first()["revenue"] == 10.0
-    files.write_partitioned_sales(sold.limit(0), star["dates"], star["stores"], path, grain="day")
-    assert files.read_partitioned_sales(spark, path, schema).count() == 2
+    files.write_partitioned_sales(sold.where("sale_id = 'T2'"), star["dates"], star["stores"], path, grain="day")
+    assert rows(files.read_partitioned_sales(spark, path, schema), "sale_id") == [("T2",)]
 
 
 def test_versioned_table(spark, tmp_path):
@@ -181,13 +181,13 @@ def test_sample_export(spark, star, tmp_path):
 
 
 def test_shuffles_grow_with_the_data_and_never_shrink(spark):
-    from shelfsight.session import MOST_PARTITIONS, fit_shuffles
+    from shelfsight.session import fit_shuffles
 
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         assert fit_shuffles(spark, 10) == int(before)
         assert fit_shuffles(spark, 100 << 30) == 400
         assert spark.conf.get("spark.sql.shuffle.partitions") == "400"
-        assert fit_shuffles(spark, 1 << 60) == MOST_PARTITIONS
+        assert fit_shuffles(spark, 1 << 44) == 1 << 16
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
