@@ -76,7 +76,7 @@ def fact_shipments(shipments: DataFrame, sales: DataFrame, dates: DataFrame) ->
             "shipment_id",
             F.col("transaction_id").alias("sale_id"),
             E.date_key(F.to_date("ship_date")).alias("date_key"),
-            days.alias("delivery_time"),
+            days.cast("double").alias("delivery_time"),
             F.coalesce(days <= ON_TIME_DAYS, F.lit(False)).alias("on_time_flag"),
         )
         .join(sales.select("sale_id", "product_key", "store_key"), "sale_id")

@@ -24,7 +24,6 @@ from ..workspace import Workspace
 AS_OF = datetime(2002, 1, 1)
 SNAPSHOT_AT = datetime(2002, 2, 1)
 OPENED = datetime(1995, 1, 1)
-FIRST_DAY, LAST_DAY = date(1995, 1, 1), date(2001, 12, 31)
 STOCK_DAYS = ("2001-02-28", "2001-03-31", "2001-04-30", "2001-05-31", "2001-06-30", "2001-07-31")
 PAYMENTS = ("Cash", "UPI", "Credit Card", "Debit Card")
 MOVEMENT = (26.7, 24.2)
@@ -249,7 +248,13 @@ class RetailModel:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return dimensions.dim_date(self.spark, FIRST_DAY, LAST_DAY)
+        return dimensions.dim_date(self.spark, *self.days)
+
+    @cached_property
+    def days(self) -> tuple[date, date]:
+        """First and last day of the years that have orders."""
+        first, last = self.table("orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+        return date(first.year, 1, 1), date(last.year, 12, 31)
 
     @cached_property
     def dim_customer(self) -> DataFrame:

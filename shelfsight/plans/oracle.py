@@ -65,7 +65,7 @@ TABLES = {
         SELECT {_KEY.format('d')} AS date_key, d AS date, CAST(year(d) AS INTEGER) AS year,
                CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day, dayofweek(d) IN (0, 6) AS is_weekend,
                false AS is_holiday, CAST(NULL AS VARCHAR) AS festival_name
-        FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)""",
+        FROM (SELECT CAST(unnest(generate_series((SELECT date_trunc('year', min(o_orderdate)) FROM orders), (SELECT last_day(date_trunc('year', max(o_orderdate)) + INTERVAL 11 MONTH) FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)""",
     "raw_customers": f"""
         SELECT {_id('CUST', 'c_custkey')} AS customer_id, c_name AS name,
                CASE WHEN c_custkey % 50 = 0 THEN NULL
@@ -157,7 +157,7 @@ TABLES = {
                      CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS t FROM lineitem)
         JOIN orders ON l_orderkey = o_orderkey""",
     "fact_shipments": f"""
-        SELECT shipment_id, dd.date_key, product_key, store_key, days AS delivery_time,
+        SELECT shipment_id, dd.date_key, product_key, store_key, CAST(days AS DOUBLE) AS delivery_time,
                coalesce(days <= 5, false) AS on_time_flag
         FROM (SELECT *, CAST(floor((epoch(delivery_date) - epoch(ship_date)) / 86400) AS BIGINT) AS days FROM raw_shipments) s
         JOIN fact_sales f ON f.sale_id = s.transaction_id
@@ -297,8 +297,8 @@ _ANALYST = """
            concat(left(email, 1), '***@', split_part(email, '@', 2)) AS email_masked, c.city AS customer_city
     FROM fact_sales JOIN dim_customer c USING (customer_key)"""
 _FINANCE = """
-    SELECT sale_id, date_key, product_key, store_key, quantity, CAST(revenue AS DOUBLE) AS revenue,
-           c.name AS customer_name, email, phone, c.city AS customer_city, p.name AS product_name,
+    SELECT sale_id, date_key, customer_key, product_key, store_key, quantity, CAST(revenue AS DOUBLE) AS revenue,
+           CAST(discount AS DOUBLE) AS discount, c.name AS customer_name, email, phone, c.city AS customer_city, p.name AS product_name,
            p.category AS product_category, CAST(p.price AS DOUBLE) AS product_price,
            CAST(revenue - p.price * quantity AS DOUBLE) AS profit
     FROM fact_sales JOIN dim_customer c USING (customer_key) JOIN dim_product p USING (product_key)"""
@@ -382,6 +382,17 @@ FINAL = {
         ORDER BY date DESC""",
     "k10_clv": "SELECT * FROM clv ORDER BY total_revenue DESC, city",
     "k11_basket": "SELECT product_a, product_b, co_occurrence_count, confidence, lift FROM top_pairs ORDER BY co_occurrence_count DESC, expected, a, b",
+    "k11_large_baskets": """
+        WITH b AS (SELECT DISTINCT s_nationkey AS c, year(o_orderdate) AS d, l_partkey AS p
+                   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
+             n AS (SELECT p, count(*) AS n FROM b GROUP BY p),
+             t AS (SELECT x.p AS a, y.p AS b, count(*) AS co FROM b x JOIN b y ON x.c = y.c AND x.d = y.d AND x.p < y.p GROUP BY ALL)
+        SELECT pa.p_name AS product_a, pb.p_name AS product_b, co AS co_occurrence_count,
+               round(CAST(co AS DOUBLE) / CAST(na.n AS DOUBLE), 4) AS confidence,
+               round((CAST(co AS DOUBLE) / CAST(na.n AS DOUBLE)) / (CAST(nb.n AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE)
+                   FROM (SELECT DISTINCT c, d FROM b))), 4) AS lift
+        FROM t JOIN n na ON na.p = a JOIN n nb ON nb.p = b JOIN part pa ON pa.p_partkey = a JOIN part pb ON pb.p_partkey = b
+        ORDER BY co DESC, na.n * nb.n, a, b LIMIT 20""",
     "k12_summary": """
         SELECT 'Total Revenue' AS metric, CAST(sum(revenue) AS DOUBLE) AS value,
                '₹' || CAST(CAST(round(sum(revenue), 2) AS DECIMAL(38,2)) AS VARCHAR) AS formatted_value FROM fact_sales
@@ -444,6 +455,12 @@ FINAL = {
         SELECT transaction_id, date, store_id, customer_id, product_id, quantity, CAST(price AS DOUBLE) AS price,
                payment_method, CAST(discount AS DOUBLE) AS discount, {_REASON} AS quarantine_reason
         FROM raw_transactions WHERE {_REASON} <> ''""",
+    "c_first_copy": """
+        SELECT transaction_id, store_id, product_id, quantity, store_id IS NOT NULL AS is_complete FROM (
+            SELECT 'T' || CAST(event_id // 2 AS VARCHAR) AS transaction_id,
+                   CASE WHEN event_id % 3 <> 0 THEN 'ST' || CAST(user_id AS VARCHAR) END AS store_id,
+                   'P' || CAST(event_id % 10 AS VARCHAR) AS product_id, CAST(event_id % 4 + 1 AS INTEGER) AS quantity,
+                   row_number() OVER (PARTITION BY event_id // 2 ORDER BY event_id) AS rn FROM events) WHERE rn = 1""",
     "v_counts": f"""
         SELECT 'transactions' AS table_name, count(*) FILTER ({_REASON} = '') AS valid_rows,
                count(*) FILTER ({_REASON} <> '') AS quarantined_rows FROM raw_transactions""",
@@ -496,6 +513,8 @@ FINAL = {
     "e_new_customers": "SELECT * FROM new_customers",
     "e_changed_customers": "SELECT * FROM changed",
     "e_scd2_apply": "SELECT * FROM dim_customer_after",
+    "e_scd2_twice": "SELECT * FROM dim_customer_after",
+    "e_scd2_repeated": "SELECT * FROM dim_customer_after",
     "e_scd2_checks": """
         SELECT 'duplicate_version' AS check_name, count(*) AS violations FROM (
             SELECT customer_id, version FROM dim_customer_after GROUP BY customer_id, version HAVING count(*) > 1)
@@ -560,6 +579,10 @@ FINAL = {
         SELECT CAST(timestamp AS DATE) AS day, count(*) AS orders, CAST(sum(price * quantity) AS DOUBLE) AS revenue,
                round(CAST(sum(price * quantity) AS DOUBLE) / count(*), 6) AS avg_order_value
         FROM live_orders GROUP BY 1""",
+    "t_daily_repeated": """
+        SELECT CAST(timestamp AS DATE) AS day, count(*) AS orders, CAST(sum(price * quantity) AS DOUBLE) AS revenue,
+               round(CAST(sum(price * quantity) AS DOUBLE) / count(*), 6) AS avg_order_value
+        FROM live_orders GROUP BY 1""",
     "t_day_stats": """
         SELECT count(*) AS orders_today, CAST(sum(price * quantity) AS DOUBLE) AS revenue_today,
                round(CAST(sum(price * quantity) AS DOUBLE) / count(*), 6) AS avg_order_value,
@@ -599,6 +622,17 @@ FINAL = {
     "w_partition_roundtrip": """
         SELECT sale_id, date_key, CAST(revenue AS DOUBLE) AS revenue, strftime(date, '%Y-%m') AS date_partition, region
         FROM fact_sales JOIN dim_date USING (date_key) JOIN dim_store USING (store_key)""",
+    "w_partition_replaced": """
+        SELECT strftime(date, '%Y-%m') AS date_partition, region, count(*) AS sales, CAST(sum(revenue) AS DOUBLE) AS revenue
+        FROM fact_sales JOIN dim_date USING (date_key) JOIN dim_store USING (store_key)
+        WHERE date_key NOT BETWEEN 19980301 AND 19980331 GROUP BY ALL""",
+    "w_quarantine": f"""
+        SELECT 'transactions' AS table_name, {_REASON} AS quarantine_reason, count(*) AS row_count
+        FROM raw_transactions WHERE {_REASON} <> '' GROUP BY ALL""",
+    "s_csv_layouts": """
+        SELECT c_custkey, c_name, CASE WHEN c_custkey % 14 <> 7 THEN c_nationkey END AS c_nationkey, c_mktsegment,
+               CASE WHEN c_custkey % 14 = 7 THEN concat_ws(',', CAST(c_custkey AS VARCHAR), c_name, 'n/a', c_mktsegment) END AS _corrupt
+        FROM customer""",
     "w_samples": """
         SELECT CAST(sale_id AS VARCHAR) AS sale_id, date_key, CAST(revenue AS DOUBLE) AS revenue FROM fact_sales
         ORDER BY date_key, sale_id LIMIT 200""",

@@ -16,8 +16,6 @@ from ..streaming import orders as live
 from .flow import Warehouse, run_batch
 from .model import (
     AS_OF,
-    FIRST_DAY,
-    LAST_DAY,
     FREQUENCY,
     MOVEMENT,
     REGIONS,
@@ -129,6 +127,17 @@ def k11_basket(m: RetailModel) -> DataFrame:
     return basket.product_pairs(m.fact_sales, m.dim_product, m.work)
 
 
+@query
+def k11_large_baskets(m: RetailModel) -> DataFrame:
+    """What the suppliers of a nation sold in a year as one basket, of hundreds of products and more."""
+    lines = m.table("lineitem").join(m.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = lines.join(m.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        F.col("s_nationkey").cast("bigint").alias("customer_key"), F.year("o_orderdate").alias("date_key"), F.col("l_partkey").alias("product_key")
+    )
+    products = m.table("part").select(F.col("p_partkey").alias("product_key"), F.col("p_name").alias("product_id"))
+    return basket.product_pairs(sold, products, m.work)
+
+
 @query
 def k12_summary(m: RetailModel) -> DataFrame:
     return kpi.quick_summary(m.fact_sales)
@@ -183,6 +192,22 @@ def c_clean(m: RetailModel) -> DataFrame:
     return _as_double(m.cleaned.withColumn("date", F.to_date("date")), "price", "discount")
 
 
+@query
+def c_first_copy(m: RetailModel) -> DataFrame:
+    """Events as sales that come twice, once without a store: the copy that stands first counts."""
+    key = F.col("event_id")
+    raw = m.table("events").select(
+        F.concat(F.lit("T"), F.floor(key / 2).cast("string")).alias("transaction_id"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"),
+        F.when(key % 3 != 0, F.concat(F.lit("ST"), F.col("user_id").cast("string"))).alias("store_id"),
+        F.concat(F.lit("P"), (key % 10).cast("string")).alias("product_id"),
+        (key % 4 + 1).cast("int").alias("quantity"),
+        F.col("value").cast("decimal(12,2)").alias("price"),
+        key.alias(files.POSITION),
+    )
+    return cleaning.staged(raw, datetime(2030, 1, 1)).select("transaction_id", "store_id", "product_id", "quantity", "is_complete")
+
+
 @query
 def c_report(m: RetailModel) -> DataFrame:
     return cleaning.report(m.raw_transactions, m.staged)
@@ -428,6 +453,19 @@ def e_scd2_apply(m: RetailModel) -> DataFrame:
     return _after(m)
 
 
+@query
+def e_scd2_twice(m: RetailModel) -> DataFrame:
+    """The same snapshot applied again changes nothing."""
+    return scd.apply_snapshot(_after(m), _newest(m), SNAPSHOT_AT, m.work)
+
+
+@query
+def e_scd2_repeated(m: RetailModel) -> DataFrame:
+    """A snapshot that stages every customer a second time, with a city that sorts after all others."""
+    again = _newest(m).withColumn("city", F.lit("~elsewhere"))
+    return scd.apply_snapshot(_extended(m), _newest(m).unionByName(again), SNAPSHOT_AT, m.work)
+
+
 @query
 def e_scd2_checks(m: RetailModel) -> DataFrame:
     return scd.checks(_after(m), _newest(m))
@@ -576,6 +614,14 @@ def t_daily_window(m: RetailModel) -> DataFrame:
     return live.read_daily_stats(m.spark, out).drop("approx_customers")
 
 
+@query
+def t_daily_repeated(m: RetailModel) -> DataFrame:
+    """The stream with every tenth order sent twice."""
+    out, orders = m.work.fresh("daily_repeated"), m.orders_stream()
+    live.run_daily_stats(orders.union(m.orders_stream().where("order_id % 10 = 0")), out, STREAM_DELAY).awaitTermination()
+    return live.read_daily_stats(m.spark, out).drop("approx_customers")
+
+
 @query
 def t_day_stats(m: RetailModel) -> DataFrame:
     orders = _fed_orders(m)
@@ -683,12 +729,14 @@ def _write_raw(m: RetailModel) -> str:
     """Raw inputs as the CSV files a batch starts from."""
     folder = m.work.fresh("raw_csv")
     shipments = m.raw_shipments.withColumn("courier", F.lit("Any"))
+    # Cleaning keeps the copy that stands first in the files, so the files get an order that SQL can state.
+    order = [F.col(c).asc_nulls_last() for c in m.raw_transactions.columns if c != "transaction_id"]
     inputs = {
         "customers": m.raw_customers,
         "products": m.raw_products,
         "stores": m.raw_stores,
         "inventory": m.raw_inventory,
-        "transactions": m.raw_transactions,
+        "transactions": m.raw_transactions.orderBy(*order),
         "shipments": shipments,
     }
     for name, df in inputs.items():
@@ -702,7 +750,7 @@ def o_batch_flow(m: RetailModel) -> DataFrame:
 
     def run() -> Warehouse:
         warehouse = Warehouse(m.spark, m.work.fresh("warehouse"))
-        run_batch(warehouse, _write_raw(m), AS_OF, 1, FIRST_DAY, LAST_DAY, work=m.work, regions=REGIONS)
+        run_batch(warehouse, _write_raw(m), AS_OF, 1, *m.days, work=m.work, regions=REGIONS)
         return warehouse
 
     sales = m.once("batch_flow", run).table("fact_sales")
@@ -743,6 +791,25 @@ def w_partition_roundtrip(m: RetailModel) -> DataFrame:
     return _as_double(copy, "revenue").select("sale_id", "date_key", "revenue", "date_partition", "region")
 
 
+@query
+def w_partition_replaced(m: RetailModel) -> DataFrame:
+    """Written again without one month: nothing of it is left."""
+    path = m.work.fresh("sales_by_month")
+    files.write_partitioned_sales(m.fact_sales, m.dim_date, m.dim_store, path)
+    files.write_partitioned_sales(m.fact_sales.where("date_key NOT BETWEEN 19980301 AND 19980331"), m.dim_date, m.dim_store, path)
+    copy = files.read_partitioned_sales(m.spark, path, STAR["fact_sales"])
+    return copy.groupBy("date_partition", "region").agg(F.count("*").alias("sales"), F.sum("revenue").cast("double").alias("revenue"))
+
+
+@query
+def w_quarantine(m: RetailModel) -> DataFrame:
+    """What the ingest put aside, read back by reason."""
+    root = m.work.fresh("quarantine")
+    files.write_quarantine(ingest.quarantined_rows(m.raw_transactions, TRANSACTION_RULE), root, "transactions", AS_OF)
+    log = files.read_quarantine_log(m.spark, root, ["transactions", "customers"])
+    return log.groupBy("table_name", "quarantine_reason").agg(F.count("*").alias("row_count"))
+
+
 @query
 def w_samples(m: RetailModel) -> DataFrame:
     path = m.work.fresh("sample_fact_sales")
@@ -760,6 +827,19 @@ def s_csv_ingest(m: RetailModel) -> DataFrame:
     return _as_double(ingest.with_reason(read, TRANSACTION_RULE), "price", "discount")
 
 
+@query
+def s_csv_layouts(m: RetailModel) -> DataFrame:
+    """Customers in two files of different column order, one with ages that are no numbers; unreadable text is kept."""
+    path = m.work.fresh("customers_csv")
+    customers = m.table("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    odd = F.col("c_custkey") % 2 == 1
+    bad = F.when(F.col("c_custkey") % 7 == 0, F.lit("n/a")).otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey")
+    customers.where(odd).select("c_custkey", "c_name", bad, "c_mktsegment").write.option("header", True).csv(path)
+    customers.where(~odd).select("c_mktsegment", "c_nationkey", "c_custkey", "c_name").write.mode("append").option("header", True).csv(path)
+    read = files.read_csv_by_name(m.spark, path, customers.schema.fields)
+    return read.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", files.CORRUPT)
+
+
 @query
 def s_inventory_relabel(m: RetailModel) -> DataFrame:
     """Stock written under a header in another order than its data, read by position."""

@@ -79,7 +79,7 @@ STAR = {
         "inventory_id bigint, date_key int, product_key bigint, store_key bigint, stock_level int, reorder_point int"
     ),
     "fact_shipments": _struct(
-        "shipment_id string, date_key int, product_key bigint, store_key bigint, delivery_time bigint, "
+        "shipment_id string, date_key int, product_key bigint, store_key bigint, delivery_time double, "
         "on_time_flag boolean"
     ),
 }
