@@ -9,7 +9,8 @@ A document is the set of its distinct shingles of ``SHINGLE`` words, two documen
 3. The rest are partitioned into groups of similar documents: nodes with a common min-hash key are compared with two
    centres of their bucket, and those that link are one group.
 4. The matrix holds each group's union of shingles. A node (of the smaller group) opens a group only if a shingle
-   is in the prefixes of both, and if its overlap with the group's union reaches what a link needs.
+   is in the prefixes of both, if bit signatures allow the link, and if its overlap with the group's union reaches what a
+   link needs.
 5. Opened groups are compared with their queries in blocks, so a group of any size is split. One link between a query
    and a block is enough to join their components; all members of a group are in one component already.
 
@@ -41,6 +42,7 @@ KEYS = 3  # min-hash keys, each of two minima
 SLICE_TOKENS, SLICE_DOCS = 1 << 20, 60_000
 BUCKET_TOKENS = 2_000_000
 BLOCK_NODES = 2_000
+SIGNATURE = 1_024
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], "u8")
@@ -95,6 +97,11 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return map_texts(docs, [doc_id], text, start, "digest binary, n long, n_half long").withColumnRenamed(doc_id, "doc_id")
 
 
+def _table(rows: list[tuple], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+
+
 def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
@@ -151,22 +158,32 @@ def shared_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             yield dealt()
 
     def count(bucket: pa.Table) -> pa.Table:
+        """For each node of a bucket, how many of its shingles another node has; one row for each part of the nodes."""
+
         def joined(name: str, kind: str) -> list[np.ndarray]:
             return [np.frombuffer(v, kind) for v in bucket.column(name).to_pylist()]
 
-        node = np.concatenate([names[owner] for names, owner in zip(joined("nodes", "i8"), joined("owner", "<u2"))])
-        token = np.concatenate(joined("tokens", "<u4"))
-        by = np.lexsort((node, token))
-        node, token = node[by], token[by]
-        once = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-        node, token = node[once], token[once]
+        lists = joined("nodes", "i8")
+        names, place = np.unique(np.concatenate(lists), return_inverse=True)
+        owner = np.concatenate([own + start for own, start in zip(joined("owner", "<u2"), np.cumsum([0, *map(len, lists)]))])
+        # A shingle and its node in one number; an equal set that several tasks have told shows as equal numbers.
+        key = np.unique(np.concatenate(joined("tokens", "<u4")).astype("u8") << np.uint64(32) | place[owner].astype("u8"))
+        token = key >> np.uint64(32)
         same = token[1:] == token[:-1]
-        shared = np.append(False, same) | np.append(same, False)
-        names, n = np.unique(node[shared], return_counts=True)
-        return pa.table({"short": pa.array(names), "shared": pa.array(n.astype("i8"))})
+        shared = (np.append(False, same) | np.append(same, False)).astype(bool)
+        n = np.bincount((key[shared] & np.uint64(0xFFFFFFFF)).astype("i8"), minlength=len(names))
+        part = names % buckets
+        rows = [(int(k), names[own].tobytes(), n[own].astype("<i4").tobytes()) for k in np.unique(part[n > 0]) for own in [(part == k) & (n > 0)]]
+        return _table(rows, ("part", "nodes", "n"), (pa.int32(), pa.binary(), pa.binary()))
+
+    def add_up(part: pa.Table) -> pa.Table:
+        names, place = np.unique(np.concatenate([np.frombuffer(v, "i8") for v in part.column("nodes").to_pylist()]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([np.frombuffer(v, "<i4") for v in part.column("n").to_pylist()]))
+        return pa.table({"short": pa.array(names), "shared": pa.array(total.astype("i8"))})
 
     dealt = docs.select(F.col(text).cast("string")).mapInArrow(deal, "bucket int, nodes binary, owner binary, tokens binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "short long, shared long").groupBy("short").agg(F.sum("shared").alias("shared"))
+    counted = dealt.groupBy("bucket").applyInArrow(count, "part int, nodes binary, n binary")
+    return counted.groupBy("part").applyInArrow(add_up, "short long, shared long")
 
 
 def node_sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame) -> DataFrame:
@@ -212,6 +229,63 @@ def group_links(sets: DataFrame, threshold: int) -> DataFrame:
     return _linked(pairs.join(right, "b").join(left, "a").where(near), threshold)
 
 
+def _signatures(nodes: DataFrame) -> DataFrame:
+    """(digest, signature): the parity of a set's hashes at each of ``SIGNATURE`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, tokens in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
+                spots = (np.frombuffer(tokens, "u8") * _ODD[2]) >> np.uint64(64 - SIGNATURE.bit_length() + 1)
+                rows.append((key, np.packbits(np.bincount(spots.astype("i8"), minlength=SIGNATURE) & 1 == 1).tobytes()))
+            yield from _table(rows, ("digest", "signature"), (pa.binary(), pa.binary())).to_batches()
+
+    return nodes.select("digest", "tokens").mapInArrow(run, "digest binary, signature binary")
+
+
+def _candidates(prefix: DataFrame, queries: DataFrame, size: DataFrame, threshold: int) -> DataFrame:
+    """(digest, n, target): groups that a query of a smaller group may link with.
+
+    Nodes of different groups meet at each shingle that both have in their prefix, in blocks of ``BLOCK_NODES`` a side.
+    Signatures that differ in d bits come from sets that differ in d shingles at least, which bounds the overlap.
+    Only what passes that is given out, as pairs of a query and a group.
+    """
+    known = prefix.join(_signatures(queries), "digest").join(size.select("grp", "members"), "grp")
+    blocks = prefix.groupBy("token").agg(F.expr(f"cast(1 + count(*) div {BLOCK_NODES} as int)").alias("blocks"))
+    spot = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    every = F.explode(F.expr("sequence(0, blocks - 1)"))
+    known = known.join(blocks, "token")
+    rest = ["digest", "n", "grp", "members", "signature"]
+    asking = known.select("token", spot.alias("qb"), every.alias("mb"), F.lit(True).alias("asks"), *rest)
+    held = known.select("token", every.alias("qb"), spot.alias("mb"), F.lit(False).alias("asks"), *rest)
+    # Many shingles share a task; within it, those of one shingle and block pair are compared.
+    deals = 4 * int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asking.union(held).withColumn("deal", F.pmod(F.xxhash64("token", "qb", "mb"), F.lit(deals)).cast("int"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        names = table.column("digest").to_pylist()
+        groups = table.column("grp").to_pylist()
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        n, members, token, qb, mb = (np.array(table.column(c).to_pylist(), "i8") for c in ("n", "members", "token", "qb", "mb"))
+        number, group = np.unique(np.array(groups, object), return_inverse=True)  # in the order of the group ids
+        bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), "u8").reshape(len(names), -1)
+        by = np.lexsort((mb, qb, token))
+        edge = np.flatnonzero((np.diff(token[by]) != 0) | (np.diff(qb[by]) != 0) | (np.diff(mb[by]) != 0)) + 1
+        found: set[tuple[bytes, int, int]] = set()
+        for own in np.split(by, edge):
+            targets, askers = own[~asks[own]], own[asks[own]]
+            for q in askers:
+                t = targets[(members[targets] > members[q]) | ((members[targets] == members[q]) & (group[targets] > group[q]))]
+                apart = np.bitwise_count(bits[t] ^ bits[q]).sum(axis=1, dtype="i8")
+                both = n[t] + n[q]
+                # Twice the overlap is at most both - apart, and a link needs both * threshold / (100 + threshold) of it.
+                t = t[(both - apart) * (100 + threshold) >= 2 * threshold * both]
+                found.update((names[q], int(n[q]), g) for g in group[t].tolist())
+        return _table([(q, size, number[g]) for q, size, g in found], ("digest", "n", "target"), (pa.binary(), pa.int64(), pa.binary()))
+
+    return rows.groupBy("deal").applyInArrow(meet, "digest binary, n long, target binary").distinct()
+
+
 def open_links(sets: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     """Links between different groups, one for each query and block of an opened group that has any."""
     grouped = saved(sets.join(groups.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "n", "tokens", F.coalesce("root", "digest").alias("grp")), "grouped")
@@ -240,12 +314,8 @@ def open_links(sets: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     by_rarity = Window.partitionBy("digest").orderBy("groups", "token")
     placed = several.withColumn("place", F.row_number().over(by_rarity)).withColumn("own", F.count("*").over(Window.partitionBy("digest")))
     prefix = saved(placed.where(f"place <= own - {_needed('n', threshold)} + 1").select("digest", "n", "grp", "token"), "prefix")
-    size = queries.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    prefix_groups = prefix.select("token", "grp").distinct().join(size, "grp").select("token", F.col("grp").alias("target"), "members", "least", "most")
-    asked = prefix.join(size.select("grp", F.col("members").alias("own")), "grp").join(prefix_groups, "token")
-    smaller = "(own < members or (own = members and grp < target)) and grp <> target"
-    fits = f"most >= {_needed('n', threshold)} and least * {threshold} <= n * 100"
-    candidates = saved(asked.where(f"{smaller} and {fits}").select("digest", "n", "target").distinct(), "candidates")
+    size = queries.groupBy("grp").agg(F.count("*").alias("members"))
+    candidates = saved(_candidates(prefix, queries, size, threshold), "candidates")
 
     overlap = candidates.join(several.select("digest", "token"), "digest").join(union.withColumnRenamed("grp", "target"), ["token", "target"])
     opened = overlap.groupBy("digest", "target").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {_needed('n', threshold)}").select("digest", "target")
@@ -253,7 +323,7 @@ def open_links(sets: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     def block(members: str) -> F.Column:
         return F.pmod(F.xxhash64("digest"), F.expr(f"1 + {members} div {BLOCK_NODES}")).cast("int")
 
-    # A group is opened block by block: each query meets each member block once.
+    # A group is opened block by block: each block of queries meets each member block once.
     asking = saved(opened, "opened").withColumnRenamed("target", "grp")
     askers = asking.groupBy("grp").agg(F.count("*").alias("askers"))
     sizes = size.select("grp", "members").join(askers, "grp")
