@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import count_tokens
+from .common import saved
 
 #: Lengths that one block of the suffix sums holds. Blocks are summed apart, then each is finished by itself.
 BLOCK = 1024
@@ -55,18 +56,19 @@ def limits(histogram: DataFrame) -> DataFrame:
     ``quantile_from`` and ``quantile_to`` the shares of documents that are shorter and that are at most as long: the
     q-quantile of the lengths is the row with quantile_from < q <= quantile_to.
     """
+    histogram = saved(histogram, "lengths")  # a row for each length; the documents are encoded once
     sums = suffix_sums(histogram)
-    totals = histogram.agg(F.sum("n_docs").alias("_docs"), F.sum(F.col("n_tokens") * F.col("n_docs")).alias("total_tokens"))
-    shorter: Column = F.col("_docs") - F.col("docs_from_here")
-    # One row of totals goes to every row.
-    return sums.join(F.broadcast(totals)).select(
+    every = histogram.agg(F.sum("n_docs")).scalar()
+    total = histogram.agg(F.sum(F.col("n_tokens") * F.col("n_docs"))).scalar()
+    shorter: Column = every - F.col("docs_from_here")
+    return sums.select(
         F.col("n_tokens").alias("context_limit"),
         "n_docs",
         (F.col("docs_from_here") - F.col("n_docs")).alias("docs_cut"),
-        (F.col("total_tokens") - F.col("tokens_from_here") + F.col("n_tokens") * F.col("docs_from_here")).alias("truncated_tokens"),
-        "total_tokens",
-        (shorter / F.col("_docs")).alias("quantile_from"),
-        ((shorter + F.col("n_docs")) / F.col("_docs")).alias("quantile_to"),
+        (total - F.col("tokens_from_here") + F.col("n_tokens") * F.col("docs_from_here")).alias("truncated_tokens"),
+        total.alias("total_tokens"),
+        (shorter / every).alias("quantile_from"),
+        ((shorter + F.col("n_docs")) / every).alias("quantile_to"),
     )
 
 
