@@ -41,7 +41,7 @@ THRESHOLD = 75
 KEYS = 3  # min-hash keys, each of two minima
 SLICE_TOKENS, SLICE_DOCS = 1 << 20, 60_000
 BUCKET_TOKENS = 2_000_000
-BLOCK_NODES = 2_000
+BLOCK_NODES, BLOCK_TOKENS = 2_000, 1_000_000
 SIGNATURE = 1_024
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -51,7 +51,7 @@ _HALF = np.uint64(1 << 63)
 
 @lru_cache(1)
 def _hash_of_word() -> Callable[[bytes], int]:
-    return Cache(xxhash.xxh3_64_intdigest, 1_000_000).__getitem__
+    return Cache(xxhash.xxh3_64_intdigest, 150_000).__getitem__
 
 
 def shingles(text: str | None, length: int = SHINGLE) -> np.ndarray:
@@ -142,7 +142,7 @@ def shared_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                 key = digest(found)
                 if not len(found) or key in seen:
                     continue  # an equal set of this task has told the same already
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(key)
                 found = found[: np.searchsorted(found, _HALF)]
@@ -209,8 +209,8 @@ def _linked(pairs: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(*(batch.column(k).to_pylist() for k in (2, 3))):
-                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
+            for pair in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(k)[pair].as_buffer(), "u8") for k in (2, 3))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= threshold * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -235,8 +235,8 @@ def _signatures(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, tokens in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
-                spots = (np.frombuffer(tokens, "u8") * _ODD[2]) >> np.uint64(64 - SIGNATURE.bit_length() + 1)
+            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
+                spots = (np.frombuffer(tokens.as_buffer(), "u8") * _ODD[2]) >> np.uint64(64 - SIGNATURE.bit_length() + 1)
                 rows.append((key, np.packbits(np.bincount(spots.astype("i8"), minlength=SIGNATURE) & 1 == 1).tobytes()))
             yield from _table(rows, ("digest", "signature"), (pa.binary(), pa.binary())).to_batches()
 
@@ -292,11 +292,12 @@ def open_links(sets: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array(batch.column(1).to_pylist(), "i8")
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            tokens = np.concatenate([np.frombuffer(t, "i8") for t in batch.column(3).to_pylist()] + [np.empty(0, "i8")])
-            columns = [batch.column(k).take(owner) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens)], ["digest", "n", "grp", "token"])
+            for at in range(0, batch.num_rows, 64):  # a row gives as many as it has shingles
+                piece = batch.slice(at, 64)
+                tokens = [np.frombuffer(t.as_buffer(), "i8") for t in piece.column(3)]
+                owner = pa.array(np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]))
+                columns = [piece.column(k).take(owner) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(tokens))], ["digest", "n", "grp", "token"])
 
     def entries(of: DataFrame) -> DataFrame:
         return of.select("digest", "n", "grp", "tokens").mapInArrow(explode, "digest binary, n long, grp binary, token long")
@@ -314,22 +315,25 @@ def open_links(sets: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     by_rarity = Window.partitionBy("digest").orderBy("groups", "token")
     placed = several.withColumn("place", F.row_number().over(by_rarity)).withColumn("own", F.count("*").over(Window.partitionBy("digest")))
     prefix = saved(placed.where(f"place <= own - {_needed('n', threshold)} + 1").select("digest", "n", "grp", "token"), "prefix")
-    size = queries.groupBy("grp").agg(F.count("*").alias("members"))
+    size = queries.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n").alias("held"))
     candidates = saved(_candidates(prefix, queries, size, threshold), "candidates")
 
     overlap = candidates.join(several.select("digest", "token"), "digest").join(union.withColumnRenamed("grp", "target"), ["token", "target"])
     opened = overlap.groupBy("digest", "target").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(f"c >= {_needed('n', threshold)}").select("digest", "target")
 
-    def block(members: str) -> F.Column:
-        return F.pmod(F.xxhash64("digest"), F.expr(f"1 + {members} div {BLOCK_NODES}")).cast("int")
+    def blocks(nodes: str, tokens: str) -> F.Column:
+        return F.expr(f"cast(1 + greatest({nodes} div {BLOCK_NODES}, {tokens} div {BLOCK_TOKENS}) as int)")
+
+    def own(of: str) -> F.Column:
+        return F.pmod(F.xxhash64("digest"), F.col(of)).cast("int")
 
     # A group is opened block by block: each block of queries meets each member block once.
-    asking = saved(opened, "opened").withColumnRenamed("target", "grp")
-    askers = asking.groupBy("grp").agg(F.count("*").alias("askers"))
-    sizes = size.select("grp", "members").join(askers, "grp")
-    member = queries.join(sizes, "grp").select("grp", block("members").alias("mb"), F.explode(F.expr(f"sequence(0, cast(askers div {BLOCK_NODES} as int))")).alias("qb"), F.lit(False).alias("asks"), "digest", "tokens")
-    query = asking.join(queries.select("digest", "tokens"), "digest").join(sizes, "grp")
-    query = query.select("grp", F.explode(F.expr(f"sequence(0, cast(members div {BLOCK_NODES} as int))")).alias("mb"), block("askers").alias("qb"), F.lit(True).alias("asks"), "digest", "tokens")
+    asking = saved(opened.join(queries.select("digest", "n", "tokens"), "digest"), "opened").withColumnRenamed("target", "grp")
+    askers = asking.groupBy("grp").agg(blocks("count(*)", "sum(n)").alias("qs"))
+    sizes = size.select("grp", blocks("members", "held").alias("ms")).join(askers, "grp")
+    every = lambda of: F.explode(F.expr(f"sequence(0, {of} - 1)"))
+    member = queries.join(sizes, "grp").select("grp", own("ms").alias("mb"), every("qs").alias("qb"), F.lit(False).alias("asks"), "digest", "tokens")
+    query = asking.join(sizes, "grp").select("grp", every("ms").alias("mb"), own("qs").alias("qb"), F.lit(True).alias("asks"), "digest", "tokens")
 
     def compare(rows: pa.Table) -> pa.Table:
         asks = np.array(rows.column("asks").to_pylist())
