@@ -6,6 +6,11 @@ and its density of stop words. Blocks that are too short or too poor in stop wor
 these take the label of the nearest decided neighbour: one in the same container goes before others, then the nearer one;
 a heading looks ahead only.
 
+Names and form tags can mislead: a form may span the page, a layout class may name a part that it lacks. A container told by
+these alone counts as one of the page's wrappers, not as boilerplate, where it holds <main>, the page's only articles or
+most of its long blocks (``_wrappers``). Names that only say which parts a page has or how they behave (no-sidebar,
+header-fixed) tell nothing.
+
 Defined results: a null or empty html and a page without text give an empty text; the whole page is read, markup that is cut off
 at its end is dropped; character references are decoded, white space inside a block becomes one space, blocks are joined
 by a line feed in page order; repeated rows give repeated results; other columns are not read.
@@ -16,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -38,9 +44,20 @@ OUTSIDE = re.compile(
     r"signup|login|sidebar|aside|complementary|contentinfo|nav|navbar|navigation|menus?|breadcrumbs?|toolbar|pagination|pager|footer|masthead|topbar|site-header|page-header|"
     r"header|social|share|sharing|related|recommended|widgets?|comments?|comment-list|disqus|replies|respond|copyright|disclaimer|search)(?![a-z])"
 )
+#: Words that make a name say that a part is there, lacking or in some state, in front of the part and behind it; and titles' headers.
+_MODIFIED = re.compile(
+    r"(?:^|[-_])(?:has|have|no|not|non|with|without|is|hide|hides|show|shows|enables?|disables?|toggles?)[-_]|"
+    r"(?:header|nav|navbar|menu|sidebar|footer|topbar|toolbar|search|modal|comments?)[-_](?:is[-_])?(?:fixed|sticky|static|absolute|transparent|visible|hidden|enabled|disabled|active|open|opened|closed|collapsed|expanded|on|off)$|"
+    r"(?:post|entry|article|story|news|blog|content|section|title|chapter|recipe)[-_]+header(?![a-z])"
+)
+_BESIDE = re.compile(r"(?<![a-z])(?:comments?|disqus|replies|respond|related|recommended|widgets?|sidebar|promo(?:tion)?s?)(?![a-z])")
+#: A wrapper by its text holds more than half of the page's long blocks, and where only a name speaks against it
+#: at least so many times what stands free, and two of them or more.
+MOST_OF_FREE = 9
 _DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|head|title|select|textarea|button|option|audio|video|map"
 _SKIPPED_TAGS = frozenset(_DROPPED.split("|"))
-_OUTSIDE_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "fieldset"))
+_OUTSIDE_TAGS = frozenset(("nav", "footer", "aside", "menu", "dialog"))
+_FORM_TAGS = frozenset(("form", "fieldset"))
 _MAIN_TAGS = frozenset(("article", "main"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CONTAINERS = frozenset("article main section div nav header footer aside form ul ol dl table tbody thead tr menu dialog fieldset details body blockquote figure center".split())
@@ -62,30 +79,83 @@ class Block:
     label: str = "open"
 
 
+@dataclass(slots=True)
+class Container:
+    tag: str
+    above: int
+    main: bool
+    outside: bool  # by its own tag
+    doubted: bool  # outside by its name or as a form, if it is no wrapper
+    beside: bool = False  # named for what may hold articles of its own
+
+
+def _outside_name(names: str, main: bool) -> bool:
+    """Whether one of the names states a part outside the main text; headers inside the main text are its own."""
+    for name in names.split():
+        if (found := OUTSIDE.search(name)) and not _MODIFIED.search(name):
+            if not (main and "header" in found[0] and len(OUTSIDE.findall(name)) == 1):
+                return True
+    return False
+
+
+def _wrappers(blocks: list[Block], containers: list[Container]) -> None:
+    """Clears ``doubted`` where a container wraps the page's text, from the outermost on; linear in blocks and containers."""
+    n = len(containers)
+    hard, beside, last = [False] * n, [False] * n, list(range(n))
+    for k, c in enumerate(containers[1:], 1):
+        hard[k], beside[k] = hard[c.above] or c.outside, beside[c.above] or c.beside
+    for k in range(n - 1, 0, -1):  # what a container holds has the numbers from its own to its last
+        last[containers[k].above] = max(last[containers[k].above], last[k])
+    plain = [b for b in blocks if b.linked <= LINK_DENSITY * len(b.text) and not hard[b.container]]
+    plain = [b for b in plain if len(b.text) >= LONG_BLOCK and not b.heading] or plain
+    sizes, counts = [0] * (n + 1), [0] * (n + 1)
+    for block in plain:
+        sizes[block.container + 1] += len(block.text)
+        counts[block.container + 1] += 1
+    sizes, counts = list(accumulate(sizes)), list(accumulate(counts))
+    held = [sizes[last[k] + 1] - sizes[k] for k in range(n)]
+    under = [0] * n  # what the outermost doubted containers below hold
+    for k in range(n - 1, 0, -1):
+        under[containers[k].above] += held[k] if containers[k].doubted else under[k]
+    total, free = sizes[n], sizes[n] - under[0]
+    told = {tag: [k for k, c in enumerate(containers) if c.tag == tag and not hard[k] and not beside[k]] for tag in _MAIN_TAGS}
+    mains = told["main"] or told["article"]
+    within = [False] * n
+    for k, c in enumerate(containers[1:], 1):
+        if c.doubted and not within[c.above] and (not mains or k < mains[0] and mains[-1] <= last[k]):
+            form, most = c.tag in _FORM_TAGS, 2 * held[k] > total
+            enough = form or (counts[last[k] + 1] - counts[k] > 1 and held[k] >= MOST_OF_FREE * free)
+            if (mains and (told["main"] or form or 2 * held[k] >= total)) or (most and enough):
+                c.doubted = False
+                free += held[k] - under[k]
+        within[k] = within[c.above] or c.doubted
+
+
 class _Reader:
     def __init__(self, page: str) -> None:
         self.page, self.blocks = page, []
-        self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, outside, main, number
-        self.numbers = 0
+        self.stack: list[tuple[str, int]] = [("", 0)]  # tag, number
+        self.containers = [Container("", 0, False, False, False)]
         self.pieces: list[str] = []
         self.linked, self.in_link, self.heading, self.breaks = 0, False, False, 0
 
     def flush(self) -> None:
         text = " ".join(entities.unescape("".join(self.pieces)).split()) if self.pieces else ""
         if text:
-            _, outside, main, number = self.stack[-1]
-            self.blocks.append(Block(text, min(self.linked, len(text)), outside, main, self.heading, number))
+            number = self.stack[-1][1]
+            self.blocks.append(Block(text, min(self.linked, len(text)), False, self.containers[number].main, self.heading, number))
         self.pieces, self.linked, self.breaks = [], 0, 0
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in _CONTAINERS:
-            _, outside, main, _ = self.stack[-1]
-            main = main or tag in _MAIN_TAGS
+            above = self.stack[-1][1]
+            main = self.containers[above].main or tag in _MAIN_TAGS
             names = " ".join(filter(None, (n for m in _NAMES.finditer(attributes) for n in m.groups()))).lower() if attributes else ""
-            outside = outside or tag in _OUTSIDE_TAGS or (tag == "header" and not main)
-            outside = outside or bool(names and tag != "body" and tag not in _MAIN_TAGS and OUTSIDE.search(names) and not (main and tag == "header"))
-            self.numbers += 1
-            self.stack.append((tag, outside, main, self.numbers))
+            outside = tag in _OUTSIDE_TAGS or (tag == "header" and not main)
+            doubted = tag in _FORM_TAGS or bool(names and tag != "body" and tag not in _MAIN_TAGS and not (main and tag == "header") and _outside_name(names, main))
+            self.stack.append((tag, len(self.containers)))
+            doubted = doubted and not outside
+            self.containers.append(Container(tag, above, main, outside, doubted, doubted and bool(_BESIDE.search(names))))
         self.heading = tag in _HEADINGS
 
     def close(self, tag: str) -> None:
@@ -125,6 +195,18 @@ class _Reader:
                 self.in_link = False
                 self.close(tag) if closing else self.open(tag, attributes)
         self.flush()
+        return self.placed()
+
+    def placed(self) -> list[Block]:
+        """The blocks, each with whether a container around it is outside the main text."""
+        if any(c.doubted for c in self.containers):
+            _wrappers(self.blocks, self.containers)
+        outside = [False] * len(self.containers)
+        for k, c in enumerate(self.containers[1:], 1):
+            # What holds <main> can't be a menu, whatever its tag.
+            outside[k] = (outside[c.above] and c.tag != "main") or c.outside or c.doubted
+        for block in self.blocks:
+            block.outside = outside[block.container]
         return self.blocks
 
     def add(self, text: str) -> None:

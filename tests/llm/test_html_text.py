@@ -27,6 +27,29 @@ def test_inside_an_article():
     assert main_text(page(f'<article><header><h1>A title</h1></header><p>{LONG}</p><div class="ad">Buy the thing of the day</div><p>Short.</p><p>{LONG}2</p></article>')) == WANT
 
 
+def test_containers_around_the_whole_text():
+    for tag in (
+        '<form id="aspnetForm" action="x">', '<div id=page class="site no-sidebar">', '<div class="header-fixed">', '<div class="wrap has-comments with-menu">', '<div class="menu-layout">', '<div class="layout sidebar-left">',
+    ):
+        end = "</form>" if tag.startswith("<form") else "</div>"
+        for body in (f"<article>{ART}</article>", f"<main>{ART}</main>", f"<div class=content>{ART}</div>"):
+            more = f'<div class="sidebar"><p>{LONG}</p></div><section class=comments><p>{LONG}</p></section>'
+            assert main_text(page(f"{tag}{body}{more}{end}")) == WANT, (tag, body)
+    assert main_text(page(f'<article><div class="post-header"><h1>A title</h1></div><p>{LONG}</p><p>Short.</p><p>{LONG}2</p></article>')) == WANT
+
+
+def test_long_parts_beside_the_text_still_go():
+    for extra in (f"<section class=comments>{f'<article><p>{LONG}</p></article>' * 9}</section>", f"<div class=comments>{f'<p>{LONG}</p>' * 9}</div>", f"<div class='cookie-notice'><p>{LONG}</p></div>"):
+        assert main_text(page(f"<article>{ART}</article>{extra}")) == WANT, extra
+    assert main_text(page(f"<div>{ART}</div><section class=comments>{f'<article><p>{LONG}</p></article>' * 9}</section>")) == WANT
+    assert main_text(page(f"<div class=menu-layout><article>{ART}</article></div><section class=comments><article><p>{LONG}</p></article></section>")) == WANT
+
+
+def test_deep_and_many_containers():
+    assert main_text("<div class=layout-menu>" * 50_000 + ART) == WANT
+    assert main_text(f"<div>{ART}</div>" + "<div class=ad>word</div>" * 50_000) == WANT
+
+
 def test_broken_markup():
     assert main_text(page(f"<article><h1>A title</h1><p><b>{LONG}<br><p>Short.<p>{LONG}2</article>")) == WANT
     assert main_text(f"<p>{LONG}<p>Short.<p>{LONG}<div class='x") == f"{LONG.strip()}\nShort.\n{LONG.strip()}"
