@@ -6,6 +6,10 @@ and its density of stop words. Blocks that are too short or too poor in stop wor
 these take the label of the nearest decided neighbour: one in the same container goes before others, then the nearer one;
 a heading looks ahead only.
 
+Stop words tell nothing in other languages, in tables, lists and code. So a long run of open blocks (``LONG_RUN``) never follows
+what stands in menus, footers and the like: it is text where no block of the page is good, and follows the other neighbours
+elsewhere.
+
 Names and form tags can mislead: a form may span the page, a layout class may name a part that it lacks. A container told by
 these alone counts as one of the page's wrappers, not as boilerplate, where it holds <main>, the page's only articles or
 most of its long blocks (``_wrappers``). Names that only say which parts a page has or how they behave (no-sidebar,
@@ -38,6 +42,8 @@ STOP_WORDS = frozenset(
 )
 #: Blocks of at least so many characters are judged by their stop words, at least this share of their words.
 LONG_BLOCK, STOP_DENSITY, LINK_DENSITY = 70, 0.08, 0.5
+#: Bytes in UTF-8 that neighbouring open blocks need together to be text without a stop word; a character of Chinese says as much as some Latin letters.
+LONG_RUN = 100
 #: What classes, ids and roles of containers outside the main text are called, as whole words of the name.
 OUTSIDE = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|"
@@ -231,25 +237,49 @@ def first_pass(blocks: list[Block], stop_words: frozenset[str]) -> None:
                 block.label = "good"
 
 
+def long_runs(blocks: list[Block]) -> set[int]:
+    """Places of the open blocks that stand in runs of ``LONG_RUN`` bytes or more; they become good on a page without a good block."""
+    long: set[int] = set()
+    run: list[int] = []
+    for k in range(len(blocks) + 1):
+        if k < len(blocks) and blocks[k].label == "open":
+            run.append(k)
+            continue
+        if sum(len(blocks[j].text.encode("utf-8", "surrogatepass")) for j in run) >= LONG_RUN:
+            long.update(run)
+        run = []
+    if not any(b.label == "good" for b in blocks):
+        for k in long:
+            blocks[k].label = "good"
+        return set()
+    return long
+
+
 def second_pass(blocks: list[Block]) -> None:
     """Open blocks take the label of the nearest decided neighbour; those without any belong to the text."""
+    long = long_runs(blocks)
     decided = [b.label if b.label != "open" else None for b in blocks]
     before: list[int | None] = []
-    last = None
+    inside: list[int | None] = []  # as before, of those in no container outside the main text
+    last = last_inside = None
     for k, label in enumerate(decided):
         before.append(last)
+        inside.append(last_inside)
         last = k if label else last
-    last = None
+        last_inside = k if label and not blocks[k].outside else last_inside
+    last = last_inside = None
     for k in range(len(blocks) - 1, -1, -1):
         block = blocks[k]
         if not decided[k]:
-            near = [n for n in ((last,) if block.heading and last is not None else (before[k], last)) if n is not None]
+            prior, after = (inside[k], last_inside) if k in long else (before[k], last)
+            near = [n for n in ((after,) if block.heading and after is not None else (prior, after)) if n is not None]
             own = [n for n in near if blocks[n].container == block.container] or [n for n in near if blocks[n].main == block.main] or near
             # At the same distance the text goes before what stands around it.
             chosen = min(own, key=lambda n: (abs(n - k), decided[n] != "good"), default=None)
             block.label = decided[chosen] if chosen is not None and (own is not near or not block.main) else "good"
         else:
             last = k
+            last_inside = k if not block.outside else last_inside
 
 
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:

@@ -69,6 +69,28 @@ def test_open_blocks_follow_their_neighbours():
     assert main_text(low) == low
 
 
+def test_texts_without_stop_words_stay():
+    italian = "Nella vecchia casa sulla collina viveva molto tempo fa una famiglia numerosa, ogni sera tutti cantavano insieme davanti alla finestra."
+    polish = "Dawno temu w starym domu przy lesie mieszkał młynarz, który każdego ranka chodził nad rzekę i wracał dopiero wieczorem."
+    russian = "Давным-давно в старом доме у самого леса жил мельник, который каждое утро ходил к реке и возвращался только вечером."
+    chinese = "很久以前，在森林边的一座老房子里住着一位磨坊主，他每天早晨都走到河边，直到傍晚才回家，村里的人都认识他。"
+    notice = f'<div class="cookie-notice"><p>{LONG}</p></div>'
+    for text in (italian, polish, russian, chinese):
+        for times in (1, 3, 30):
+            want = "\n".join([text] * times)
+            for around in ("", notice):
+                assert main_text(page(f"{around}<div>{f'<p>{text}</p>' * times}</div>")) == want, text
+            assert main_text(page(f'<form id=aspnetForm><div class="main-menu"><a href=/>{text}</a></div><div>{f"<p>{text}</p>" * times}</div></form>')) == want, text
+    cells = [f"cell {k}" for k in range(40)]
+    rows = "".join(f"<tr><td>{c}</td></tr>" for c in cells)
+    assert main_text(page(f"<table>{rows}</table>")) == "\n".join(cells)
+    assert main_text(page("<ul>" + "".join(f"<li>{c}</li>" for c in cells) + "</ul>")) == "\n".join(cells)
+    code = "x = f(y)\n" * 40
+    assert main_text(page(f"<div><pre>{code}</pre></div>")) == " ".join(code.split())
+    # Beside good blocks, long runs aren't lost to the footer either.
+    assert main_text(page(f"<div>{ART}</div>" + f"<div><p>{italian}</p></div>" * 5)) == WANT + f"\n{italian}" * 5
+
+
 def test_table(spark):
     rows = [(1, "u", page(f"<article>{ART}</article>"), 5), (2, None, None, 5), (None, "u", "", 5), (3, "v", "plain words", 5), (3, "v", "plain words", 5), (4, "w", f"<p>{LONG * 20_000}</p>", 5)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
