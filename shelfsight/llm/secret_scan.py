@@ -5,8 +5,9 @@ Base kinds, in this order: ``assign`` (a value given to a name such as password
 
 The kind ``random`` comes from token efficiency: characters per token of a string under a tiktoken vocabulary. Words,
 names and paths take few tokens, random strings many. Known digests (hex of the length of MD5, SHA-1, SHA-2) and
-identifiers (UUIDs, numbers, dates, dotted or underscored words, addresses) are left out first, and so is what a base span
-covers already.
+identifiers (UUIDs, numbers, dates, dotted or underscored words, addresses) are left out first. Words are letters in one
+case pattern: lower, UPPER, Capitalised or camelCase of parts with a vowel; other mixed-case strings are left to the
+test, with digits or without. What a base span covers is cut out of a string, and the rests that are long enough are tested.
 
 Defined results: a null text counts as empty and has no spans; spans count code points, the end is exclusive; repeated rows
 give repeated results; other columns are not read.
@@ -36,8 +37,12 @@ CHARS_PER_TOKEN = 2.1
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_IDENTIFIER = re.compile(r"[0-9_/=+-]+|([A-Za-z]+[0-9]{0,4}|[0-9]+)([_/.-]+([A-Za-z]+[0-9]{0,4}|[0-9]+))*[_/.-]*")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+_WORD = r"(?:[a-z]++|[A-Z]++|[A-Z][a-z]++|[A-Z]?(?=[a-z]*[aeiouy])[a-z]{2,}+(?:[A-Z](?=[a-z]*[aeiouy])[a-z]{2,}+)*+)"
+_PART = rf"(?:{_WORD}[0-9]{{0,4}}|[0-9]+)"
+_IDENTIFIER = re.compile(rf"{_PART}(?:[_/.-]+{_PART})*[_/.-]*")
+_WORDS_ONLY = re.compile(rf"[_/=+-]*{_WORD}(?:[_/=+-]+{_WORD})*[_/=+-]*")
+_LETTER = re.compile(r"[A-Za-z]")
+SHORTEST = 16  # as in CANDIDATE
 
 SPANS = "spans array<struct<kind:string,start:int,end:int>>"
 
@@ -49,12 +54,12 @@ def default_vocabulary() -> str:
 
 
 def excluded(string: str) -> bool:
-    """Known digests and identifiers, and what has no mix of letters and digits."""
-    if not _DIGIT.search(string) or not _LETTER.search(string):
+    """Known digests and identifiers, and what has no letters."""
+    if not _LETTER.search(string):
         return True
     if len(string) in DIGEST_LENGTHS and _DIGEST.fullmatch(string):
         return True
-    return bool(_UUID.fullmatch(string) or _IDENTIFIER.fullmatch(string))
+    return bool(_UUID.fullmatch(string) or _IDENTIFIER.fullmatch(string) or _WORDS_ONLY.fullmatch(string))
 
 
 def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[str, int, int]]:
@@ -69,16 +74,37 @@ def base_spans(text: str, runs: list[re.Match] | None = None) -> list[tuple[str,
     return found
 
 
+def rests(runs: list[re.Match], covered: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans leave of ``runs``, in pieces that are long enough."""
+    cuts: list[list[int]] = []  # apart from each other, in order
+    for start, end in sorted((s, e) for _, s, e in covered):
+        if cuts and start <= cuts[-1][1]:
+            cuts[-1][1] = max(cuts[-1][1], end)
+        else:
+            cuts.append([start, end])
+    found, k = [], 0
+    for m in runs:
+        at, end = m.span()
+        while k < len(cuts) and cuts[k][0] < end:
+            if cuts[k][0] - at >= SHORTEST:
+                found.append((at, cuts[k][0]))
+            at = max(at, cuts[k][1])
+            if at > end:  # it reaches into the next run
+                break
+            k += 1
+        if end - at >= SHORTEST:
+            found.append((at, end))
+    return found
+
+
 def random_spans(
-    runs: list[re.Match], n_tokens: Callable[[str], int], covered: list[tuple[str, int, int]], threshold: float = CHARS_PER_TOKEN
+    text: str, runs: list[re.Match], n_tokens: Callable[[str], int], covered: list[tuple[str, int, int]], threshold: float = CHARS_PER_TOKEN
 ) -> list[tuple[str, int, int]]:
-    """Those of ``runs`` that take many tokens for their length and don't touch a base span."""
+    """The strings of ``runs`` outside base spans that take many tokens for their length."""
     found = []
-    for m in runs:
-        string, start, end = m.group(), m.start(), m.end()
-        if excluded(string) or any(s < end and start < e for _, s, e in covered):
-            continue
-        if len(string) < threshold * n_tokens(string):
+    for start, end in rests(runs, covered):
+        string = text[start:end]
+        if not excluded(string) and len(string) < threshold * n_tokens(string):
             found.append(("random", start, end))
     return found
 
@@ -109,7 +135,7 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str | N
                 return ([],)
             runs = list(CANDIDATE.finditer(t))
             base = base_spans(t, runs)
-            return ([dict(zip(("kind", "start", "end"), s)) for s in in_order(base + random_spans(runs, n_tokens, base, threshold))],)
+            return ([dict(zip(("kind", "start", "end"), s)) for s in in_order(base + random_spans(t, runs, n_tokens, base, threshold))],)
 
         return handle
 
