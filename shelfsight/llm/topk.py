@@ -14,13 +14,13 @@ are one query; so a vector that a third of the rows share is copied and solved o
 
 Defined results: vectors that are null, hold null or non-finite components, or differ in length from the shared ``dimension``
 (that of the smallest id) take no part; ties go to the smaller id; a query never meets its own id, also where an id repeats;
+an id that repeats with other vectors takes one place, with its best score over them and over the query's vectors;
 repeated rows of one id and vector count once; null ids take no part; fewer than k candidates give all; an empty table gives no
 rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,16 +82,17 @@ def _bounds(cells: DataFrame, queries: DataFrame, table: np.ndarray, k: int) ->
     radius = np.full(len(table), -1.0)
     for r in queries.groupBy("cell").agg(F.max("distance").alias("r")).collect():  # a row for each pivot
         radius[r["cell"]] = r["r"]
-    # k + 1 near candidates of each pivot, as a query may have to leave one out.
-    near = Window.partitionBy("cell").orderBy("distance")
-    first = cells.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k + 1).select("cell", "distance", "held").collect()
+    # k + 1 near ids of each pivot, each by its nearest vector, as a query may have to leave one out.
+    nearest = cells.select("cell", "distance", F.explode("ids").alias("id")).groupBy("cell", "id").agg(F.min("distance").alias("distance"))
+    near = Window.partitionBy("cell").orderBy("distance", "id")
+    first = nearest.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k + 1).select("cell", "distance", "id").collect()
     bound = np.full(len(table), np.inf)
     for cell in np.flatnonzero(radius >= 0):
-        reach = sorted((radius[cell] + between[cell, r["cell"]] + r["distance"], r["held"]) for r in first)
-        count = 0
+        reach = sorted((radius[cell] + between[cell, r["cell"]] + r["distance"], r["id"]) for r in first)
+        met = set()  # an id may be near more than one pivot
         for distance, held in reach:
-            count += held
-            if count >= k + 1:
+            met.add(held)
+            if len(met) >= k + 1:
                 bound[cell] = distance
                 break
     return radius, bound
@@ -139,22 +140,27 @@ def _copies(cells: DataFrame, pivots, bounds, group_of: np.ndarray, largest: flo
 
 
 def _solver(k: int):
-    """Best ids of each query among the candidates of one block."""
+    """The k + 1 best distinct ids of each query among the candidates of one block, each by its best vector."""
 
     def solve(rows: pa.Table) -> pa.Table:
         asks = np.asarray(rows.column("ids").is_null())
         every = _matrix(rows.column("v").combine_chunks())
         queries, own = every[asks], every[~asks]
-        ids = [v for v in rows.column("ids").to_pylist() if v is not None]
+        lists = rows.column("ids").combine_chunks().filter(pa.array(~asks))
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        vector = np.repeat(np.arange(len(own)), lists.value_lengths().to_numpy(zero_copy_only=False))[order]
+        names, starts = np.unique(ids[order], return_index=True)
         out: list[list] = [[], [], []]
         for query in queries if len(own) else ():
-            scores = own @ query
-            # k + 1 distinct vectors hold k + 1 ids or more; all that tie with the last of them are compared by id.
+            scores = np.maximum.reduceat((own @ query)[vector], starts)  # of each id
+            # All that tie with the last of k + 1 are compared by id.
             edge = np.partition(scores, -(k + 1))[-(k + 1)] if len(scores) > k + 1 else scores.min()
-            best = heapq.nsmallest(k + 1, ((-int(scores[j]), i) for j in np.flatnonzero(scores >= edge) for i in ids[j]))
+            near = np.flatnonzero(scores >= edge)
+            best = near[np.argsort(-scores[near], kind="stable")[: k + 1]]
             out[0] += [query.tolist()] * len(best)
-            out[1] += [i for _, i in best]
-            out[2] += [-score for score, _ in best]
+            out[1] += names[best].tolist()
+            out[2] += [int(score) for score in scores[best]]
         return pa.table({"v": pa.array(out[0], pa.list_(pa.float64())), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
     return solve
@@ -166,7 +172,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     rows = vectors(df, vec_id, embedding)
     first = rows.orderBy("id").limit(1).select(F.size("v").alias("n")).first()
     dimension = first["n"] if first else 1
-    candidates = saved(_smallest_ids(rows.where(F.size("v") == dimension), k + 1).withColumn("held", F.size("ids")), "vectors")
+    candidates = saved(_smallest_ids(rows.where(F.size("v") == dimension), k + 1), "vectors")
     asked = saved(vectors(df.where(is_query), vec_id, embedding).where(F.size("v") == dimension).distinct(), "queries")
 
     table, largest = _pivots(candidates, dimension)

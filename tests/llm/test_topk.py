@@ -62,3 +62,19 @@ def test_many_blocks(spark, monkeypatch):
 def test_zero_vectors(spark):
     rows = [(k * 25, [0.0, 0.0]) for k in range(8)]
     assert found(spark, rows) == brute(rows, 5)
+
+
+def test_ids_that_repeat_with_other_vectors(spark, monkeypatch):
+    dice = random.Random(7)
+    values = [0.0, 0.25, 0.5, -0.25, 1.0]
+    rows = [(k, [dice.choice(values) for _ in range(4)]) for k in range(120)]
+    rows += [(7, [8.0 + j, 8.0, 8.0, 8.0]) for j in range(10)]  # leads every list with ten vectors
+    assert found(spark, rows) == brute(rows, 5)
+    # Two ids, one of them a query, with a third of the rows each; the block of a part may hold one id only.
+    rows += [(k, [dice.choice(values) * 4 for _ in range(4)]) for k in (9, 50) for _ in range(120)]
+    assert found(spark, rows) == brute(rows, 5)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk, "BLOCK_CANDIDATES", 6)
+    assert found(spark, rows) == brute(rows, 5)
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.25, 0.0])] + [(3, [9.0, float(j)]) for j in range(40)]
+    assert found(spark, rows) == brute(rows, 5) and len(found(spark, rows)) == 3
