@@ -4,8 +4,9 @@ Each stage is (name, function); the function takes (spark, docs, sf_dir) and ret
 folder and read again as the next stage's docs. All but the last return the columns of documents.
 
 1. language: documents of no learned language, or of too uncertain a one, go.
-2. near copies: one document of each group of links stays, that with the smallest id. Of rows that repeat an id and its text
-   one stays. A row without an id can't be named by a group; one of each text stays.
+2. near copies: of the rows of each group of links one with an id stays, that with the smallest, and one of those without an
+   id. Where the smallest id repeats with other texts of its group, one of them stays. Texts without a word are in no group;
+   one of each id and text stays.
 3. benchmark: documents that hold a benchmark passage go.
 4. secrets: every secret found is replaced by a mark, n_chars is counted anew; the document stays.
 5. tokens: each text as token ids, with digests of the ids and of the text decoded from them.
@@ -42,11 +43,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    links = ngram_join.join(docs.select("doc_id", "text"))
-    staying = links.where("n_shingles = 0 or doc_id = component_id").select("doc_id").distinct()
-    # The join has dealt the rows by id already, which also brings repeated rows together.
-    kept = docs.join(staying, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    own, names, text = _shielded(docs)
+    doc_id = F.col(names[docs.columns.index("doc_id")])
+    told = F.concat(
+        F.coalesce(F.concat(F.length(doc_id.cast("string")).cast("string"), F.lit(":"), doc_id.cast("string")), F.lit("-")),
+        F.coalesce(F.concat(F.lit("t"), F.col(text).cast("string")), F.lit("-")),
+    )
+    keyed = own.withColumn("_key", F.md5(told.cast("binary")))  # of the id and the text, so that neither nulls nor repeated ids are one key
+    rows = ngram_join.rows_in_groups(keyed.select(doc_id.alias("doc_id"), F.col(text).alias("text"), "_key"), more=("_key",))
+    group = F.coalesce(F.hex("component"), F.col("_key")).alias("_group")
+    staying = rows.groupBy(group, F.col("doc_id").isNull().alias("_unnamed")).agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+    # The join has dealt the rows by key already, which also brings repeated rows together.
+    return keyed.join(staying, "_key", "left_semi").dropDuplicates(["_key"]).select(*names).toDF(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

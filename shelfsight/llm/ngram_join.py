@@ -84,8 +84,8 @@ def _needed(n: str, threshold: int) -> str:
     return f"(({n} * {threshold} + 99) div 100)"
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, digest, n, n_half) of every row: its set, the set's size and how many of it lie in the lower half."""
+def sketch(docs: DataFrame, doc_id: str, text: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, more, digest, n, n_half) of every row: its set, the set's size and how many of it lie in the lower half."""
 
     def start():
         def handle(t):
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         return handle
 
-    return map_texts(docs, [doc_id], text, start, "digest binary, n long, n_half long").withColumnRenamed(doc_id, "doc_id")
+    return map_texts(docs, [doc_id, *more], text, start, "digest binary, n long, n_half long").withColumnRenamed(doc_id, "doc_id")
 
 
 def _table(rows: list[tuple], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> pa.Table:
@@ -361,8 +361,13 @@ def open_links(sets: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id that links lead to."""
+    return rows_in_groups(docs, doc_id, text, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def rows_in_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, more: tuple[str, ...] = ()) -> DataFrame:
+    """As ``join``, with the columns ``more`` of each row and the digest that names its component, null without shingles."""
     spark = docs.sparkSession
-    drawn = saved(sketch(docs, doc_id, text), "sketch")
+    drawn = saved(sketch(docs, doc_id, text, more), "sketch")
     total = drawn.agg(F.sum("n").alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + int(total) // (2 * BUCKET_TOKENS))
     nodes = drawn.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("n_half").alias("n_half"))
@@ -379,7 +384,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     roots = components(stars.union(second))
     rooted = nodes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("root", "digest").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(least, "root").select("digest", "component_id")
+    classes = rooted.join(least, "root").select("digest", "root", "component_id")
     return drawn.join(classes, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", *more, F.col("root").alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

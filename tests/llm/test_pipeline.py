@@ -49,6 +49,22 @@ def test_stages(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(kept[r.doc_id].text.encode()).hexdigest()
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    texts = [" ".join(f"t{k}w{j}" for j in range(60)) for k in range(5)]
+    rows = [
+        (1, texts[0], "a"), (1, texts[0] + " more", "a"), (1, texts[0].upper(), "a"), (1, texts[1], "b"),  # one id, several texts
+        (2, texts[0] + " yet more", "a"), (2, texts[2], "c"), (0, texts[2] + " more", "c"),  # 2 links with the groups of 1 and of 0
+        (None, texts[3], "d"), (None, texts[3] + " more", "d"), (None, texts[3], "d"), (None, texts[4], "e"),
+        (7, None, "n"), (7, "", "n"), (7, "", "n"), (None, "", "m"), (None, None, "m"),
+    ]
+    docs = spark.createDataFrame([(i, t, g, "x", 1) for i, t, g in rows], "doc_id long, text string, _key string, component string, n long").repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = got.collect()
+    assert sorted((r._key, r.doc_id or 0) for r in left) == [("a", 1), ("b", 1), ("c", 0), ("d", 0), ("e", 0), ("m", 0), ("m", 0), ("n", 7), ("n", 7)]
+    assert {(r.doc_id, r.text, r._key) for r in left} <= set(rows)
+
+
 def test_empty_corpus(spark, tmp_path):
     folder = str(tmp_path)
     corpus(spark).limit(0).write.parquet(f"{folder}/documents.parquet")
