@@ -8,10 +8,11 @@ merged into removal spans.
 
 A phrase is a window of ``WINDOW`` consecutive words of a benchmark item, or the whole item if it has fewer words (but not
 none). Documents are never cut at a shard border. The benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` characters
-(or one item); more blocks are further steps over the same rows, each adding what it finds.
+(or one item) of it; more blocks are further steps over the same rows, each adding what it finds. A step is written to the shared
+folder and its broadcast is destroyed before the next block is read, so the driver holds one block at a time.
 
-Defined results: null and empty texts have no words and no hits; items without words and null items are never found; equal
-items are found together; repeated rows get a result each; an empty benchmark hits nothing; other columns are not read.
+Defined results: null and empty texts have no words and no hits; items without words and null texts are never found; equal
+items are found together; an item with a null id is hit and removed as any other, but has no id to list; repeated rows get a result each; an empty benchmark hits nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import schema_of
+from .common import saved, schema_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -188,13 +189,15 @@ class FMIndex:
         return self.stored[self.marked.ones(rows)] + steps
 
 
-def windows_of(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[str]]:
-    """Phrases with the ids of the items that hold them."""
+def windows_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[str]]:
+    """Phrases with the ids of the items that hold them, none for an item without an id."""
     found: dict[tuple[bytes, ...], set[str]] = {}
     for item, text in items:
         words = words_of(text)
         for at in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(tuple(words[at : at + window]), set()).add(item)
+            ids = found.setdefault(tuple(words[at : at + window]), set())
+            if item is not None:
+                ids.add(item)
     return found
 
 
@@ -240,11 +243,15 @@ def _with_places(text: str, spans: list[tuple[int, int]]) -> list[dict]:
     return [{"first_word": a, "end_word": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in spans]
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in blocks of about ``most`` characters at the most, read one at a time."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
+def items_of(benchmark: DataFrame, item_id: str, text: str, most: int) -> tuple[DataFrame, int]:
+    """(item, text) of the items with a text, and the number of blocks of about ``most`` characters at the most."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = 1 + int(total) // most
+    return items, 1 + int(total) // most
+
+
+def blocks_of(items: DataFrame, blocks: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items in blocks, read one at a time."""
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
         if rows:
@@ -259,10 +266,16 @@ def find(docs: DataFrame, keep: list[str], benchmark: DataFrame, text: str = "te
     found = source.withColumns({f.name: F.lit(None).cast(f.dataType) for f in out.fields[len(source.columns) :]})
     arrow = to_arrow_schema(out)
     spark = docs.sparkSession
-    # An empty block counts the words where there is no benchmark.
-    blocks = [spark.sparkContext.broadcast(windows_of(items, window)) for items in blocks_of(benchmark, item_id, item_text, block_chars)] or [spark.sparkContext.broadcast({})]
-    for block in blocks:
-        found = found.mapInArrow(_searcher(block, at_text, len(source.columns), arrow, shard_words), out)
+    items, blocks = items_of(benchmark, item_id, item_text, block_chars)
+    told = None
+    for block in blocks_of(items, blocks):
+        told = spark.sparkContext.broadcast(windows_of(block, window))
+        found = found.mapInArrow(_searcher(told, at_text, len(source.columns), arrow, shard_words), out)
+        if blocks > 1:
+            found = saved(found, "decontaminated")
+            told.destroy()
+    if told is None:  # an empty block counts the words where there is no benchmark
+        found = found.mapInArrow(_searcher(spark.sparkContext.broadcast({}), at_text, len(source.columns), arrow, shard_words), out)
     return found.select(*keep, *(f.name for f in out.fields[len(source.columns) :]))
 
 

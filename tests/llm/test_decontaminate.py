@@ -100,3 +100,36 @@ def test_digest_cut_and_empty_tables(spark):
     assert (told[2].n_items, told[2].items_sha256, told[2].contaminated) == (0, hashlib.sha256(b"").hexdigest(), False)
     assert [(r.n_words, r.n_hit) for r in d.find(docs.where("doc_id = 2"), ["doc_id"], items.limit(0)).collect()] == [(1, 0)]
     assert d.find(docs.limit(0), ["doc_id"], items).count() == 0
+
+
+def test_items_without_an_id_and_blocks_one_at_a_time(spark, monkeypatch):
+    rows = documents()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hit int").repartition(3)
+    items = [*ITEMS, (None, "short item"), (None, "filler filler filler"), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    live, most = set(), []
+    broadcast = type(spark.sparkContext).broadcast
+
+    def counted(context, value):
+        told = broadcast(context, value)
+        destroy = told.destroy
+        live.add(id(told)), most.append(len(live))
+        told.destroy = lambda *a: (live.discard(id(told)), destroy(*a))
+        return told
+
+    def read(items, blocks):
+        for block in blocks_of(items, blocks):
+            assert not live  # the block before is gone
+            yield block
+
+    blocks_of = d.blocks_of
+    monkeypatch.setattr(d, "blocks_of", read)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    for options in ({}, {"block_chars": 30}):
+        most.clear(), live.clear()
+        got = d.find(docs, ["doc_id", "text"], benchmark, **options).collect()
+        assert len(got) == len(rows) and max(most) == 1 and (len(most) > 1) == bool(options)
+        for r in got:
+            n, hit, _ = brute(r.text, items)
+            assert (r.n_words, r.n_hit, r["items"]) == (n, len(hit), brute(r.text, ITEMS)[2]), r.doc_id
+            assert {w for s in r.spans for w in range(s.first_word, s.end_word)} == hit
