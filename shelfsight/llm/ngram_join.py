@@ -43,6 +43,9 @@ SLICE_TOKENS, SLICE_DOCS = 1 << 20, 60_000
 BUCKET_TOKENS = 2_000_000
 BLOCK_NODES, BLOCK_TOKENS = 2_000, 1_000_000
 SIGNATURE = 1_024
+DEAL_ROWS = 200_000  # rows of a task that compares prefixes
+#: A shingle of so many sets of a slice, and of one in so many of them, is counted by its sets and not by itself.
+HOT_SETS, HOT_SHARE = 64, 256
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], "u8")
@@ -107,7 +110,22 @@ def _short(key: bytes) -> int:
 
 
 def shared_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
-    """(short, shared): for each node, by the first 8 bytes of its digest, how many of its lower-half shingles others have."""
+    """(short, shared): for each node, by the first 8 bytes of its digest, how many of its lower-half shingles others have.
+
+    Shingles are dealt out in buckets. One that many sets of a slice have is known to be shared: it goes with each of these
+    sets, as a pair, to where the set's counts are added up, and only its name goes to its bucket. There, other slices'
+    sets that have it become pairs too, so that equal pairs count once and no bucket holds all sets of a hot shingle.
+    """
+
+    def by_part(nodes: np.ndarray, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Distinct pairs of a node and a hot shingle, by the part that adds up the node's counts."""
+        part = nodes % buckets
+        by = np.lexsort((ids, nodes, part))
+        nodes, ids, part = nodes[by], ids[by], part[by]
+        fresh = np.append(True, (nodes[1:] != nodes[:-1]) | (ids[1:] != ids[:-1]))[: len(by)]
+        nodes, ids, part = nodes[fresh], ids[fresh], part[fresh]
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        return [(int(p[0]), n, i) for p, n, i in zip(*(np.split(x, cuts) for x in (part, nodes, ids))) if len(p)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -118,22 +136,33 @@ def shared_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             tokens = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             bucket = (tokens % np.uint64(buckets)).astype("i4")
+            token = (tokens >> np.uint64(31)).astype("<u4")
+            named = np.array(names, "i8")
+            _, which, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            hot = (times >= max(HOT_SETS, len(sets) // HOT_SHARE))[which]
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-            rows: list[list] = [[], [], [], []]
-            for own in np.split(by, cuts):
+            rows: list[list] = [[], [], [], [], []]
+            for every in np.split(by, cuts):
+                own = every[~hot[every]]
                 # The owners stay in order, so those of a bucket are numbered anew by their first place.
-                firsts = np.append(True, owner[own][1:] != owner[own][:-1])
+                firsts = np.append(True, owner[own][1:] != owner[own][:-1])[: len(own)]
                 values = (
-                    int(bucket[own[0]]),
-                    np.array(names, "i8")[owner[own][firsts]].tobytes(),
+                    int(bucket[every[0]]),
+                    named[owner[own][firsts]].tobytes(),
                     (np.cumsum(firsts) - 1).astype("<u2").tobytes(),
-                    (tokens[own] >> np.uint64(31)).astype("<u4").tobytes(),
+                    token[own].tobytes(),
+                    np.unique(token[every[hot[every]]]).tobytes(),
                 )
                 for column, value in zip(rows, values):
                     column.append(value)
-            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["bucket", "nodes", "owner", "tokens"])
+            at = np.flatnonzero(hot)
+            for part, nodes, ids in by_part(named[owner[at]], bucket[at].astype("u8") << np.uint64(32) | token[at]):
+                values = (-1 - part, nodes.tobytes(), b"", ids.tobytes(), b"")
+                for column, value in zip(rows, values):
+                    column.append(value)
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["bucket", "nodes", "owner", "tokens", "hot"])
 
         held = 0
         for batch in batches:
@@ -158,31 +187,42 @@ def shared_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             yield dealt()
 
     def count(bucket: pa.Table) -> pa.Table:
-        """For each node of a bucket, how many of its shingles another node has; one row for each part of the nodes."""
+        """For each node of a bucket, how many of its shingles another node has, and its pairs; rows for each part of the nodes."""
 
         def joined(name: str, kind: str) -> list[np.ndarray]:
             return [np.frombuffer(v, kind) for v in bucket.column(name).to_pylist()]
 
-        lists = joined("nodes", "i8")
+        lists, number = joined("nodes", "i8"), bucket.column("bucket")[0].as_py()
+        columns = (("part", "nodes", "n", "ids"), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+        if number < 0:  # pairs that are on their way
+            return _table([(p, n.tobytes(), b"", i.tobytes()) for p, n, i in by_part(np.concatenate(lists), np.concatenate(joined("tokens", "u8")))], *columns)
         names, place = np.unique(np.concatenate(lists), return_inverse=True)
         owner = np.concatenate([own + start for own, start in zip(joined("owner", "<u2"), np.cumsum([0, *map(len, lists)]))])
         # A shingle and its node in one number; an equal set that several tasks have told shows as equal numbers.
         key = np.unique(np.concatenate(joined("tokens", "<u4")).astype("u8") << np.uint64(32) | place[owner].astype("u8"))
         token = key >> np.uint64(32)
         same = token[1:] == token[:-1]
-        shared = (np.append(False, same) | np.append(same, False)).astype(bool)
-        n = np.bincount((key[shared] & np.uint64(0xFFFFFFFF)).astype("i8"), minlength=len(names))
+        shared = (np.append(False, same) | np.append(same, False)).astype(bool)[: len(key)]
+        own = (key & np.uint64(0xFFFFFFFF)).astype("i8")
+        hot = np.isin(token, np.unique(np.concatenate(joined("hot", "<u4"))))
+        n = np.bincount(own[shared & ~hot], minlength=len(names))
         part = names % buckets
-        rows = [(int(k), names[own].tobytes(), n[own].astype("<i4").tobytes()) for k in np.unique(part[n > 0]) for own in [(part == k) & (n > 0)]]
-        return _table(rows, ("part", "nodes", "n"), (pa.int32(), pa.binary(), pa.binary()))
+        rows = [(int(k), names[own].tobytes(), n[own].astype("<i4").tobytes(), b"") for k in np.unique(part[n > 0]) for own in [(part == k) & (n > 0)]]
+        pairs = by_part(names[own[hot]], np.uint64(number) << np.uint64(32) | token[hot])
+        return _table(rows + [(p, n.tobytes(), b"", i.tobytes()) for p, n, i in pairs], *columns)
 
     def add_up(part: pa.Table) -> pa.Table:
-        names, place = np.unique(np.concatenate([np.frombuffer(v, "i8") for v in part.column("nodes").to_pylist()]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([np.frombuffer(v, "<i4") for v in part.column("n").to_pylist()]))
+        nodes, n, ids = (part.column(c).to_pylist() for c in ("nodes", "n", "ids"))
+        paired = [np.empty(0, "i8"), *(np.frombuffer(v, "i8") for v, i in zip(nodes, ids) if i)]
+        pairs = by_part(np.concatenate(paired), np.concatenate([np.empty(0, "u8"), *(np.frombuffer(i, "u8") for i in ids if i)]))
+        lists = [np.frombuffer(v, "i8") for v, i in zip(nodes, ids) if not i] + [own for _, own, _ in pairs]
+        counts = [np.frombuffer(v, "<i4") for v, i in zip(n, ids) if not i] + [np.ones(len(own), "<i4") for _, own, _ in pairs]
+        names, place = np.unique(np.concatenate(lists), return_inverse=True)
+        total = np.bincount(place, np.concatenate(counts))
         return pa.table({"short": pa.array(names), "shared": pa.array(total.astype("i8"))})
 
-    dealt = docs.select(F.col(text).cast("string")).mapInArrow(deal, "bucket int, nodes binary, owner binary, tokens binary")
-    counted = dealt.groupBy("bucket").applyInArrow(count, "part int, nodes binary, n binary")
+    dealt = docs.select(F.col(text).cast("string")).mapInArrow(deal, "bucket int, nodes binary, owner binary, tokens binary, hot binary")
+    counted = dealt.groupBy("bucket").applyInArrow(count, "part int, nodes binary, n binary, ids binary")
     return counted.groupBy("part").applyInArrow(add_up, "short long, shared long")
 
 
@@ -258,8 +298,9 @@ def _candidates(prefix: DataFrame, queries: DataFrame, size: DataFrame, threshol
     rest = ["digest", "n", "grp", "members", "signature"]
     asking = known.select("token", spot.alias("qb"), every.alias("mb"), F.lit(True).alias("asks"), *rest)
     held = known.select("token", every.alias("qb"), spot.alias("mb"), F.lit(False).alias("asks"), *rest)
-    # Many shingles share a task; within it, those of one shingle and block pair are compared.
-    deals = 4 * int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Many shingles share a task; within it, those of one shingle and block pair are compared. Each entry asks and is held once in every block.
+    total = prefix.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(F.expr(f"2 * c * (1 + c div {BLOCK_NODES})")).alias("n")).first()["n"] or 0
+    deals = max(4 * int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + int(total) // DEAL_ROWS)
     rows = asking.union(held).withColumn("deal", F.pmod(F.xxhash64("token", "qb", "mb"), F.lit(deals)).cast("int"))
 
     def meet(table: pa.Table) -> pa.Table:

@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from shelfsight.llm import ngram_join
 from shelfsight.llm.components import components
@@ -89,3 +89,29 @@ def test_component_roots(spark):
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_shingles_are_spread_and_counted_once(spark, monkeypatch):
+    line = "this very common line stands in all of the documents here"
+    texts = [f"{line} " + " ".join(f"h{k}w{j}" for j in range(12 + k % 9)) for k in range(300)]
+    texts += texts[:150] + [f"{line} {line}"] * 20 + ["h1w0 h1w1 h1w2 h1w3 h1w4 h1w5", line, None, ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    sets = {ngram_join._short(ngram_join.digest(s)): s for s in map(ngram_join.shingles, texts) if len(s)}
+    half = {k: set(s[s < (1 << 63)].tolist()) for k, s in sets.items()}
+    times = Counter(t for s in half.values() for t in s)
+    want = {k: n for k, s in half.items() if (n := sum(times[t] > 1 for t in s))}
+    largest = max(times.values())
+    assert largest > 300
+    for least, share in ((64, 256), (2, 1_000_000), (1_000_000, 1)):
+        monkeypatch.setattr(ngram_join, "HOT_SETS", least)
+        monkeypatch.setattr(ngram_join, "HOT_SHARE", share)
+        got = {r.short: r.shared for r in ngram_join.shared_counts(docs, "text", 4).collect()}
+        assert {k: n for k, n in got.items() if n} == want, least
+
+
+def test_deals_follow_the_rows(spark, monkeypatch):
+    base = [f"d{j}" for j in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(base[: 40 + k % 20] + [f"x{k}y{j}" for j in range(k % 7)])) for k in range(60)], "doc_id long, text string")
+    want = sorted(tuple(r) for r in ngram_join.join(docs).collect())
+    monkeypatch.setattr(ngram_join, "DEAL_ROWS", 3)
+    assert sorted(tuple(r) for r in ngram_join.join(docs).collect()) == want
