@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, ngram_join, secret_scan, token_counts, topk, toxicity, warc
+from . import bpe, decontaminate, html_text, language_id, ngram_join, secret_scan, source_audit, statements, token_counts, topk, toxicity, warc
 from .common import held_out, table
 
 
@@ -58,6 +58,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which imports this package's operators
 
@@ -80,4 +84,4 @@ FROM s QUALIFY rank <= 5
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL states the whole result; tests hold the other queries against brute force."""
-    return {"op6_topk": TOPK_SQL}
+    return {"op6_topk": TOPK_SQL, "op11_source_audit": statements.SOURCE_AUDIT}
