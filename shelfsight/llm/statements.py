@@ -32,3 +32,40 @@ SELECT lang, source, part, item, value,
        CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
 FROM parts QUALIFY part = 'pair' OR rank <= 200
 """
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+     a{k} AS MATERIALIZED (
+         SELECT p.rid, p.pos, min(struct_pack(apart := p.square + c.square - 2 * list_inner_product(p.part, c.part), entry := c.entry)) AS near
+         FROM p JOIN c{k} c ON p.pos = c.pos GROUP BY p.rid, p.pos)""")
+        if k < rounds:
+            steps.append(f"""
+     s{k} AS (SELECT pos, near.entry AS entry, i, count(*) AS n, CAST(sum(CAST(part[i] AS BIGINT)) AS BIGINT) AS s
+              FROM a{k} JOIN p USING (rid, pos), range(1, len(part) + 1) t(i) GROUP BY ALL),
+     u{k} AS (SELECT pos, entry, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS part FROM s{k} GROUP BY pos, entry),
+     c{k + 1} AS MATERIALIZED (
+         SELECT pos, entry, part, list_inner_product(part, part) AS square
+         FROM (SELECT c.pos, c.entry, coalesce(u.part, c.part) AS part FROM c{k} c LEFT JOIN u{k} u ON u.pos = c.pos AND u.entry = c.entry))""")
+    last = rounds
+    return f"""
+WITH v AS MATERIALIZED (
+         SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+         FROM embeddings
+         WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+     p AS MATERIALIZED (
+         SELECT rid, pos, part, list_inner_product(part, part) AS square
+         FROM (SELECT rid, pos, v[pos * (len(v) // 4) + 1 : (pos + 1) * (len(v) // 4)] AS part FROM v, range(4) t(pos))),
+     c0 AS MATERIALIZED (SELECT pos, rid - 1 AS entry, part, square FROM p WHERE rid <= 256),{",".join(steps)},
+     coded AS (SELECT rid, string_agg(format('{{:02x}}', near.entry), '' ORDER BY pos) AS code, CAST(sum(CAST(near.apart AS BIGINT)) AS BIGINT) AS error
+               FROM a{last} GROUP BY rid),
+     books AS (SELECT sha256(string_agg(CAST(CAST(part[i] AS BIGINT) AS VARCHAR), ',' ORDER BY pos, entry, i)) AS told
+               FROM c{last}, range(1, len(part) + 1) t(i))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, books.told AS codebooks_sha256
+FROM coded JOIN v USING (rid), books
+"""
+
+
+VECTOR_CODES = _vector_codes()
