@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_id, ngram_join, secret_scan, source_audit, statements, token_counts, topk, toxicity, vector_codes, warc
+from . import bpe, decontaminate, html_text, language_id, near_vectors, ngram_join, secret_scan, source_audit, statements, token_counts, topk, toxicity, vector_codes, warc
 from .common import held_out, table
 
 
@@ -62,6 +62,10 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(*vector_codes.code_vectors(table(spark, sf_dir, "embeddings")))
 
@@ -88,4 +92,4 @@ FROM s QUALIFY rank <= 5
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL states the whole result; tests hold the other queries against brute force."""
-    return {"op6_topk": TOPK_SQL, "op11_source_audit": statements.SOURCE_AUDIT, "op13_vector_codes": statements.VECTOR_CODES}
+    return {"op6_topk": TOPK_SQL, "op11_source_audit": statements.SOURCE_AUDIT, "op12_near_vectors": statements.NEAR_VECTORS, "op13_vector_codes": statements.VECTOR_CODES}

@@ -69,3 +69,17 @@ FROM coded JOIN v USING (rid), books
 
 
 VECTOR_CODES = _vector_codes()
+
+NEAR_VECTORS = """
+WITH RECURSIVE
+     r AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v,
+                               coalesce(len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+                                        AND len([x FOR x IN embedding IF x <> 0]) > 0, false) AS sound FROM embeddings),
+     links AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b FROM r a JOIN r b ON a.rid <> b.rid AND a.sound AND b.sound
+                            WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+     reach AS (SELECT rid AS a, rid AS b FROM r UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+     least AS (SELECT reach.a AS rid, min(r.vec_id) AS component_id FROM reach JOIN r ON r.rid = reach.b GROUP BY reach.a),
+     degree AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+SELECT r.vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, least.component_id, r.vec_id IS NOT DISTINCT FROM least.component_id AS kept
+FROM r JOIN least USING (rid) LEFT JOIN degree USING (rid)
+"""
