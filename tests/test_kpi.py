@@ -132,10 +132,10 @@ def test_turnover_without_stock_is_null(spark, products):
 
 def test_delivery(spark, dates):
     shipments = spark.createDataFrame(
-        [("a", 20240105, 1, 1, 3, True), ("b", 20240120, 1, 1, 8, False), ("c", 20240120, 1, 1, None, False)],
+        [("a", 20240105, 1, 1, 3.0, True), ("b", 20240120, 1, 1, 8.0, False), ("c", 20240120, 1, 1, None, False)],
         STAR["fact_shipments"],
     )
-    assert rows(kpi.delivery_performance(shipments, dates)) == [(datetime(2024, 1, 1), 3, 5.5, 3, 8, 33.33)]
+    assert rows(kpi.delivery_performance(shipments, dates)) == [(datetime(2024, 1, 1), 3, 5.5, 3.0, 8.0, 33.33)]
 
 
 def test_summary_formats_money(spark):
