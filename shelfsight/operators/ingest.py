@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RAW, Registry, TableRule, raw_fields
@@ -58,10 +58,6 @@ def row_counts(df: DataFrame, rule: TableRule) -> DataFrame:
     )
 
 
-def reason_counts(df: DataFrame, rule: TableRule) -> DataFrame:
-    return quarantined_rows(df, rule).groupBy(REASON).agg(F.count(F.lit(1)).alias("row_count"))
-
-
 @dataclass(frozen=True)
 class TableResult:
     table_name: str
@@ -70,8 +66,31 @@ class TableResult:
     new_columns: tuple[str, ...] = ()
 
 
+def land(df: DataFrame, rule: TableRule, root: str, at: datetime) -> TableResult:
+    """Store the valid and the rejected rows in one write; their numbers are observed while it runs.
+
+    The rows are read once. Each file belongs to one task of the write, and what a task that is run again had counted is dropped, so the
+    numbers are those of the files.
+    """
+    seen, bad = Observation(), F.col(REASON) != ""
+    judged = with_reason(df, rule).withColumn("state", F.when(bad, files.QUARANTINED).otherwise(files.VALID))
+    kept = judged if files.CORRUPT in df.columns else judged.withColumn(files.CORRUPT, F.lit(None).cast("string"))
+    files.write_split(kept.observe(seen, F.count_if(~bad).alias("valid"), F.count_if(bad).alias("rejected")), root, rule.name, at)
+    counts = seen.get
+    return TableResult(rule.name, counts.get("valid", 0), counts.get("rejected", 0), tuple(drifted_columns(df, rule)))
+
+
+def counts_table(spark: SparkSession, results: list[TableResult]) -> DataFrame:
+    """(table_name, valid_rows, quarantined_rows) as observed."""
+    return spark.createDataFrame([(r.table_name, r.valid_rows, r.quarantined_rows) for r in results], "table_name string, valid_rows bigint, quarantined_rows bigint")
+
+
+def reason_counts(df: DataFrame, rule: TableRule) -> DataFrame:
+    return quarantined_rows(df, rule).groupBy(REASON).agg(F.count(F.lit(1)).alias("row_count"))
+
+
 class BatchIngest:
-    """Read the CSV files of a batch, keep valid rows as snapshots, quarantine the rest."""
+    """Read the CSV files of a batch, each once, keep valid rows as snapshots, quarantine the rest."""
 
     def __init__(self, spark: SparkSession, registry: Registry, raw: str, out: str) -> None:
         self.spark, self.registry, self.raw, self.out = spark, registry, raw, out
@@ -86,12 +105,7 @@ class BatchIngest:
         else:
             # Cleaning keeps the first of several copies of a sale, so only sales carry their position.
             df = files.read_csv_by_name(self.spark, path, raw_fields(table), position=table == "transactions")
-        counts = row_counts(df, rule).first()
-        if counts["quarantined_rows"]:
-            files.write_quarantine(quarantined_rows(df, rule), self.out, table, at)
-        if counts["valid_rows"]:
-            files.write_snapshot(valid_rows(df, rule), self.out, table, at)
-        return TableResult(table, counts["valid_rows"], counts["quarantined_rows"], tuple(drifted_columns(df, rule)))
+        return land(df, rule, self.out, at)
 
     def run_all(self, at: datetime, tables: tuple[tuple[str, str], ...] = BATCH_TABLES) -> list[TableResult]:
         return [self.run_table(table, file_name, at) for table, file_name in tables]

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, dimensions, facts, stockout
+from ..operators import cleaning, dimensions, facts, ingest, stockout
 from ..schemas import LOGS, TableRule
 from ..session import fit_shuffles
 from ..sources import files
@@ -304,6 +304,10 @@ class RetailModel:
         twice = self.rule_scores.withColumn("_at", F.explode(days))
         return self.work.save(stockout.log_rows(twice, F.col("_at"), empty, self.work), "decision_log")
 
+    def landed_transactions(self) -> ingest.TableResult:
+        """Raw sales split into valid and rejected ones under the folder ``landing``, once."""
+        return self.once("landing", lambda: ingest.land(self.raw_transactions, TRANSACTION_RULE, self.work.location("landing"), AS_OF))
+
     def star(self) -> dict[str, DataFrame]:
         names = ("dim_date", "dim_customer", "dim_product", "dim_store", "fact_sales", "fact_inventory", "fact_shipments")
         return {name: getattr(self, name) for name in names}

@@ -225,7 +225,8 @@ def v_quarantine(m: RetailModel) -> DataFrame:
 
 @query
 def v_counts(m: RetailModel) -> DataFrame:
-    return ingest.row_counts(m.raw_transactions, TRANSACTION_RULE)
+    """Counted while the rows are written."""
+    return ingest.counts_table(m.spark, [m.landed_transactions()])
 
 
 @query
@@ -804,9 +805,8 @@ def w_partition_replaced(m: RetailModel) -> DataFrame:
 @query
 def w_quarantine(m: RetailModel) -> DataFrame:
     """What the ingest put aside, read back by reason."""
-    root = m.work.fresh("quarantine")
-    files.write_quarantine(ingest.quarantined_rows(m.raw_transactions, TRANSACTION_RULE), root, "transactions", AS_OF)
-    log = files.read_quarantine_log(m.spark, root, ["transactions", "customers"])
+    m.landed_transactions()
+    log = files.read_quarantine_log(m.spark, m.work.location("landing"), ["transactions", "customers"])
     return log.groupBy("table_name", "quarantine_reason").agg(F.count("*").alias("row_count"))
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import stores
+
 CORRUPT = "_corrupt"
 #: Where a row stood: its file, the block of the file and the row within what one task read of it.
 POSITION = "_position"
@@ -41,19 +45,54 @@ def with_position(df: DataFrame) -> DataFrame:
     return df.select("*", place.alias(POSITION))
 
 
-def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of a CSV folder by the column names they declare. One pass looks for each file's first line."""
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files that a reader of ``path`` would read; none is opened."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, header) of the text files that hold anything.
+
+    Tasks open each file of a list and read its first bytes, so the work follows the number of files and not their size. In a
+    store that only Spark's readers reach, the first lines are looked for among all lines.
+    """
+    files = listed_files(spark, path)
+    one = files.select("path").first()
+    if one is None or stores.reaches(one["path"]):
+        return files.select("path").mapInArrow(_headers, "path string, header string").where("header is not null")
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
     )
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    return lines.where("block = 0").groupBy("path").agg(F.min_by("value", "row").alias("header"))
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = batch.column(0).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([stores.first_line(p) for p in paths], pa.string())], ["path", "header"])
+
+
+def csv_layouts(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """What to read of a CSV folder by the column names its files declare.
+
+    Where all files declare the same, that is the folder itself and no file is named. Otherwise the files of each layout are.
+    """
+    first = first_lines(spark, path)
+    headers = first.groupBy("header").agg(F.min("path").alias("path")).orderBy("header").collect()
+    declared = {r["header"]: tuple(spark.read.option("header", True).option("inferSchema", False).csv(_named(r["path"])).columns) for r in headers}
+    if len(set(declared.values())) == 1:
+        return {columns: [path] for columns in declared.values()}
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for header, found in first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect():
-        columns = spark.read.option("header", True).option("inferSchema", False).csv(found[0]).columns
-        layouts.setdefault(tuple(columns), []).extend(found)
+    for row in first.orderBy("header", "path").toLocalIterator():
+        layouts.setdefault(declared[row["header"]], []).append(_named(row["path"]))
     return layouts
 
 
+def _named(path: str) -> str:
+    """A file's path as a pattern that only it matches."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
 def read_csv_by_name(spark: SparkSession, path: str, known: Iterable[T.StructField], position: bool = False) -> DataFrame:
     """CSV read by the column names of each file: known columns get their type, unknown ones stay text.
 
@@ -88,18 +127,39 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return place.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
+VALID, QUARANTINED = "valid", "quarantined"
+_SPLIT = [T.StructField("snapshot", T.StringType()), T.StructField("state", T.StringType())]
+
+
+def _snapshot(root: str, table: str, at: datetime) -> str:
+    return f"{root}/{table}/snapshot={at.strftime(STAMP)}"
+
+
+def write_split(rows: DataFrame, root: str, table: str, at: datetime) -> None:
+    """What one run kept and rejected of a table, told apart by its column ``state``: one pass over the rows and one write.
+
+    Every run lands in its own directory, with one part for each state; a run that is tried again replaces its own.
+    """
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("state").parquet(_snapshot(root, table, at))
+
+
 def write_snapshot(df: DataFrame, root: str, table: str, taken_at: datetime) -> str:
-    """Snapshot of a table: every run lands in its own directory, which the same run replaces when it is tried again."""
-    target = f"{root}/{table}/snapshot={taken_at.strftime(STAMP)}"
+    """Snapshot of valid rows alone; a run that is tried again replaces its own."""
+    target = f"{_snapshot(root, table, taken_at)}/state={VALID}"
     df.write.mode("overwrite").parquet(target)
     return target
 
 
+def landed(spark: SparkSession, root: str, table: str, at: datetime) -> DataFrame | None:
+    """The valid rows of one run with all their columns; None when it kept nothing."""
+    path = f"{_snapshot(root, table, at)}/state={VALID}"
+    return spark.read.parquet(path) if exists(spark, path) else None
+
+
 def read_snapshots(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
-    """All snapshots of a table, with ``snapshot_ts`` recovered from the directory name."""
-    stamped = T.StructType([*schema.fields, T.StructField("snapshot", T.StringType())])
-    df = spark.read.schema(stamped).parquet(f"{root}/{table}")
-    return df.withColumn("snapshot_ts", F.to_timestamp("snapshot", "yyyyMMdd'T'HHmmss")).drop("snapshot")
+    """The valid rows of all snapshots of a table, with ``snapshot_ts`` recovered from the directory name."""
+    df = spark.read.schema(T.StructType([*schema.fields, *_SPLIT])).parquet(f"{root}/{table}").where(F.col("state") == VALID)
+    return df.withColumn("snapshot_ts", F.to_timestamp("snapshot", "yyyyMMdd'T'HHmmss")).drop("snapshot", "state")
 
 
 def latest_per_key(df: DataFrame, key: str, version: str, *tie_break: str) -> DataFrame:
@@ -110,18 +170,19 @@ def latest_per_key(df: DataFrame, key: str, version: str, *tie_break: str) -> Da
 
 
 def write_quarantine(df: DataFrame, root: str, table: str, at: datetime) -> None:
-    """Rejected rows of a table with the time they were rejected; a run that is tried again replaces its own."""
-    df.withColumn("timestamp", F.lit(at)).write.mode("overwrite").parquet(f"{root}/quarantine/{table}/run={at.strftime(STAMP)}")
+    """Rejected rows alone; a run that is tried again replaces its own."""
+    df.write.mode("overwrite").parquet(f"{_snapshot(root, table, at)}/state={QUARANTINED}")
 
 
 def read_quarantine_log(spark: SparkSession, root: str, tables: list[str]) -> DataFrame:
     """(table_name, quarantine_reason, timestamp) of every rejected row of the given tables."""
-    wanted = T.StructType([T.StructField("quarantine_reason", T.StringType()), T.StructField("timestamp", T.TimestampType())])
+    wanted = T.StructType([T.StructField("quarantine_reason", T.StringType()), *_SPLIT])
+    at = F.to_timestamp("snapshot", "yyyyMMdd'T'HHmmss").alias("timestamp")
     log = None
     for table in tables:
-        path = f"{root}/quarantine/{table}"
+        path = f"{root}/{table}"
         if exists(spark, path):
-            rows = spark.read.schema(wanted).parquet(path).select(F.lit(table).alias("table_name"), *wanted.names)
+            rows = spark.read.schema(wanted).parquet(path).where(F.col("state") == QUARANTINED).select(F.lit(table).alias("table_name"), "quarantine_reason", at)
             log = rows if log is None else log.unionByName(rows)
     return log if log is not None else spark.createDataFrame([], "table_name string, quarantine_reason string, timestamp timestamp")
 
