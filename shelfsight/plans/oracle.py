@@ -513,6 +513,15 @@ FINAL = {
     "e_new_customers": "SELECT * FROM new_customers",
     "e_changed_customers": "SELECT * FROM changed",
     "e_scd2_apply": "SELECT * FROM dim_customer_after",
+    "e_scd2_parts": "SELECT * FROM dim_customer_after",
+    "e_orders_at": """
+        WITH v AS (
+            SELECT c_custkey, c_nationkey, k, TIMESTAMP '1992-03-01 00:00:00' + to_days(CAST(500 * k + c_custkey % 100 AS INTEGER)) AS valid_from,
+                   CASE WHEN k < c_custkey % 5 THEN TIMESTAMP '1992-03-01 00:00:00' + to_days(CAST(500 * (k + 1) + c_custkey % 100 AS INTEGER)) END AS valid_to
+            FROM customer, range(5) t(k) WHERE k <= c_custkey % 5)
+        SELECT o_orderkey, o_custkey, o_orderdate AS ordered_at, CAST(k + 1 AS INTEGER) AS version,
+               CAST((c_nationkey + k) % 25 AS INTEGER) AS nation
+        FROM orders JOIN v ON c_custkey = o_custkey AND o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to)""",
     "e_scd2_twice": "SELECT * FROM dim_customer_after",
     "e_scd2_repeated": "SELECT * FROM dim_customer_after",
     "e_scd2_checks": """
@@ -606,6 +615,11 @@ FINAL = {
         WHERE timestamp >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 2880 MINUTE""",
     "o_retention": "SELECT * FROM runs WHERE start_time >= TIMESTAMP '2001-07-01' - INTERVAL 90 DAY",
     "o_quarantine_retention": "SELECT * FROM quarantine_log WHERE timestamp >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY",
+    "o_retention_parts": """
+        SELECT strftime(date_trunc('week', timestamp), '%Y-%m-%d') AS week, count(*) AS rows_before,
+               CASE count(*) FILTER (timestamp < TIMESTAMP '2024-02-10' - INTERVAL 30 DAY) WHEN 0 THEN 'kept' WHEN count(*) THEN 'dropped'
+                    ELSE 'rewritten' END AS state
+        FROM quarantine_log GROUP BY 1""",
     "o_run_history": """
         SELECT run_id, start_time, status, rows_processed, rows_quarantined, duration_seconds FROM runs
         ORDER BY run_id DESC LIMIT 50""",

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import basket, cleaning, dimensions, facts, governance, ingest, kpi, ops, scd, secure, stockout
 from ..schemas import LOGS, RAW, STAR, Registry, TableRule, raw_fields
 from ..sources import files
-from ..sources.tables import Log, VersionedTable
+from ..sources.tables import Log, PartedTable, VersionedTable
 from ..streaming import orders as live
 from .flow import Warehouse, run_batch
 from .model import (
@@ -454,6 +454,36 @@ def e_scd2_apply(m: RetailModel) -> DataFrame:
     return _after(m)
 
 
+@query
+def e_scd2_parts(m: RetailModel) -> DataFrame:
+    """The same history stored in parts, of which a snapshot reads and writes only the current versions."""
+
+    def run() -> PartedTable:
+        stored = PartedTable(m.spark, m.work.fresh("customer_history"), STAR["dim_customer"], scd.history_part())
+        stored.replace(_extended(m))
+        scd.apply_to_parts(stored, _newest(m), SNAPSHOT_AT, m.work)
+        return stored
+
+    return m.once("customer_history", run).read()
+
+
+@query
+def e_orders_at(m: RetailModel) -> DataFrame:
+    """Orders beside the customer version of their date. Customers have up to five versions, the first may begin after an order."""
+    key = F.col("c_custkey")
+    begun = lambda k: F.timestamp_add("DAY", 500 * k + key % 100, F.lit(datetime(1992, 3, 1)))
+    history = m.table("customer").select(key, "c_nationkey", F.explode(F.sequence(F.lit(0).cast("bigint"), key % 5)).alias("k"))
+    versions = history.select(
+        key.alias("customer_id"),
+        begun(F.col("k")).alias("valid_from"),
+        F.when(F.col("k") < key % 5, begun(F.col("k") + 1)).alias("valid_to"),
+        (F.col("k") + 1).cast("int").alias("version"),
+        ((F.col("c_nationkey") + F.col("k")) % 25).cast("int").alias("nation"),
+    )
+    orders = m.table("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("ordered_at"))
+    return scd.customers_at(versions, orders, "o_custkey", "ordered_at", columns=("nation",))
+
+
 @query
 def e_scd2_twice(m: RetailModel) -> DataFrame:
     """The same snapshot applied again changes nothing."""
@@ -704,13 +734,34 @@ def o_retention(m: RetailModel) -> DataFrame:
     return ops.keep_recent(_run_log(m), "start_time", datetime(2001, 7, 1), ops.RUN_DAYS)
 
 
+def _week(column: str) -> Column:
+    return F.date_format(F.date_trunc("week", column), "yyyy-MM-dd")
+
+
+def _purged(m: RetailModel) -> tuple[PartedTable, dict[str, str]]:
+    """The quarantine log stored by week and purged; what became of each week."""
+
+    def run() -> tuple[PartedTable, dict[str, str]]:
+        log = _quarantine_log(m)
+        table = PartedTable(m.spark, m.work.fresh("quarantine_log"), log.schema, _week("timestamp"))
+        table.replace(log)
+        return table, ops.purge(table, "timestamp", datetime(2024, 2, 10), ops.QUARANTINE_DAYS)
+
+    return m.once("purged_log", run)
+
+
 @query
 def o_quarantine_retention(m: RetailModel) -> DataFrame:
-    """The log is stored as a versioned table, purged, and read back."""
-    table = VersionedTable(m.spark, m.work.fresh("quarantine_log"), _quarantine_log(m).schema)
-    table.replace(_quarantine_log(m))
-    table.replace(ops.keep_recent(table.read(), "timestamp", datetime(2024, 2, 10), ops.QUARANTINE_DAYS))
-    return table.read()
+    """The log is stored by week, purged, and read back."""
+    return _purged(m)[0].read()
+
+
+@query
+def o_retention_parts(m: RetailModel) -> DataFrame:
+    """Weeks that the purge dropped, wrote again or left alone, with the rows they had."""
+    states = m.spark.createDataFrame(sorted(_purged(m)[1].items()), "week string, state string")
+    had = _quarantine_log(m).groupBy(_week("timestamp").alias("week")).agg(F.count(F.lit(1)).alias("rows_before"))
+    return had.join(states, "week")
 
 
 @query

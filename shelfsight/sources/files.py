@@ -120,6 +120,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(context._jsc.hadoopConfiguration())
+    return sorted(found.getPath().getName() for found in system.listStatus(place)) if system.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of a file or folder in its file system."""
     context = spark.sparkContext
@@ -187,6 +202,18 @@ def read_quarantine_log(spark: SparkSession, root: str, tables: list[str]) -> Da
     return log if log is not None else spark.createDataFrame([], "table_name string, quarantine_reason string, timestamp timestamp")
 
 
+def drop_old_quarantine(spark: SparkSession, root: str, tables: list[str], before: datetime) -> list[str]:
+    """Delete the rejected rows of runs before a time: whole folders, nothing is rewritten. The folders that went."""
+    gone = []
+    for table in tables:
+        for name in children(spark, f"{root}/{table}"):
+            folder = f"{root}/{table}/{name}/state={QUARANTINED}"
+            if name.startswith("snapshot=") and datetime.strptime(name.partition("=")[2], STAMP) < before and exists(spark, folder):
+                remove(spark, folder)
+                gone.append(folder)
+    return gone
+
+
 def write_partitioned_sales(sales: DataFrame, dates: DataFrame, stores: DataFrame, path: str, grain: str = "month") -> None:
     """Snappy Parquet copy of the sales fact, partitioned by date and region.
 
