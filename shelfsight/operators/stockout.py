@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.ml import PipelineModel
 from pyspark.ml import Pipeline as Stages
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +24,7 @@ LEVELS = ((0.8, "Critical"), (0.6, "High"), (0.4, "Medium"))
 SEVERITY = {"Critical": 4, "High": 3, "Medium": 2, "Low": 1}
 MODEL_NAME = "stockout_risk_classifier"
 _MODEL_FACTS = "constant_risk double, rows long"
+_CODES = "category string, category_code int"
 
 
 def features(sales: DataFrame, inventory: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
@@ -58,30 +59,32 @@ def labels(feats: DataFrame) -> DataFrame:
     )
 
 
-def category_codes(feats: DataFrame) -> DataFrame:
-    """(category, category_code) as the models see them."""
-    fitted = _indexer().fit(feats.where("category IS NOT NULL"))
-    return fitted.transform(feats.select("category").distinct()).select("category", F.col("category_code").cast("int"))
+def category_codes(feats: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """(category, category_code): the categories numbered in alphabetical order, from 0. A table made on the cluster."""
+    work = work or Workspace(feats.sparkSession, "models")
+    known = feats.select("category").where("category IS NOT NULL").distinct()
+    keyed = assign_keys(known, ["category"], "_key", work, "categories")
+    return work.save(keyed.select("category", (F.col("_key") - 1).cast("int").alias("category_code")), "category_codes")
 
 
-def _indexer() -> StringIndexer:
-    return StringIndexer(
-        inputCol="category", outputCol="category_code", stringOrderType="alphabetAsc", handleInvalid="keep"
-    )
+def with_codes(feats: DataFrame, codes: DataFrame) -> DataFrame:
+    """Features with the code of their category; those without one, or of one not in the table, share the next number."""
+    unseen = codes.agg(F.count(F.lit(1)).cast("int")).scalar()
+    return feats.join(codes, "category", "left").withColumn("category_code", F.coalesce("category_code", unseen))
 
 
 @dataclass
 class RiskModels:
-    """Fitted stages. ``constant_risk`` stands in for the classifier when only one class was seen."""
+    """Category codes and fitted stages. ``constant_risk`` stands in for the classifier when only one class was seen."""
 
-    prepare: PipelineModel
+    codes: DataFrame
     classifier: PipelineModel | None
     regressor: PipelineModel
     constant_risk: float | None
     rows: int
 
     def save(self, path: str) -> None:
-        self.prepare.write().overwrite().save(f"{path}/prepare")
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         self.regressor.write().overwrite().save(f"{path}/regressor")
         if self.classifier is not None:
             self.classifier.write().overwrite().save(f"{path}/classifier")
@@ -92,7 +95,7 @@ class RiskModels:
     def load(cls, path: str) -> "RiskModels":
         constant, rows = SparkSession.getActiveSession().read.schema(_MODEL_FACTS).parquet(f"{path}/facts").first()
         return cls(
-            PipelineModel.load(f"{path}/prepare"),
+            SparkSession.getActiveSession().read.schema(_CODES).parquet(f"{path}/codes"),
             None if constant is not None else PipelineModel.load(f"{path}/classifier"),
             PipelineModel.load(f"{path}/regressor"),
             constant,
@@ -100,13 +103,19 @@ class RiskModels:
         )
 
 
-def train(feats: DataFrame, trees: int = 50, rounds: int = 100, depth: int = 3, seed: int = 42) -> RiskModels | None:
+def _vectors(feats: DataFrame, codes: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_codes(feats, codes))
+
+
+def train(
+    feats: DataFrame, trees: int = 50, rounds: int = 100, depth: int = 3, seed: int = 42, work: Workspace | None = None
+) -> RiskModels | None:
     """Random forest for the risk and boosted trees for the reorder quantity; None without rows."""
     classes = [(r["risk"], r["count"]) for r in labels(feats).groupBy("risk").count().collect()]
     if not classes:
         return None
-    prepare = Stages(stages=[_indexer(), VectorAssembler(inputCols=FEATURES, outputCol="features")]).fit(feats)
-    data = prepare.transform(labels(feats)).select("features", F.col("risk").cast("double").alias("risk"), "reorder_qty")
+    codes = category_codes(feats, work)
+    data = _vectors(labels(feats), codes).select("features", F.col("risk").cast("double").alias("risk"), "reorder_qty")
     data = data.persist()
     try:
         forest = RandomForestClassifier(
@@ -119,7 +128,7 @@ def train(feats: DataFrame, trees: int = 50, rounds: int = 100, depth: int = 3,
         )
         single = float(classes[0][0]) if len(classes) == 1 else None
         classifier = None if single is not None else Stages(stages=[forest]).fit(data)
-        return RiskModels(prepare, classifier, Stages(stages=[boosted]).fit(data), single, sum(n for _, n in classes))
+        return RiskModels(codes, classifier, Stages(stages=[boosted]).fit(data), single, sum(n for _, n in classes))
     finally:
         data.unpersist()
 
@@ -129,7 +138,7 @@ def score(models: RiskModels | None, feats: DataFrame) -> DataFrame:
     if models is None:
         empty = feats.where(F.lit(False))
         return explained(empty, F.lit(0.0), F.lit(0.0))
-    ready = models.regressor.transform(models.prepare.transform(feats))
+    ready = models.regressor.transform(_vectors(feats, models.codes))
     if models.classifier is None:
         probability = F.lit(models.constant_risk)
     else:

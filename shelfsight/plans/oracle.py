@@ -248,7 +248,8 @@ TABLES = {
                {_PAYMENT.format('event_id')} AS payment_method, 'events' AS order_source
         FROM events WHERE event_type = 'purchase'""",
     "drift_batch": """
-        SELECT l_returnflag AS return_flag, l_tax AS tax_rate, nullif(o_orderpriority, '5-LOW') AS priority,
+        SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS transaction_id, l_partkey AS product_id,
+               l_suppkey AS store_id, l_returnflag AS return_flag, l_tax AS tax_rate, nullif(o_orderpriority, '5-LOW') AS priority,
                o_orderstatus AS order_status, l_shipdate AS shipped_at, l_linestatus AS line_status, p_size AS part_size,
                p_name AS part_label, p_brand AS part_brand
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
@@ -261,6 +262,12 @@ TABLES = {
             ("part_brand", "string"),
         )
     ),
+    "drift_samples": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, string_agg(value, '|' ORDER BY transaction_id, product_id, store_id, value) AS sample_values "
+        f"FROM (SELECT transaction_id, product_id, store_id, CAST({c} AS VARCHAR) AS value FROM drift_batch WHERE {c} IS NOT NULL "
+        "ORDER BY ALL LIMIT 5)"
+        for c in ("return_flag", "tax_rate", "priority", "order_status", "shipped_at", "line_status", "part_size", "part_label", "part_brand")
+    ),
     "changes": """
         SELECT 'new_column' AS change_type, column_name, data_type,
                least((1.0::DOUBLE - (CAST(n AS DOUBLE) - CAST(present AS DOUBLE)) / CAST(n AS DOUBLE)) * 0.3::DOUBLE
@@ -467,14 +474,17 @@ FINAL = {
     "v_missing_column": """
         SELECT 'missing_required_column:currency' || CASE WHEN store_id IS NULL THEN ';missing_required_value:store_id'
                ELSE '' END AS quarantine_reason, count(*) AS row_count FROM raw_transactions GROUP BY 1""",
-    "v_drift_scores": "SELECT change_type, column_name, data_type, round(confidence, 6) AS confidence FROM changes",
+    "v_drift_scores": """
+        SELECT change_type, column_name, data_type, round(confidence, 6) AS confidence, sample_values
+        FROM changes JOIN drift_samples USING (column_name)""",
     "v_decision": _DECISION,
     "v_change_log": f"""
         SELECT 'transactions' AS table_name, change_type, column_name, '' AS old_value, data_type AS new_value,
                round(confidence, 6) AS confidence_score, (SELECT action FROM ({_DECISION})) AS status, 0 AS affected_rows
         FROM changes""",
     "v_queue_expanded": """
-        SELECT change_type AS type, column_name AS "column", round(confidence, 6) AS confidence, data_type FROM changes""",
+        SELECT change_type AS type, column_name AS "column", round(confidence, 6) AS confidence, data_type, sample_values
+        FROM changes JOIN drift_samples USING (column_name)""",
     "v_approved": """
         SELECT column_name, 'approved' AS status, 'admin' AS approved_by, TIMESTAMP '2002-01-03 00:00:00' AS approved_at
         FROM changes""",

@@ -309,7 +309,7 @@ def _decisions(queue: DataFrame) -> DataFrame:
 @query
 def v_drift_scores(m: RetailModel) -> DataFrame:
     changes = governance.column_changes(_landed_batch(m), _DRIFT_RULE, _DRIFT_ORDER)
-    return _rounded(changes.drop("sample_values"), 6, "confidence")
+    return _rounded(changes.withColumn("sample_values", F.array_join("sample_values", "|")), 6, "confidence")
 
 
 @query
@@ -327,7 +327,8 @@ def v_change_log(m: RetailModel) -> DataFrame:
 @query
 def v_queue_expanded(m: RetailModel) -> DataFrame:
     expanded = governance.expand_decision(_queue(m))
-    return _rounded(expanded.select("type", "column", "confidence", "data_type"), 6, "confidence")
+    samples = F.array_join("sample_values", "|").alias("sample_values")
+    return _rounded(expanded.select("type", "column", "confidence", "data_type", samples), 6, "confidence")
 
 
 @query
@@ -555,7 +556,9 @@ def a_features(m: RetailModel) -> DataFrame:
 
 @query
 def a_category_codes(m: RetailModel) -> DataFrame:
-    return stockout.category_codes(m.features)
+    """The codes as the features carry them."""
+    coded = stockout.with_codes(m.features, stockout.category_codes(m.features, m.work))
+    return coded.select("category", "category_code").distinct()
 
 
 @query

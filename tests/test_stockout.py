@@ -82,6 +82,14 @@ def test_no_rows_no_model(feats):
     assert stockout.score(None, feats).count() == 0
 
 
+def test_codes_of_many_categories(spark, work):
+    names = spark.range(100_000).selectExpr("concat('c', lpad(id * 7 % 100000, 6, '0')) category", "id")
+    codes = stockout.category_codes(names.unionByName(names.limit(5).selectExpr("cast(null as string) category", "id")), work)
+    assert codes.count() == 100_000 and codes.where("category <> concat('c', lpad(category_code, 6, '0'))").count() == 0
+    asked = spark.createDataFrame([("c000007",), ("zz",), (None,)], "category string")
+    assert rows(stockout.with_codes(asked, codes), "category", "category_code") == sorted([("c000007", 7), ("zz", 100_000), (None, 100_000)], key=str)
+
+
 def test_category_codes(feats):
     assert rows(stockout.category_codes(feats)) == [("Food", 0), ("Toys", 1)]
 
