@@ -275,6 +275,14 @@ TABLES = {
                        AND CAST(variety AS DOUBLE) / CAST(n AS DOUBLE) < 0.99 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END
                + CASE WHEN data_type = 'string' THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END, 1.0::DOUBLE) AS confidence
         FROM drift_profile""",
+    "visits": """
+        WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 12 HOUR, true) AS opens
+                   FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+             n AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM e)
+        SELECT user_id, min(ts) AS visit_start, max(ts) AS visit_end, count(*) AS events,
+               count(*) FILTER (event_type = 'purchase') AS purchases, arg_min(event_type, struct_pack(ts := ts, k := event_id)) AS first_event,
+               arg_max(event_type, struct_pack(ts := ts, k := event_id)) AS last_event
+        FROM n GROUP BY user_id, visit""",
     "run_events": """
         SELECT o_orderkey AS run_id, o_orderpriority AS pipeline_name, o_orderdate AS event_time, 'running' AS status,
                CAST(NULL AS BIGINT) AS rows_processed, CAST(NULL AS BIGINT) AS rows_quarantined,
@@ -591,9 +599,19 @@ FINAL = {
                payment_method, order_source FROM live_orders""",
     "t_alerts": _ALERTS,
     "t_messages": f"""
-        SELECT type, count(*) AS messages, count(DISTINCT order_id) AS orders FROM (
-            SELECT 'order' AS type, order_id FROM live_orders UNION ALL SELECT 'ml_alert', order_id FROM ({_ALERTS}))
-        GROUP BY type""",
+        SELECT order_id, concat('{{"type":"order","order_id":', order_id, ',"product_id":"', product_id, '","store_id":"', store_id,
+                                '","price":', CAST(price AS DOUBLE), '}}') AS body FROM live_orders
+        UNION ALL
+        SELECT order_id, concat('{{"type":"ml_alert","product_id":"', product_id, '","store_id":"', store_id, '","risk_level":"', risk_level,
+                                '","confidence":', CAST(confidence AS DOUBLE), ',"reorder":', recommended_reorder, '}}') FROM ({_ALERTS})""",
+    "t_orders_folded": """
+        SELECT order_id, timestamp, product_id, store_id, quantity, CAST(price AS DOUBLE) AS price, customer_id,
+               payment_method, order_source FROM live_orders""",
+    "t_sessions": """
+        SELECT * FROM visits WHERE visit_end + INTERVAL 12 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY""",
+    "t_visits": """
+        SELECT * FROM visits WHERE visit_end + INTERVAL 12 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 DAY""",
+    "t_sessions_batch": "SELECT * FROM visits",
     "t_daily_window": """
         SELECT CAST(timestamp AS DATE) AS day, count(*) AS orders, CAST(sum(price * quantity) AS DOUBLE) AS revenue,
                round(CAST(sum(price * quantity) AS DOUBLE) / count(*), 6) AS avg_order_value

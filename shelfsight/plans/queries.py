@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import basket, cleaning, dimensions, facts, governance, ingest, kpi, ops, scd, secure, stockout
-from ..schemas import LOGS, RAW, STAR, Registry, TableRule, raw_fields
+from ..schemas import FEED, LOGS, RAW, STAR, Registry, TableRule, raw_fields
 from ..sources import files
 from ..sources.tables import Log, PartedTable, VersionedTable
 from ..streaming import orders as live
+from ..streaming import visits
 from .flow import Warehouse, run_batch
 from .model import (
     AS_OF,
@@ -618,7 +619,7 @@ def _fed(m: RetailModel) -> str:
 
 
 def _fed_orders(m: RetailModel) -> DataFrame:
-    return live.read_sink(m.spark, _fed(m), "orders", LOGS["streaming_orders"])
+    return live.read_feed(m.spark, _fed(m), "orders")
 
 
 @query
@@ -628,17 +629,30 @@ def t_orders(m: RetailModel) -> DataFrame:
 
 @query
 def t_alerts(m: RetailModel) -> DataFrame:
-    schema = "order_id bigint, timestamp timestamp, product_id string, store_id string, risk_level string, " \
-             "confidence double, recommended_reorder int"
-    return live.read_sink(m.spark, _fed(m), "alerts", schema)
+    return live.read_feed(m.spark, _fed(m), "alerts")
 
 
 @query
 def t_messages(m: RetailModel) -> DataFrame:
-    sent = live.read_sink(m.spark, _fed(m), "messages", "order_id bigint, body string")
-    kind = F.get_json_object("body", "$.type").alias("type")
-    per_order = sent.groupBy(kind, "order_id").agg(F.count(F.lit(1)).alias("_n"))
-    return per_order.groupBy("type").agg(F.sum("_n").alias("messages"), F.count(F.lit(1)).alias("orders"))
+    return live.read_feed(m.spark, _fed(m), "messages").drop("timestamp")
+
+
+@query
+def t_orders_folded(m: RetailModel) -> DataFrame:
+    """The orders of a sink of twelve micro-batches, two of them written twice, folded three times."""
+
+    def run() -> str:
+        out = m.work.fresh("folded_feed")
+        table, orders = live.sink(m.spark, out, "orders"), m.work.save(m.orders_batch, "feed_orders")
+        for batch in range(12):
+            part = orders.where(F.pmod(F.xxhash64("order_id"), F.lit(12)) == batch).select(*FEED["orders"].names)
+            for _ in range(2 if batch % 6 == 5 else 1):
+                table.write(part, batch)
+            if batch % 4 == 3:
+                table.compact(most_folders=2)
+        return out
+
+    return _as_double(live.read_feed(m.spark, m.once("folded_feed", run), "orders"), "price")
 
 
 @query
@@ -668,6 +682,39 @@ def t_recent_orders(m: RetailModel) -> DataFrame:
     return _as_double(live.recent_orders(_fed_orders(m)), "price")
 
 
+GAP_HOURS = 12
+
+
+def _visits(m: RetailModel, found: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What a stream over the events gives out: the visits that the newest event has closed."""
+
+    def run() -> str:
+        out = m.work.fresh(name)
+        stream = m.spark.readStream.schema(m.table("events").schema).parquet(f"{m.dir}/events.parque[t]")
+        visits.run_visits(found(stream), out).awaitTermination()
+        return out
+
+    return live.read_sink(m.spark, m.once(name, run), "visits", visits.VISIT)
+
+
+@query
+def t_sessions(m: RetailModel) -> DataFrame:
+    """Visits as session windows of the stream."""
+    return _visits(m, lambda events: visits.sessions(events, f"{GAP_HOURS} hours", "1 day"), "sessions")
+
+
+@query
+def t_visits(m: RetailModel) -> DataFrame:
+    """The same visits from keyed state with timers."""
+    return _visits(m, lambda events: visits.visits(events, GAP_HOURS * 3600, "1 day"), "visits")
+
+
+@query
+def t_sessions_batch(m: RetailModel) -> DataFrame:
+    """All visits of the stored events, open ones too."""
+    return visits.sessions(m.table("events"), f"{GAP_HOURS} hours", "1 day")
+
+
 # Runs: every order is a run that starts on its date and, unless pending, ends some time later
 
 

@@ -114,6 +114,16 @@ LOGS = {
     "quarantine_log": _struct("table_name string, quarantine_reason string, timestamp timestamp"),
 }
 
+# What the live feed stores.
+FEED = {
+    "orders": LOGS["streaming_orders"],
+    "alerts": _struct(
+        "order_id bigint, timestamp timestamp, product_id string, store_id string, risk_level string, confidence double, "
+        "recommended_reorder int"
+    ),
+    "messages": _struct("order_id bigint, timestamp timestamp, body string"),
+}
+
 EXPLANATION = _struct(
     "risk_level string, ml_confidence double, current_stock double, avg_daily_demand double, volatility_cv double"
 )

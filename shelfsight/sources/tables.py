@@ -86,7 +86,7 @@ class VersionedTable:
         return gone
 
 
-_FOLDERS = T.StructType([T.StructField("part", T.StringType()), T.StructField("folder", T.StringType())])
+_FOLDERS = T.StructType([T.StructField("part", T.StringType()), T.StructField("folder", T.StringType()), T.StructField("mark", T.LongType())])
 
 
 class PartedTable:
@@ -103,7 +103,11 @@ class PartedTable:
     def folders(self, version: int | None = None) -> list[tuple[str | None, str]]:
         """(part, folder) of all that holds now, or did in an earlier version."""
         rows = self.list.read() if version is None else self.spark.read.schema(_FOLDERS).parquet(f"{self.list.path}/version={version}")
-        return sorted(((r["part"], r["folder"]) for r in rows.collect()), key=lambda f: (f[0] or "", f[1]))
+        return sorted(((r["part"], r["folder"]) for r in rows.where("folder is not null").collect()), key=lambda f: (f[0] or "", f[1]))
+
+    def mark(self) -> int | None:
+        """A number stored with the last change: how far a source had been taken in then."""
+        return self.list.read().agg(F.max("mark")).first()[0]
 
     def _rows(self, folders: list[tuple[str, str]]) -> DataFrame:
         if not folders:
@@ -125,16 +129,17 @@ class PartedTable:
         told = {child: unescaped(child.partition("=")[2]) for child in found}
         return [(None if part == "__HIVE_DEFAULT_PARTITION__" else part, f"{name}/{child}") for child, part in told.items()]
 
-    def _commit(self, folders: list[tuple[str, str]]) -> None:
-        self.list.replace(self.spark.createDataFrame(folders, _FOLDERS).coalesce(1))
+    def _commit(self, folders: list[tuple[str, str]], mark: int | None = None) -> None:
+        rows = [(part, folder, None) for part, folder in folders] + ([(None, None, mark)] if mark is not None else [])
+        self.list.replace(self.spark.createDataFrame(rows, _FOLDERS).coalesce(1))
 
     def replace(self, rows: DataFrame) -> None:
         self._commit(self._written(rows))
 
-    def change(self, drop: list[str], add: DataFrame | None = None) -> None:
+    def change(self, drop: list[str], add: DataFrame | None = None, mark: int | None = None) -> None:
         """Take parts away and add rows, in one step. Rows of parts that stay get a folder beside those they have."""
         kept = [(part, folder) for part, folder in self.folders() if part not in drop]
-        self._commit(kept + (self._written(add) if add is not None else []))
+        self._commit(kept + (self._written(add) if add is not None else []), self.mark() if mark is None else mark)
 
     def delete_where(self, condition: Column) -> dict[str, str]:
         """Keep the rows for which the condition is not true; what became of each part.
