@@ -276,7 +276,7 @@ TABLES = {
                + CASE WHEN data_type = 'string' THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END, 1.0::DOUBLE) AS confidence
         FROM drift_profile""",
     "visits": """
-        WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 12 HOUR, true) AS opens
+        WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 12 HOUR, true) AS opens
                    FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
              n AS (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS visit FROM e)
         SELECT user_id, min(ts) AS visit_start, max(ts) AS visit_end, count(*) AS events,

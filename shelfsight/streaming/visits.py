@@ -1,4 +1,4 @@
-"""Visits of users: what one user does with pauses shorter than a gap. As session windows and as keyed state with timers.
+"""Visits of users: what one user does with pauses no longer than a gap. As session windows and as keyed state with timers.
 
 An event within the gap of a user's visit joins it, or joins two visits to one, in whatever order the events arrive. A visit is given out once,
 when the watermark (newest event time less the delay) has passed its last event by the gap, so no event that is still let in
@@ -49,7 +49,7 @@ def _merged(segments: list[list], gap: int) -> list[list]:
     """Segments [first (time, id, type), last, events, purchases] of one user, those within the gap joined."""
     out: list[list] = []
     for first, last, events, purchases in sorted(segments):
-        if out and first[0] - out[-1][1][0] < gap:
+        if out and first[0] - out[-1][1][0] <= gap:
             held = out[-1]
             held[1] = max(held[1], last)
             held[2] += events

@@ -29,7 +29,7 @@ def plain(events, gap=30):
     for user in {e[2] for e in events if e[2] is not None and e[1] is not None}:
         own, held = sorted((e[1], e[0], e[3]) for e in events if e[2] == user and e[1] is not None), []
         for at in own:
-            if held and at[0] - held[-1][-1][0] < timedelta(minutes=gap):
+            if held and at[0] - held[-1][-1][0] <= timedelta(minutes=gap):
                 held[-1].append(at)
             else:
                 held.append([at])
@@ -46,9 +46,9 @@ def run(spark, inbox, out, finder):
     return rows(live.read_sink(spark, out, "visits", visits.VISIT))
 
 
-FIRST = [event(1, 0), event(2, 29), event(3, 59), event(4, 60, kind="purchase"), event(5, 10, user=2), event(6, 40, user=2), event(7, None), event(8, 5, user=None)]
+FIRST = [event(1, 0), event(2, 29), event(3, 60), event(4, 75, kind="purchase"), event(5, 10, user=2), event(6, 41, user=2), event(7, None), event(8, 5, user=None)]
 #: Out of order, but within the hour: 9 joins the visits around it.
-SECOND = [event(9, 20, user=2, kind="purchase"), event(10, 95), event(11, 100, user=3, kind=None)]
+SECOND = [event(9, 11, user=2, kind="purchase"), event(10, 106), event(11, 100, user=3, kind=None)]
 
 
 @pytest.mark.parametrize("finder", FINDERS)
@@ -57,12 +57,12 @@ def test_stream_equals_stored_events(spark, tmp_path, finder):
     inbox.mkdir()
     land(spark, inbox, "a", FIRST)
     land(spark, inbox, "b", SECOND)
-    assert run(spark, inbox, out, finder) == []  # all are open: the watermark is at minute 40
+    assert run(spark, inbox, out, finder) == []  # all are open: the watermark is at minute 46
     tick = event(90, 600, user=99)
     land(spark, inbox, "c", [tick])
     expected = [v for v in plain(FIRST + SECOND + [tick]) if v[0] != 99]
     assert run(spark, inbox, out, finder) == expected
-    # Minute 29 to 59 is a full gap of 30, so a visit of its own; of user 2 the late arrival joined two visits to one.
+    # A pause of 30 minutes joins, one of 31 doesn't; of user 2 the event that came later joined two visits to one.
     assert [v[3] for v in expected if v[0] == 1] == [2, 2, 1] and [v[3:5] for v in expected if v[0] == 2] == [(3, 1)]
     assert run(spark, inbox, out, finder) == expected  # nothing is given out twice
 
@@ -88,5 +88,5 @@ def test_stored_events(spark):
 
 def test_segments_join_in_any_order():
     segments = [[[t, t, "v"], [t, t, "v"], 1, 0] for t in (50, 0, 9, 100, 59, 40)]
-    assert [(v[0][0], v[1][0], v[2]) for v in visits._merged(segments, 10)] == [(0, 9, 2), (40, 40, 1), (50, 59, 2), (100, 100, 1)]
+    assert [(v[0][0], v[1][0], v[2]) for v in visits._merged(segments, 10)] == [(0, 9, 2), (40, 59, 3), (100, 100, 1)]
     assert [(v[0][0], v[1][0], v[2]) for v in visits._merged(visits._merged(segments, 10) + [[[45, 1, "v"], [45, 1, "v"], 1, 0]], 10)] == [(0, 9, 2), (40, 59, 4), (100, 100, 1)]
