@@ -15,6 +15,8 @@ from ..workspace import Workspace
 
 #: Rows of a batch that are turned into Python objects at a time.
 ROWS_AT_A_TIME = 256
+#: Groups whose sizes are broadcast.
+MOST_GROUPS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +46,23 @@ def schema_of(text: str) -> StructType:
     return _parse_datatype_string(text)
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, start: Callable[[], Callable], out: str) -> DataFrame:
+_held: dict[str, object] = {}
+
+
+def held_by_worker(key: str, make: Callable[[], object]):
+    """``make()``, kept by the Python worker for its next tasks; two such objects at most."""
+    if key not in _held:
+        if len(_held) > 1:
+            _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, start: Callable[[], Callable], out: str, together: bool = False) -> DataFrame:
     """``keep`` columns plus the ``out`` columns that ``start()(text)`` gives for each row.
 
-    ``start`` runs once in a task and returns a function from a text (None for null) to a tuple. Only ``keep`` and
-    ``text`` are read, so other columns of ``df`` can't clash with ``out``.
+    ``start`` runs once in a task and returns a function from a text (None for null) to a tuple, or ``together`` from a list of
+    texts to a list of tuples. Only ``keep`` and ``text`` are read, so other columns of ``df`` can't clash with ``out``.
     """
     # A text that is kept is sent to Python once; otherwise it stands behind the kept columns and ends here.
     at_text = keep.index(text) if text in keep else len(keep)
@@ -62,7 +76,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, start: Callable[[], Cal
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 piece = batch.slice(at, ROWS_AT_A_TIME)
-                found = [handle(t) for t in piece.column(at_text).to_pylist()]
+                texts = piece.column(at_text).to_pylist()
+                found = handle(texts) if together else [handle(t) for t in texts]
                 columns = list(zip(*found))
                 arrays = [c.cast(f.type) for c, f in zip(piece.columns[: len(keep)], arrow)]
                 arrays += [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keep) :])]
@@ -75,11 +90,13 @@ def first_by_hash(ids: DataFrame, group: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``group``: those whose ``_id`` hashes lowest.
 
     A group is thinned to about twice as many rows by its size before they are ranked, so one with a third of all rows
-    ranks no more of them than any other.
+    ranks no more of them than any other. The sizes of up to ``MOST_GROUPS`` groups are broadcast, so that rows are thinned where they
+    lie and only those left are dealt by group; of more groups, the rows are dealt first.
     """
-    sizes = ids.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = saved(ids.groupBy(group).agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
+    few = sizes.count() <= MOST_GROUPS
     spot = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
-    thin = ids.join(sizes, group).where(spot * F.col("_size") < F.lit(2.0 * most * (1 << 40)))
+    thin = ids.join(F.broadcast(sizes) if few else sizes, group).where(spot * F.col("_size") < F.lit(2.0 * most * (1 << 40)))
     return thin.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(spot, "_id"))).where(F.col("_n") <= most).drop("_n", "_size")
 
 

@@ -5,27 +5,35 @@ A known word is scored by its log frequency in each language. An unseen one fall
 scores of a text's words are added up for every learned language.
 
 The model is fitted on a bounded sample: at most ``SAMPLE_DOCS`` whole documents a language (those with the smallest
-hashed ids), and at most ``MODEL_ENTRIES`` words and n-grams of each length, shared equally among the languages. So the
-model, which is broadcast, has a bounded size, however large the corpus.
+hashed ids), and at most ``MODEL_ENTRIES`` words and n-grams of each length, shared equally among the languages, that occur more
+than once in it. Words of more than ``MOST_WORD_LENGTH`` letters aren't learned whole; such words are scored by their n-grams. So
+the model, which is broadcast, has a bounded size, however large the corpus: for each level one array of 64-bit hashes and one
+matrix. The ids of the sample are broadcast as well unless there are so many languages that they pass ``MOST_BROADCAST_IDS``; the
+result is the same. New words of many texts are scored together; scores of words met are kept by the worker, up to a bound.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; ties go to the
 language that sorts first; a null or empty ``lang`` teaches nothing but its rows are predicted; repeated rows count each time
-in learning and are predicted each time; other columns are not read.
+in learning and are predicted each time; very long texts are scored whole; an empty table teaches nothing and gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, first_by_hash, map_texts
+from .common import first_by_hash, held_by_worker, map_texts, saved
+from .grams import Places, Spelled, grown
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -39,12 +47,38 @@ MOST_WORD_LENGTH = 64  # of a key in the model; longer words are scored by their
 UNKNOWN = "und"
 
 
+#: Words whose scores a worker keeps.
+MOST_WORDS = 400_000
+
+
+@dataclass
+class Level:
+    """Hashes of keys in order, and a row of log frequencies for each."""
+
+    keys: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, keys: list[str], rows: np.ndarray) -> Level:
+        if not keys:
+            return cls(np.zeros(0, "u8"), np.zeros((0, 0), "f4"))
+        hashes, first = np.unique(Spelled(keys).hashes(), return_index=True)
+        return cls(hashes, np.asarray(rows, "f4").reshape(len(keys), -1)[first])
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash; -1 if it has none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+
 @dataclass
 class Model:
-    """Languages in order; for each level (0: words, n: n-grams of that length) log frequencies by key."""
+    """Languages in order; for each level (0: words, n: n-grams of that length) what is known."""
 
     languages: list[str]
-    levels: dict[int, dict[str, np.ndarray]]
+    levels: dict[int, Level]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -99,79 +133,85 @@ def train(docs: DataFrame, language: str = "lang", doc_id: str = "doc_id", text:
         share = max(1, entries // max(1, len(languages)))
         common = Window.partitionBy("lang", "level").orderBy(F.col("n").desc(), "key")
         kept = counts.withColumn("_n", F.row_number().over(common)).where((F.col("_n") <= share) & (F.col("n") > 1)).select("level", "key").distinct()
-        # The counts come from the bounded sample, and entries bounds what is collected here.
-        rows = counts.join(kept, ["level", "key"]).groupBy("level", "key").agg(F.collect_list(F.struct("lang", "n")).alias("by")).toLocalIterator()
-        place = {lang: i for i, lang in enumerate(languages)}
-        levels: dict[int, dict[str, np.ndarray]] = {level: {} for level in range(LONGEST + 1)}
-        base = {
-            level: np.array([totals.get((lang, level), (0, 0)) for lang in languages], float).reshape(-1, 2) for level in levels
-        }
-        for r in rows:
-            n = np.zeros(len(languages))
-            for lang, k in r["by"]:
-                n[place[lang]] = k
-            size = base[r["level"]]
-            levels[r["level"]][r["key"]] = np.log((n + SMOOTHING) / (size[:, 0] + SMOOTHING * (size[:, 1] + 1))).astype("f4")
+        rows = saved(counts.join(kept, ["level", "key"]).groupBy("level", "key").agg(F.collect_list(F.struct("lang", "n")).alias("by")), "language-model")
     finally:
         counts.unpersist()
+    levels = {}
+    for level in range(LONGEST + 1):
+        # At most ``entries`` rows.
+        known = rows.where(F.col("level") == level).select("key", "by").toArrow()
+        by = known.column("by").combine_chunks()
+        told, lengths = by.flatten(), by.value_lengths().to_numpy()
+        times = np.zeros((len(lengths), len(languages)))
+        place = pc.index_in(told.field("lang"), pa.array(languages, pa.string())).to_numpy(zero_copy_only=False)
+        times[np.repeat(np.arange(len(lengths)), lengths), place] = told.field("n").to_numpy()
+        size = np.array([totals.get((lang, level), (0, 0)) for lang in languages], float).reshape(-1, 2)
+        levels[level] = Level.of(known.column("key").to_pylist(), np.log((times + SMOOTHING) / (size[:, 0] + SMOOTHING * (size[:, 1] + 1))))
     return Model(languages, levels)
 
 
 class Scorer:
     """Scores texts; the scores of words it has met are kept in one matrix."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.rows = np.zeros((1 << 12, len(model.languages)), "f4")
-        self.place = Cache(self._add)
-        self.none = np.zeros(len(model.languages), "f4")
-
-    def of_word(self, word: str) -> np.ndarray:
-        levels = self.model.levels
-        found = levels[0].get(word)
-        if found is not None:
-            return found - found.max()
-        weight = 1.0
+    def __init__(self, model: Model, most_words: int = MOST_WORDS) -> None:
+        self.model, self.places = model, Places(most_words)
+        self.rows, self.letters = np.zeros((1 << 12, len(model.languages)), "f4"), np.zeros(1 << 12, bool)
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, 0 for the best language."""
+        levels, out = self.model.levels, np.zeros((len(words), len(self.model.languages)), "f4")
+        at = levels[0].find(Spelled(words).hashes())
+        if (at >= 0).any():
+            out[at >= 0] = levels[0].rows[at[at >= 0]]
+        left, weight = np.flatnonzero(at < 0), 1.0
         for n in range(LONGEST, 0, -1):
             weight *= STEP_DOWN
-            known = [g for g in map(levels[n].get, grams(word, n)) if g is not None]
-            if known:
-                total = weight * np.mean(known, axis=0)
-                return total - total.max()
-        return self.none
-
-    def _add(self, word: str) -> int:
-        at = len(self.place)  # the cache empties itself first, then places start again
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.of_word(word)
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text else []
-        if not self.model.languages or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        if len(self.place) + len(words) > self.place.most:
-            self.place.clear()
-        total = np.zeros(len(self.model.languages))
-        for at in range(0, len(words), self.place.most):
-            if at:
-                self.place.clear()
-            places = list(map(self.place.__getitem__, words[at : at + self.place.most]))
-            total += self.rows[places].sum(axis=0, dtype="f8")
-        best = int(total.argmax())
+            if not len(left):
+                break
+            hashes, word = Spelled([f" {words[w]} " for w in left.tolist()]).grams(n)
+            at = levels[n].find(hashes)
+            at, word = at[at >= 0], word[at >= 0]
+            known = np.bincount(word, minlength=len(left))
+            hit = known > 0
+            if not hit.any():
+                continue
+            for k in range(out.shape[1]):
+                out[left[hit], k] = weight * np.bincount(word, levels[n].rows[at, k], len(left))[hit] / known[hit]
+            left = left[~hit]
+        return out - out.max(axis=1, keepdims=True) if out.shape[1] else out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        languages = self.model.languages
+        if not languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        self.places.tidy()
+        words = [WORD.findall(text.lower()) if text else [] for text in texts]
+        sizes = np.array([len(w) for w in words])
+        at = self.places.of(chain.from_iterable(words), int(sizes.sum()))
+        new = self.places.taken()
+        if new:
+            self.rows, self.letters = grown(self.rows, len(self.places)), grown(self.letters, len(self.places))
+            first = len(self.places) - len(new)
+            self.rows[first : len(self.places)] = self.of_words(new)
+            self.letters[first : len(self.places)] = [word.isalpha() or any(map(str.isalpha, word)) for word in new]
+        text = np.repeat(np.arange(len(texts)), sizes)
+        total = np.stack([np.bincount(text, self.rows[at, k], len(texts)) for k in range(len(languages))], axis=1)
+        told = np.bincount(text, self.letters[at], len(texts)) > 0
+        best = total.argmax(axis=1)
         # Words of a text depend on each other: the evidence grows with the root of their number.
-        return self.model.languages[best], float(1 / np.exp((total - total[best]) / np.sqrt(len(words))).sum())
+        apart = (total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(sizes, 1))[:, None]
+        score = 1 / np.exp(apart).sum(axis=1)
+        return [(languages[b], float(s)) if t else (UNKNOWN, 0.0) for b, s, t in zip(best, score, told)]
 
 
 def predict(df: DataFrame, keep: list[str], model: Model, text: str = "text") -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1). The model's size is bounded by ``MODEL_ENTRIES``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def start() -> Callable:
-        return Scorer(shared.value).predict
+        return held_by_worker(name, lambda: Scorer(shared.value)).predict
 
-    return map_texts(df, keep, text, start, "lang_pred string, score double")
+    return map_texts(df, keep, text, start, "lang_pred string, score double", together=True)
 
 
 def accepted(least: float) -> Column:

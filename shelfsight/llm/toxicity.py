@@ -5,56 +5,67 @@ how often it occurs in toxic and in other texts; a logistic regression is fitted
 
 Learning uses a bounded sample: at most ``SAMPLE_ROWS`` labelled rows of either class (those with the smallest hashed ids),
 hashed to ``1 << BITS`` features, of which the ``FEATURES`` most telling are kept. Both classes weigh the same in the fit, so
-0.5 doesn't depend on how rare toxic rows are. What reaches the driver and what is broadcast has a bounded size.
+0.5 doesn't depend on how rare toxic rows are. An n-gram counts as a feature if ``LEAST_DOCS`` rows of the sample have it, and words of up to
+``WHOLE`` letters and edges are one themselves. What reaches the driver and what is broadcast has a bounded size. The n-grams of many
+texts' words are hashed together; what is known of words met is kept by the worker, up to a bound.
 
 Defined results: null and empty texts have no features and get the score of the intercept; without labelled rows of both
 classes every score is next to 1 if all labelled rows are toxic, else next to 0; a row whose label is null teaches nothing; several equal
-labels of one document count once, contradicting ones not at all; repeated documents are scored each time; other columns are
-not read.
+labels of one document count once, contradicting ones not at all; repeated documents are scored each time; very long texts are scored
+whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, first_by_hash, map_texts, saved
+from .common import first_by_hash, held_by_worker, map_texts, saved
+from .grams import Places, Spelled, grown
 
 WORD = re.compile(r"[^\W_]+")
 LENGTHS = (3, 4, 5, 6)
 WHOLE = 24
 BITS = 20
 SAMPLE_ROWS = 3_000
-FEATURES = 10_000
+FEATURES = 20_000
 LEAST_DOCS = 3
 SMOOTHING = 1.0
 PENALTY, STEPS = 1.0, 200
 
 
-def word_features(word: str) -> frozenset[int]:
-    """Hashed n-grams of a word with its edges, of the lengths in ``LENGTHS`` and, up to ``WHOLE``, of its own."""
-    padded, mask = f" {word} ".encode("utf-32-le"), (1 << BITS) - 1
-    size = len(padded) // 4
-    lengths = (*LENGTHS, size) if max(LENGTHS) < size <= WHOLE else LENGTHS
-    return frozenset(zlib.crc32(padded[4 * i : 4 * (i + n)]) & mask for n in lengths for i in range(size - n + 1))
+#: Words of which a worker keeps the known features.
+MOST_WORDS = 400_000
 
 
-def text_features(text: str | None, of_word: Callable[[str], Iterable[int]]) -> set[int]:
-    return set().union(*map(of_word, set(WORD.findall(text.lower())))) if text else set()
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of words with their edges, of the lengths in ``LENGTHS`` and, up to ``WHOLE``, of their own; and the words they are of."""
+    spelled = Spelled([f" {word} " for word in words])
+    found = [spelled.grams(n) for n in LENGTHS]
+    whole = np.flatnonzero((spelled.sizes > max(LENGTHS)) & (spelled.sizes <= WHOLE))
+    found.append((spelled.hashes()[whole], whole))
+    hashes, word = (np.concatenate(x) for x in zip(*found))
+    return (hashes & np.uint64((1 << BITS) - 1)).astype("i8"), word
+
+
+def distinct_words(text: str | None) -> set[str]:
+    return set(WORD.findall(text.lower())) if text else set()
 
 
 @dataclass
 class Model:
-    """Weight of each kept feature (ratio times coefficient) and intercept."""
+    """The kept features in order, the weight (ratio times coefficient) of each, and the intercept."""
 
-    weights: dict[int, float]
+    features: np.ndarray
+    weights: np.ndarray
     intercept: float
 
 
@@ -78,10 +89,21 @@ def sample_features(sampled: DataFrame) -> DataFrame:
     """(toxic, features) of each sampled row, the features as packed unsigned 32-bit integers."""
 
     def start() -> Callable:
-        of_word = Cache(word_features, 30_000).__getitem__
-        return lambda t: (np.array(sorted(text_features(t, of_word)), "<u4").tobytes(),)
+        def handle(texts: list[str | None]) -> list[tuple[bytes]]:
+            words = [distinct_words(text) for text in texts]
+            number = {word: k for k, word in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+            features, word = word_features(list(number))
+            order = np.argsort(word, kind="stable")
+            ends = np.searchsorted(word[order], np.arange(len(number) + 1))
+            features, out = features[order], []
+            for own in words:
+                parts = [features[ends[k] : ends[k + 1]] for k in map(number.__getitem__, own)]
+                out.append((np.unique(np.concatenate(parts)).astype("<u4").tobytes() if parts else b"",))
+            return out
+
+        return handle
 
-    return map_texts(sampled, ["toxic"], "text", start, "features binary")
+    return map_texts(sampled, ["toxic"], "text", start, "features binary", together=True)
 
 
 def feature_counts(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +129,9 @@ def feature_counts(features: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps on sparse rows: rows hold (column, value) pairs, classes weigh the same."""
-    columns = np.concatenate([r[0] for r in rows]).astype(int)
+    columns = np.concatenate([r[0] for r in rows]).astype("i4")
     values = np.concatenate([r[1] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype="i4"), [len(r[0]) for r in rows])
     width, n = (int(columns.max()) + 1 if len(columns) else 0), len(rows)
     weight = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
     squares = np.bincount(row, values * values, n) + 1
@@ -129,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sampled, sizes = sample(docs, labels, doc_id, text, label, sample_rows)
     clean_rows, toxic_rows = sizes.get(0, 0), sizes.get(1, 0)
     if not clean_rows or not toxic_rows:
-        return Model({}, 30.0 if toxic_rows else -30.0)
+        return Model(np.zeros(0, "i8"), np.zeros(0), 30.0 if toxic_rows else -30.0)
     features = saved(sample_features(sampled), "toxic-features")
     clean, toxic = feature_counts(features)
     sampled_clean, sampled_toxic = min(clean_rows, sample_rows), min(toxic_rows, sample_rows)
@@ -150,22 +172,64 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         rows.append((columns.astype("i4"), ratio[kept[columns]]))
         marks.append(r["toxic"])
     coefficients, intercept = fit(rows, np.array(marks))
-    weights = {int(f): float(c * ratio[f]) for f, c in zip(kept, coefficients) if c}
-    return Model(weights, intercept)
+    weights = np.zeros(len(kept))
+    weights[: len(coefficients)] = coefficients * ratio[kept[: len(coefficients)]]
+    return Model(kept, weights, intercept)
+
+
+class Scorer:
+    """Scores texts; the known features of words it has met are kept in one list with the place of each word's."""
+
+    def __init__(self, model: Model, most_words: int = MOST_WORDS) -> None:
+        self.model, self.places = model, Places(most_words)
+        self.rank = np.full(1 << BITS, -1, "i4")
+        self.rank[model.features] = np.arange(len(model.features))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.features, self.used = np.zeros(1 << 14, "i4"), 0
+        self.starts, self.counts = np.zeros(1 << 12, "i8"), np.zeros(1 << 12, "i8")
+
+    def _learn(self, words: list[str]) -> None:
+        features, word = word_features(words)
+        rank = self.rank[features]
+        order = np.flatnonzero(rank >= 0)
+        order = order[np.argsort(word[order], kind="stable")]
+        counts = np.bincount(word[order], minlength=len(words))
+        first, total = len(self.places) - len(words), len(order)
+        self.features = grown(self.features, self.used + total)
+        self.features[self.used : self.used + total] = rank[order]
+        self.starts, self.counts = grown(self.starts, len(self.places)), grown(self.counts, len(self.places))
+        self.starts[first : len(self.places)] = self.used + np.cumsum(counts) - counts
+        self.counts[first : len(self.places)] = counts
+        self.used += total
+
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        """The sum of the weights of each text's features, each counted once."""
+        if self.places.tidy():
+            self._forget()
+        words = [distinct_words(text) for text in texts]
+        sizes = np.array([len(w) for w in words])
+        at = self.places.of(chain.from_iterable(words), int(sizes.sum()))
+        new = self.places.taken()
+        if new:
+            self._learn(new)
+        times = self.counts[at]
+        place = np.repeat(self.starts[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        text = np.repeat(np.repeat(np.arange(len(texts)), sizes), times)
+        wide = max(1, len(self.model.features))
+        own = np.unique(text * wide + self.features[place])
+        return self.model.intercept + np.bincount(own // wide, self.model.weights[own % wide] if len(own) else None, len(texts))
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float]]:
+        return [(float(s),) for s in 1 / (1 + np.exp(-np.clip(self.margins(texts), -30, 30)))]
 
 
 def predict(df: DataFrame, keep: list[str], model: Model, text: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1, higher: toxic likelier). The model holds at most ``FEATURES`` weights."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def start() -> Callable:
-        weights = shared.value.weights
-        of_word = Cache(lambda word: tuple(f for f in word_features(word) if f in weights), 200_000).__getitem__
-
-        def handle(t):
-            margin = shared.value.intercept + sum(sorted(map(weights.__getitem__, text_features(t, of_word))))
-            return (float(1 / (1 + np.exp(-np.clip(margin, -30, 30)))),)
-
-        return handle
+        return held_by_worker(name, lambda: Scorer(shared.value)).scores
 
-    return map_texts(df, keep, text, start, "score double")
+    return map_texts(df, keep, text, start, "score double", together=True)
