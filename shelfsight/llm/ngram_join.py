@@ -283,6 +283,10 @@ def _signatures(nodes: DataFrame) -> DataFrame:
     return nodes.select("digest", "tokens").mapInArrow(run, "digest binary, signature binary")
 
 
+#: What an entry is in the block that it is sent to.
+_HELD, _ASKS, _BOTH = 0, 1, 2
+
+
 def _candidates(prefix: DataFrame, queries: DataFrame, size: DataFrame, threshold: int) -> DataFrame:
     """(digest, n, target): groups that a query of a smaller group may link with.
 
@@ -293,28 +297,28 @@ def _candidates(prefix: DataFrame, queries: DataFrame, size: DataFrame, threshol
     known = prefix.join(_signatures(queries), "digest").join(size.select("grp", "members"), "grp")
     blocks = prefix.groupBy("token").agg(F.expr(f"cast(1 + count(*) div {BLOCK_NODES} as int)").alias("blocks"))
     spot = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    known = known.join(blocks, "token")
-    rest = ["digest", "n", "grp", "members", "signature"]
-    asking = known.select("token", spot.alias("qb"), every.alias("mb"), F.lit(True).alias("asks"), *rest)
-    held = known.select("token", every.alias("qb"), spot.alias("mb"), F.lit(False).alias("asks"), *rest)
-    # Many shingles share a task; within it, those of one shingle and block pair are compared. Each entry asks and is held once in every block.
-    total = prefix.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(F.expr(f"2 * c * (1 + c div {BLOCK_NODES})")).alias("n")).first()["n"] or 0
+    known = known.join(blocks, "token").withColumn("spot", spot)
+    # Of a shingle with one block each entry is sent once and is both asker and target, else once to every block on either side.
+    every = "transform(sequence(0, blocks - 1), b -> struct({} as qb, {} as mb, {} as side))"
+    places = F.expr(f"if(blocks = 1, array(struct(0 as qb, 0 as mb, {_BOTH} as side)), concat({every.format('spot', 'b', _ASKS)}, {every.format('b', 'spot', _HELD)}))")
+    # Many shingles share a task; within it, those of one shingle and block pair are compared.
+    sent = F.expr(f"if(c < {BLOCK_NODES}, c, 2 * c * (1 + c div {BLOCK_NODES}))")
+    total = prefix.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(sent).alias("n")).first()["n"] or 0
     deals = max(4 * int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + int(total) // DEAL_ROWS)
-    rows = asking.union(held).withColumn("deal", F.pmod(F.xxhash64("token", "qb", "mb"), F.lit(deals)).cast("int"))
+    rows = known.select("token", F.explode(places).alias("p"), "digest", "n", "grp", "members", "signature").select("token", "p.*", "digest", "n", "grp", "members", "signature")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("token", "qb", "mb"), F.lit(deals)).cast("int"))
 
     def meet(table: pa.Table) -> pa.Table:
         names = table.column("digest").to_pylist()
         groups = table.column("grp").to_pylist()
-        asks = np.array(table.column("asks").to_pylist(), bool)
-        n, members, token, qb, mb = (np.array(table.column(c).to_pylist(), "i8") for c in ("n", "members", "token", "qb", "mb"))
+        n, members, token, qb, mb, side = (table.column(c).to_numpy().astype("i8") for c in ("n", "members", "token", "qb", "mb", "side"))
         number, group = np.unique(np.array(groups, object), return_inverse=True)  # in the order of the group ids
         bits = np.frombuffer(b"".join(table.column("signature").to_pylist()), "u8").reshape(len(names), -1)
         by = np.lexsort((mb, qb, token))
         edge = np.flatnonzero((np.diff(token[by]) != 0) | (np.diff(qb[by]) != 0) | (np.diff(mb[by]) != 0)) + 1
         found: set[tuple[bytes, int, int]] = set()
         for own in np.split(by, edge):
-            targets, askers = own[~asks[own]], own[asks[own]]
+            targets, askers = own[side[own] != _ASKS], own[side[own] != _HELD]
             for q in askers:
                 t = targets[(members[targets] > members[q]) | ((members[targets] == members[q]) & (group[targets] > group[q]))]
                 apart = np.bitwise_count(bits[t] ^ bits[q]).sum(axis=1, dtype="i8")
