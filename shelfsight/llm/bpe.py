@@ -11,19 +11,19 @@ ids give repeated results, other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
 import struct
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, map_texts
+from .common import Cache, held_by_worker, map_texts
 
 # The word pattern of this vocabulary family, as published.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,20 +166,16 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
 
 
-@lru_cache(2)
-def _codec(description: str) -> Codec:
-    """Kept for the worker's next tasks, with the words it has merged."""
-    return Codec(description)
-
-
 def codec_maker(df: DataFrame, vocabulary: str | None) -> Callable[[], Codec]:
     """Makes the codec inside a task from the vocabulary file, which is read once here and broadcast.
 
-    The file has a fixed size, so the broadcast doesn't grow with the data.
+    The file has a fixed size, so the broadcast doesn't grow with the data. The worker keeps the codec for its next tasks, with the
+    words it has merged, until another operator has something to keep.
     """
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as file:
-        told = df.sparkSession.sparkContext.broadcast(file.read())
-    return lambda: _codec(told.value)
+        text = file.read()
+    told, name = df.sparkSession.sparkContext.broadcast(text), f"codec {hashlib.sha256(text.encode()).hexdigest()}"
+    return lambda: held_by_worker(name, lambda: Codec(told.value))
 
 
 def encode(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:

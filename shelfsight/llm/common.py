@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,10 +51,10 @@ _held: dict[str, object] = {}
 
 
 def held_by_worker(key: str, make: Callable[[], object]):
-    """``make()``, kept by the Python worker for its next tasks; two such objects at most."""
+    """``make()``, kept by the Python worker for its next tasks. It keeps one such object: what another operator left is let go first."""
     if key not in _held:
-        if len(_held) > 1:
-            _held.clear()
+        _held.clear()
+        gc.collect()
         _held[key] = make()
     return _held[key]
 
