@@ -50,11 +50,17 @@ def schema_of(text: str) -> StructType:
 _held: dict[str, object] = {}
 
 
+def let_go() -> None:
+    """Free what an operator left in this worker."""
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def held_by_worker(key: str, make: Callable[[], object]):
     """``make()``, kept by the Python worker for its next tasks. It keeps one such object: what another operator left is let go first."""
     if key not in _held:
-        _held.clear()
-        gc.collect()
+        let_go()
         _held[key] = make()
     return _held[key]
 

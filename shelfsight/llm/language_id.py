@@ -9,7 +9,7 @@ hashed ids), and at most ``MODEL_ENTRIES`` words and n-grams of each length, sha
 than once in it. Words of more than ``MOST_WORD_LENGTH`` letters aren't learned whole; such words are scored by their n-grams. So
 the model, which is broadcast, has a bounded size, however large the corpus: for each level one array of 64-bit hashes and one
 matrix. The ids of the sample are broadcast as well unless there are so many languages that they pass ``MOST_BROADCAST_IDS``; the
-result is the same. New words of many texts are scored together; scores of words met are kept by the worker, up to a bound.
+result is the same. New words of many texts are scored together; scores of words met are kept for the task, up to a bound.
 
 Defined results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned; ties go to the
 language that sorts first; a null or empty ``lang`` teaches nothing but its rows are predicted; repeated rows count each time
@@ -20,7 +20,6 @@ other columns are not read.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, held_by_worker, map_texts, saved
+from .common import first_by_hash, let_go, map_texts, saved
 from .grams import Places, Spelled, grown
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -47,7 +46,7 @@ MOST_WORD_LENGTH = 64  # of a key in the model; longer words are scored by their
 UNKNOWN = "und"
 
 
-#: Words whose scores a worker keeps.
+#: Words whose scores a task keeps.
 MOST_WORDS = 400_000
 
 
@@ -206,10 +205,11 @@ class Scorer:
 
 def predict(df: DataFrame, keep: list[str], model: Model, text: str = "text") -> DataFrame:
     """``keep`` columns, ``lang_pred`` and ``score`` (0 to 1). The model's size is bounded by ``MODEL_ENTRIES``."""
-    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start() -> Callable:
-        return held_by_worker(name, lambda: Scorer(shared.value)).predict
+        let_go()
+        return Scorer(shared.value).predict
 
     return map_texts(df, keep, text, start, "lang_pred string, score double", together=True)
 

@@ -7,7 +7,7 @@ Learning uses a bounded sample: at most ``SAMPLE_ROWS`` labelled rows of either
 hashed to ``1 << BITS`` features, of which the ``FEATURES`` most telling are kept. Both classes weigh the same in the fit, so
 0.5 doesn't depend on how rare toxic rows are. An n-gram counts as a feature if ``LEAST_DOCS`` rows of the sample have it, and words of up to
 ``WHOLE`` letters and edges are one themselves. What reaches the driver and what is broadcast has a bounded size. The n-grams of many
-texts' words are hashed together; what is known of words met is kept by the worker, up to a bound.
+texts' words are hashed together; what is known of words met is kept for the task, up to a bound.
 
 Defined results: null and empty texts have no features and get the score of the intercept; without labelled rows of both
 classes every score is next to 1 if all labelled rows are toxic, else next to 0; a row whose label is null teaches nothing; several equal
@@ -18,7 +18,6 @@ whole; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, held_by_worker, map_texts, saved
+from .common import first_by_hash, let_go, map_texts, saved
 from .grams import Places, Spelled, grown
 
 WORD = re.compile(r"[^\W_]+")
@@ -42,7 +41,7 @@ SMOOTHING = 1.0
 PENALTY, STEPS = 1.0, 200
 
 
-#: Words of which a worker keeps the known features.
+#: Words of which a task keeps the known features.
 MOST_WORDS = 400_000
 
 
@@ -227,9 +226,10 @@ class Scorer:
 
 def predict(df: DataFrame, keep: list[str], model: Model, text: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` (0 to 1, higher: toxic likelier). The model holds at most ``FEATURES`` weights."""
-    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start() -> Callable:
-        return held_by_worker(name, lambda: Scorer(shared.value)).scores
+        let_go()
+        return Scorer(shared.value).scores
 
     return map_texts(df, keep, text, start, "score double", together=True)
