@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,11 +51,21 @@ def schema_of(text: str) -> StructType:
 _held: dict[str, object] = {}
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: a worker lives on for tasks of other stages and keeps what it once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # a C library without that call
+
+
 def let_go() -> None:
     """Free what an operator left in this worker."""
     if _held:
         _held.clear()
         gc.collect()
+    give_back()
 
 
 def held_by_worker(key: str, make: Callable[[], object]):
@@ -89,6 +100,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, start: Callable[[], Cal
                 arrays = [c.cast(f.type) for c, f in zip(piece.columns[: len(keep)], arrow)]
                 arrays += [pa.array(c, f.type) for c, f in zip(columns, list(arrow)[len(keep) :])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        del handle
+        give_back()
 
     return source.mapInArrow(run, schema)
 

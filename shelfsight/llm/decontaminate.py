@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import saved, schema_of
+from .common import let_go, saved, schema_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -281,6 +281,7 @@ def find(docs: DataFrame, keep: list[str], benchmark: DataFrame, text: str = "te
 
 def _searcher(block, at_text: int, width: int, schema: pa.Schema, shard_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         phrases = list(block.value)
         items = [block.value[p] for p in phrases]
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Cache, map_texts, saved
+from .common import Cache, give_back, let_go, map_texts, saved
 from .components import components
 
 SHINGLE = 5
@@ -91,6 +91,8 @@ def sketch(docs: DataFrame, doc_id: str, text: str, more: tuple[str, ...] = ())
     """(doc_id, more, digest, n, n_half) of every row: its set, the set's size and how many of it lie in the lower half."""
 
     def start():
+        let_go()
+
         def handle(t):
             found = shingles(t)
             return (digest(found) if len(found) else None, len(found), int(np.searchsorted(found, _HALF)))
@@ -164,6 +166,7 @@ def shared_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
             types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["bucket", "nodes", "owner", "tokens", "hot"])
 
+        let_go()
         held = 0
         for batch in batches:
             for t in batch.column(0):
@@ -185,6 +188,8 @@ def shared_counts(docs: DataFrame, text: str, buckets: int) -> DataFrame:
                     held = 0
         if sets:
             yield dealt()
+        sets.clear(), seen.clear()
+        give_back()
 
     def count(bucket: pa.Table) -> pa.Table:
         """For each node of a bucket, how many of its shingles another node has, and its pairs; rows for each part of the nodes."""
