@@ -66,18 +66,19 @@ class TableResult:
     new_columns: tuple[str, ...] = ()
 
 
-def land(df: DataFrame, rule: TableRule, root: str, at: datetime) -> TableResult:
+def land(df: DataFrame, rule: TableRule, root: str, at: datetime, hold: bool = False) -> TableResult:
     """Store the valid and the rejected rows in one write; their numbers are observed while it runs.
 
     The rows are read once. Each file belongs to one task of the write, and what a task that is run again had counted is dropped, so the
-    numbers are those of the files.
+    numbers are those of the files. With ``hold``, the valid rows of a table that has new columns are held apart.
     """
+    drifted = tuple(drifted_columns(df, rule))
     seen, bad = Observation(), F.col(REASON) != ""
-    judged = with_reason(df, rule).withColumn("state", F.when(bad, files.QUARANTINED).otherwise(files.VALID))
+    judged = with_reason(df, rule).withColumn("state", F.when(bad, files.QUARANTINED).otherwise(files.HELD if hold and drifted else files.VALID))
     kept = judged if files.CORRUPT in df.columns else judged.withColumn(files.CORRUPT, F.lit(None).cast("string"))
     files.write_split(kept.observe(seen, F.count_if(~bad).alias("valid"), F.count_if(bad).alias("rejected")), root, rule.name, at)
     counts = seen.get
-    return TableResult(rule.name, counts.get("valid", 0), counts.get("rejected", 0), tuple(drifted_columns(df, rule)))
+    return TableResult(rule.name, counts.get("valid", 0), counts.get("rejected", 0), drifted)
 
 
 def counts_table(spark: SparkSession, results: list[TableResult]) -> DataFrame:
@@ -95,7 +96,7 @@ class BatchIngest:
     def __init__(self, spark: SparkSession, registry: Registry, raw: str, out: str) -> None:
         self.spark, self.registry, self.raw, self.out = spark, registry, raw, out
 
-    def run_table(self, table: str, file_name: str, at: datetime) -> TableResult:
+    def run_table(self, table: str, file_name: str, at: datetime, hold: bool = False) -> TableResult:
         rule = self.registry.rule(table)
         path = f"{self.raw}/{file_name}"
         if not files.exists(self.spark, path):
@@ -105,10 +106,10 @@ class BatchIngest:
         else:
             # Cleaning keeps the first of several copies of a sale, so only sales carry their position.
             df = files.read_csv_by_name(self.spark, path, raw_fields(table), position=table == "transactions")
-        return land(df, rule, self.out, at)
+        return land(df, rule, self.out, at, hold)
 
-    def run_all(self, at: datetime, tables: tuple[tuple[str, str], ...] = BATCH_TABLES) -> list[TableResult]:
-        return [self.run_table(table, file_name, at) for table, file_name in tables]
+    def run_all(self, at: datetime, tables: tuple[tuple[str, str], ...] = BATCH_TABLES, hold: bool = False) -> list[TableResult]:
+        return [self.run_table(table, file_name, at, hold) for table, file_name in tables]
 
 
 def batch_totals(results: list[TableResult]) -> dict[str, int]:

@@ -678,6 +678,9 @@ FINAL = {
     "w_samples": """
         SELECT CAST(sale_id AS VARCHAR) AS sale_id, date_key, CAST(revenue AS DOUBLE) AS revenue FROM fact_sales
         ORDER BY date_key, sale_id LIMIT 200""",
+    "o_held_steps": """
+        SELECT step, status, waiting, loaded, 'transactions' AS table_name, 'approved' AS change_status, 'admin' AS approved_by, 4 AS changes
+        FROM (VALUES ('run', 'held', 1, false), ('asked', 'held', 1, false), ('approved', 'success', 0, true)) AS s(step, status, waiting, loaded)""",
     "w_status_updates": """
         SELECT status, count(*) AS runs FROM runs GROUP BY status""",
     "s_csv_ingest": f"""
@@ -694,6 +697,7 @@ def oracle_sql() -> dict[str, str]:
     required = " AND ".join(f"{c} IS NOT NULL" for c in ("transaction_id", "product_id", "store_id", "date", "quantity", "price"))
     accepted = f"SELECT * FROM ({TABLES['raw_transactions']}) WHERE {required}"
     found["o_batch_flow"] = _with_tables(FINAL["d_fact_sales"], {**TABLES, "raw_transactions": accepted})
+    found["o_held_batch"] = found["o_batch_flow"]
     return found
 
 

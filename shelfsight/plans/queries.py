@@ -14,7 +14,8 @@ from ..sources import files
 from ..sources.tables import Log, PartedTable, VersionedTable
 from ..streaming import orders as live
 from ..streaming import visits
-from .flow import Warehouse, run_batch
+from .flow import Warehouse, resume_batch, run_batch, schema_changes
+from .flow import requests as approval_requests
 from .model import (
     AS_OF,
     FREQUENCY,
@@ -827,8 +828,8 @@ def w_status_updates(m: RetailModel) -> DataFrame:
 # The whole batch
 
 
-def _write_raw(m: RetailModel) -> str:
-    """Raw inputs as the CSV files a batch starts from."""
+def _write_raw(m: RetailModel, **more: F.Column) -> str:
+    """Raw inputs as the CSV files a batch starts from, with more columns of the transactions."""
     folder = m.work.fresh("raw_csv")
     shipments = m.raw_shipments.withColumn("courier", F.lit("Any"))
     # Cleaning keeps the copy that stands first in the files, so the files get an order that SQL can state.
@@ -838,7 +839,7 @@ def _write_raw(m: RetailModel) -> str:
         "products": m.raw_products,
         "stores": m.raw_stores,
         "inventory": m.raw_inventory,
-        "transactions": m.raw_transactions.orderBy(*order),
+        "transactions": m.raw_transactions.orderBy(*order).withColumns(more),
         "shipments": shipments,
     }
     for name, df in inputs.items():
@@ -859,6 +860,44 @@ def o_batch_flow(m: RetailModel) -> DataFrame:
     return _as_double(sales, "revenue", "discount")
 
 
+def _held_batch(m: RetailModel) -> tuple[Warehouse, DataFrame]:
+    """A batch whose transactions bring four new columns: held, asked for again, approved, loaded; with the status after each step."""
+
+    def run() -> tuple[Warehouse, DataFrame]:
+        warehouse, seen = Warehouse(m.spark, m.work.fresh("held_warehouse")), []
+
+        def told(step: str) -> None:
+            status = ops.run_log(warehouse.log("run_events").read()).first()["status"]
+            waiting = approval_requests(warehouse).where("status = 'pending'").count()
+            seen.append((step, status, waiting, warehouse.has("fact_sales")))
+
+        new = {"till": F.expr("crc32(cast(transaction_id as binary)) % 7"), "channel": F.substring("payment_method", 1, 1), "promo": F.col("store_id"), "note": F.col("product_id")}
+        run_batch(warehouse, _write_raw(m, **new), AS_OF, 1, *m.days, work=m.work, regions=REGIONS)
+        told("run")
+        resume_batch(warehouse, AS_OF, DECIDED, 1, *m.days, work=m.work, regions=REGIONS)
+        told("asked")
+        warehouse.log("schema_decisions").append(_decisions(warehouse.log("schema_approval_queue").read()))
+        resume_batch(warehouse, AS_OF, DECIDED, 1, *m.days, work=m.work, regions=REGIONS)
+        told("approved")
+        return warehouse, m.spark.createDataFrame(seen, "step string, status string, waiting bigint, loaded boolean")
+
+    return m.once("held_batch", run)
+
+
+@query
+def o_held_batch(m: RetailModel) -> DataFrame:
+    """The sales that a held batch arrives at once it is approved."""
+    return _as_double(_held_batch(m)[0].table("fact_sales"), "revenue", "discount")
+
+
+@query
+def o_held_steps(m: RetailModel) -> DataFrame:
+    """What each step of the held batch left: run status, open requests, whether sales are loaded, changes by status."""
+    warehouse, steps = _held_batch(m)
+    changes = schema_changes(warehouse).groupBy("table_name", F.col("status").alias("change_status"), "approved_by").agg(F.count(F.lit(1)).alias("changes"))
+    return steps.withColumn("table_name", F.lit("transactions")).join(changes, "table_name")
+
+
 # Layout, files
 
 

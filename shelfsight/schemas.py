@@ -106,6 +106,7 @@ LOGS = {
         "queue_id bigint, batch_id string, table_name string, action string, reason string, decision_json string, "
         "status string, created_at timestamp"
     ),
+    "schema_decisions": _struct("queue_id bigint, status string, decided_at timestamp"),
     "run_events": _struct(
         "run_id bigint, pipeline_name string, event_time timestamp, status string, rows_processed bigint, "
         "rows_quarantined bigint, error_message string"

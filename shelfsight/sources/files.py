@@ -142,7 +142,7 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return place.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
-VALID, QUARANTINED = "valid", "quarantined"
+VALID, QUARANTINED, HELD = "valid", "quarantined", "held"
 _SPLIT = [T.StructField("snapshot", T.StringType()), T.StructField("state", T.StringType())]
 
 
@@ -165,12 +165,20 @@ def write_snapshot(df: DataFrame, root: str, table: str, taken_at: datetime) ->
     return target
 
 
-def landed(spark: SparkSession, root: str, table: str, at: datetime) -> DataFrame | None:
-    """The valid rows of one run with all their columns; None when it kept nothing."""
-    path = f"{_snapshot(root, table, at)}/state={VALID}"
+def landed(spark: SparkSession, root: str, table: str, at: datetime, state: str = VALID) -> DataFrame | None:
+    """The valid (or held) rows of one run with all their columns; None when it has none."""
+    path = f"{_snapshot(root, table, at)}/state={state}"
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
+def release(spark: SparkSession, root: str, table: str, at: datetime) -> None:
+    """Held rows of a run become valid ones. What stops halfway can be done again."""
+    rows = landed(spark, root, table, at, HELD)
+    if rows is not None:
+        write_snapshot(rows, root, table, at)
+        remove(spark, f"{_snapshot(root, table, at)}/state={HELD}")
+
+
 def read_snapshots(spark: SparkSession, root: str, table: str, schema: T.StructType) -> DataFrame:
     """The valid rows of all snapshots of a table, with ``snapshot_ts`` recovered from the directory name."""
     df = spark.read.schema(T.StructType([*schema.fields, *_SPLIT])).parquet(f"{root}/{table}").where(F.col("state") == VALID)

@@ -92,3 +92,59 @@ def test_failure_is_logged(warehouse, tmp_path):
 def test_retrain_without_stock_logs_nothing(warehouse, work):
     assert flow.retrain(warehouse, datetime(2024, 7, 1), work).count() == 0
     assert warehouse.log("ml_reasoning_log").read().count() == 0
+
+
+def drifted(folder, columns):
+    write_raw(folder)
+    first, *lines = (folder / "transactions.csv").read_text().splitlines()
+    values = [",".join(f"{k * 10 + i % 7}" for k in range(len(columns))) for i in range(len(lines))]
+    (folder / "transactions.csv").write_text("\n".join([",".join([first, *columns]), *(f"{a},{b}" for a, b in zip(lines, values))]) + "\n")
+
+
+def status_of(warehouse, run_id):
+    return ops.run_log(warehouse.log("run_events").read()).where(F.col("run_id") == run_id).first()["status"]
+
+
+def decided(warehouse, status, at):
+    queue = warehouse.log("schema_approval_queue").read()
+    warehouse.log("schema_decisions").append(queue.select("queue_id", F.lit(status).alias("status"), F.lit(at).alias("decided_at")))
+
+
+def test_a_drifted_batch_is_held_then_approved_then_loaded(warehouse, tmp_path):
+    at, later = datetime(2024, 7, 1), datetime(2024, 7, 2)
+    drifted(tmp_path / "raw", ["n1", "n2", "n3", "n4"])
+    for _ in range(2):  # a second try asks no second time
+        result = run(warehouse, tmp_path / "raw", 1, at)
+        assert result.held == ("transactions",) and status_of(warehouse, 1) == "held" and not warehouse.has("fact_sales")
+        assert warehouse.log("schema_change_log").read().count() == 4
+        assert rows(flow.requests(warehouse), "table_name", "status") == [("transactions", "pending")]
+    assert flow.resume_batch(warehouse, at, later, 1, FIRST, LAST).held == ("transactions",) and not warehouse.has("fact_sales")
+    decided(warehouse, "approved", later)
+    done = flow.resume_batch(warehouse, at, later, 1, FIRST, LAST)
+    assert not done.held and done.report["initial_rows"] == 42 and warehouse.table("fact_sales").count() == 41
+    assert rows(ops.run_log(warehouse.log("run_events").read()), "status", "rows_quarantined") == [("success", 1)]
+    assert {r["status"] for r in flow.schema_changes(warehouse).collect()} == {"approved"}
+    assert rows(flow.quarantine_log(warehouse), "table_name") == [("transactions",)]
+
+
+def test_a_refused_batch_stays_apart_and_an_old_one_is_not_loaded_after_a_newer(warehouse, tmp_path):
+    at, later = datetime(2024, 7, 1), datetime(2024, 7, 3)
+    drifted(tmp_path / "raw", ["n1", "n2", "n3", "n4"])
+    run(warehouse, tmp_path / "raw", 1, at)
+    decided(warehouse, "rejected", later)
+    assert flow.resume_batch(warehouse, at, later, 1, FIRST, LAST).held == ("transactions",)
+    assert status_of(warehouse, 1) == "rejected" and not warehouse.has("fact_sales")
+    write_raw(tmp_path / "known")
+    assert not run(warehouse, tmp_path / "known", 2, datetime(2024, 7, 2)).held
+    decided(warehouse, "approved", datetime(2024, 7, 4))
+    with pytest.raises(ValueError, match="later"):
+        flow.resume_batch(warehouse, at, later, 1, FIRST, LAST)
+    with pytest.raises(ValueError, match="no batch"):
+        flow.resume_batch(warehouse, datetime(2023, 1, 1), later, 9, FIRST, LAST)
+
+
+def test_one_sure_new_column_needs_no_approval(warehouse, tmp_path):
+    drifted(tmp_path / "raw", ["loyalty_points"])
+    result = run(warehouse, tmp_path / "raw", 1, datetime(2024, 7, 1))
+    log = rows(warehouse.log("schema_change_log").read(), "column_name", "status")
+    assert result.held == () and warehouse.table("fact_sales").count() == 41 and log == [("loyalty_points", "auto_approve")]
