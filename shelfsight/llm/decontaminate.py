@@ -7,8 +7,8 @@ one step for all phrases at a time; their occurrences are located by stepping ba
 merged into removal spans.
 
 A phrase is a window of ``WINDOW`` consecutive words of a benchmark item, or the whole item if it has fewer words (but not
-none). Documents are never cut at a shard border. The benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` characters
-(or one item) of it; more blocks are further steps over the same rows, each adding what it finds. A step is written to the shared
+none). Documents are never cut at a shard border; a shard also ends with its Arrow batch. The benchmark is broadcast in blocks of at most ``BLOCK_CHARS`` characters
+(or one item) of it, as numbered words and ends of windows (``Windows``); more blocks are further steps over the same rows, each adding what it finds. A step is written to the shared
 folder and its broadcast is destroyed before the next block is read, so the driver holds one block at a time.
 
 Defined results: null and empty texts have no words and no hits; items without words and null texts are never found; equal
@@ -18,8 +18,9 @@ items are found together; an item with a null id is hit and removed as any other
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, count
 
 import numpy as np
@@ -34,7 +35,7 @@ from .common import let_go, saved, schema_of
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<first_word:int,end_word:int,start:int,end:int>>"
 
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -47,6 +48,34 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
+class Windows:
+    """Windows of items over numbered words, ordered by their words from the last to the first.
+
+    The words stand once, item after item; a window is its end and its length there, with its item. So a block takes about 20
+    bytes a word beside its vocabulary, and 60 more while it is put in order.
+    """
+
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW) -> None:
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        text, sizes = array("i"), array("q")
+        self.items: list[str | None] = []
+        for item, words in items:
+            self.items.append(item)
+            sizes.append(len(words))
+            text.extend(map(number.__getitem__, words))
+        self.vocabulary, self.text = list(number), np.array(text, "i4")
+        size = np.array(sizes, "i8")
+        times = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        self.owner = np.repeat(np.arange(len(size), dtype="i4"), times)
+        self.length = np.minimum(size, window).astype("i4")[self.owner]
+        first = np.cumsum(size) - size - np.cumsum(times) + times
+        self.end = (first[self.owner] + np.arange(len(self.owner)) + self.length).astype("i4")
+        if len(self.end):
+            words = (np.where(k < self.length, self.text[np.maximum(self.end - 1 - k, 0)], -1) for k in range(int(self.length.max())))
+            order = np.lexsort([*words][::-1])
+            self.end, self.length, self.owner = self.end[order], self.length[order], self.owner[order]
+
+
 class Ranks:
     """Ones before a place in a bit vector."""
 
@@ -158,23 +187,28 @@ class FMIndex:
         stored = sampled[order]
         self.marked, self.stored = Ranks(stored), order[stored]
 
-    def search(self, phrases: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For phrases that occur: their number and the interval of their suffixes."""
-        numbered = [(k, [self.number.get(w, 0) for w in phrase]) for k, phrase in enumerate(phrases)]
-        numbered = [(k, p) for k, p in numbered if all(p)]
-        longest = max((len(p) for _, p in numbered), default=0)
-        which = np.array([k for k, _ in numbered], "i8")
-        words = np.array([[0] * (longest - len(p)) + p for _, p in numbered], "i8").reshape(len(which), longest)
+    def search(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For windows that occur: their number and the interval of their suffixes.
+
+        Only the vocabulary is looked up word by word. A window with a word that is not in the shard is left out before the
+        first step, and windows that end alike take their common steps once: they stand beside each other.
+        """
+        text = np.fromiter((self.number.get(w, 0) for w in windows.vocabulary), "i8", len(windows.vocabulary))[windows.text]
+        missing = np.concatenate([[0], np.cumsum(text == 0)])
+        which = np.flatnonzero(missing[windows.end] == missing[windows.end - windows.length])
+        end, length = windows.end[which], windows.length[which]
         low, high = np.zeros(len(which), "i8"), np.full(len(which), self.size, "i8")
-        active = np.arange(len(which))
-        for column in range(longest - 1, -1, -1):
-            symbol = words[active, column]
-            more = symbol > 0
-            step, symbol = active[more], symbol[more]
-            low[step] = self.below[symbol] + self.last.rank(symbol, low[step])
-            high[step] = self.below[symbol] + self.last.rank(symbol, high[step])
-            active = active[low[active] < high[active]]
-        found = np.flatnonzero(low < high) if longest else active
+        active, step = np.arange(len(which)), 0
+        while len(active):
+            step += 1
+            state = np.stack([text[end[active] - step], low[active], high[active]])
+            fresh = np.append(True, (state[:, 1:] != state[:, :-1]).any(0))
+            symbol, a, b = state[:, fresh]
+            node = np.cumsum(fresh) - 1
+            low[active] = (self.below[symbol] + self.last.rank(symbol, a))[node]
+            high[active] = (self.below[symbol] + self.last.rank(symbol, b))[node]
+            active = active[(low[active] < high[active]) & (length[active] > step)]
+        found = np.flatnonzero(low < high)
         return which[found], low[found], high[found]
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -189,34 +223,24 @@ class FMIndex:
         return self.stored[self.marked.ones(rows)] + steps
 
 
-def windows_of(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[str]]:
-    """Phrases with the ids of the items that hold them, none for an item without an id."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            ids = found.setdefault(tuple(words[at : at + window]), set())
-            if item is not None:
-                ids.add(item)
-    return found
-
-
-def search_shard(documents: list[list[bytes]], phrases: list[tuple[bytes, ...]], items: list[set[str]]) -> list[tuple[list[str], list[tuple[int, int]]]]:
+def search_shard(documents: list[list[bytes]], windows: Windows) -> list[tuple[list[str], list[tuple[int, int]]]]:
     """For each document: the items found in it, and the merged spans of its words."""
     result: list[tuple[list[str], list[tuple[int, int]]]] = [([], []) for _ in documents]
     index = FMIndex(documents)
-    which, low, high = index.search(phrases)
+    which, low, high = index.search(windows)
     if not len(which):
         return result
-    times = high - low
-    first = np.repeat(low, times)
-    row = first + np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times)
-    phrase, position = np.repeat(which, times), index.locate(row)
+    length = windows.length[which]
+    # Equal windows stand beside each other and are located once.
+    first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (length[1:] != length[:-1])))
+    owners = np.split(windows.owner[which], first[1:])
+    low, length, times = low[first], length[first], (high - low)[first]
+    row = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+    phrase, position = np.repeat(np.arange(len(first)), times), index.locate(row)
     document = np.searchsorted(index.starts, position, "right") - 1
-    length = np.array([len(p) for p in phrases], "i8")[phrase]
     for d, p in np.unique(np.stack([document, phrase], 1), axis=0).tolist():
-        result[d][0].extend(items[p])
-    cover = np.bincount(position, minlength=index.size + 1) - np.bincount(position + length, minlength=index.size + 1)
+        result[d][0].extend(windows.items[k] for k in owners[p].tolist() if windows.items[k] is not None)
+    cover = np.bincount(position, minlength=index.size + 1) - np.bincount(position + length[phrase], minlength=index.size + 1)
     inside = np.concatenate([[0], np.cumsum(cover) > 0, [0]]).astype("i1")
     edge = np.flatnonzero(np.diff(inside))
     for start, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -269,26 +293,25 @@ def find(docs: DataFrame, keep: list[str], benchmark: DataFrame, text: str = "te
     items, blocks = items_of(benchmark, item_id, item_text, block_chars)
     told = None
     for block in blocks_of(items, blocks):
-        told = spark.sparkContext.broadcast(windows_of(block, window))
+        told = spark.sparkContext.broadcast(Windows(((item, words_of(text)) for item, text in block), window))
         found = found.mapInArrow(_searcher(told, at_text, len(source.columns), arrow, shard_words), out)
         if blocks > 1:
             found = saved(found, "decontaminated")
             told.destroy()
     if told is None:  # an empty block counts the words where there is no benchmark
-        found = found.mapInArrow(_searcher(spark.sparkContext.broadcast({}), at_text, len(source.columns), arrow, shard_words), out)
+        found = found.mapInArrow(_searcher(spark.sparkContext.broadcast(Windows([])), at_text, len(source.columns), arrow, shard_words), out)
     return found.select(*keep, *(f.name for f in out.fields[len(source.columns) :]))
 
 
 def _searcher(block, at_text: int, width: int, schema: pa.Schema, shard_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        phrases = list(block.value)
-        items = [block.value[p] for p in phrases]
+        windows = block.value
 
         def result(piece: pa.RecordBatch, documents: list[list[bytes]]) -> pa.RecordBatch:
             texts, earlier_items, earlier_spans = (piece.column(k).to_pylist() for k in (at_text, width + 2, width + 3))
             columns: list[list] = [[], [], [], []]
-            for text, words, old, old_spans, (new, spans) in zip(texts, documents, earlier_items, earlier_spans, search_shard(documents, phrases, items)):
+            for text, words, old, old_spans, (new, spans) in zip(texts, documents, earlier_items, earlier_spans, search_shard(documents, windows)):
                 spans = merged(spans + [(s["first_word"], s["end_word"]) for s in old_spans or []])
                 values = (len(words), sum(b - a for a, b in spans), sorted({*new, *(old or [])}), _with_places(text, spans))
                 for column, value in zip(columns, values):

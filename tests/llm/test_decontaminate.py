@@ -57,8 +57,9 @@ def test_index_counts_and_locates():
     documents += [documents[3], [], [b"a"] * 50]
     index = d.FMIndex(documents)
     phrases = [tuple(dice.choice([b"a", b"b", b"c", b"z"]) for _ in range(dice.randrange(1, 6))) for _ in range(80)]
-    which, low, high = index.search(phrases)
-    got = {int(k): sorted(index.locate(np.arange(a, b)).tolist()) for k, a, b in zip(which, low, high)}
+    windows = d.Windows(enumerate(map(list, phrases)))
+    which, low, high = index.search(windows)
+    got = {int(windows.owner[k]): sorted(index.locate(np.arange(a, b)).tolist()) for k, a, b in zip(which, low, high)}
     for k, phrase in enumerate(phrases):
         want = [int(start) + at for start, words in zip(index.starts, documents) for at in range(len(words) - len(phrase) + 1) if tuple(words[at : at + len(phrase)]) == phrase]
         assert got.get(k, []) == sorted(want)
@@ -90,6 +91,26 @@ def test_operator_equals_brute_force(spark):
             assert all((s.start, s.end) == (places[s.first_word][0], places[s.end_word - 1][1]) for s in r.spans)
 
 
+def test_random_items_equal_brute_force():
+    dice = random.Random(7)
+    for _ in range(40):
+        texts = [" ".join(dice.choice("abcd") for _ in range(dice.randrange(60))) for _ in range(8)]
+        items = [(str(k), " ".join(dice.choice("abcdz") for _ in range(dice.randrange(9)))) for k in range(30)] + [(None, texts[0]), ("30", texts[1]), ("31", texts[1])]
+        window = dice.randrange(1, 12)
+        windows = d.Windows(((k, d.words_of(t)) for k, t in items), window)
+        for text, (found, spans) in zip(texts, d.search_shard([d.words_of(t) for t in texts], windows)):
+            assert sorted(set(found)) == brute(text, [i for i in items if i[0] is not None], window)[2]
+            assert {w for a, b in spans for w in range(a, b)} == brute(text, items, window)[1]
+
+
+def test_memory_of_a_block():
+    words = [b"%d" % k for k in range(50_000)]
+    dice = random.Random(8)
+    windows = d.Windows([(str(k), dice.choices(words, k=1000)) for k in range(300)])
+    assert len(windows.end) == 300 * 991
+    assert sum(a.nbytes for a in (windows.text, windows.end, windows.length, windows.owner)) <= 20 * 300_000
+
+
 def test_digest_cut_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "é a Short item b"), (2, "clean")], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
