@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, shared_folder
@@ -37,6 +37,8 @@ ARCHIVE_BYTES = 256 << 20
 CHUNK = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+# Schemes of Hadoop's file systems, and the names that Arrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "s3": "s3", "hdfs": "hdfs", "viewfs": "viewfs", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 FILES = "path string, index string, records long"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -119,24 +121,49 @@ def header(head: bytes) -> dict[str, str]:
     return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:] if line)}
 
 
+def arrow_uri(uri: str) -> str:
+    """A folder as Hadoop names it, under the scheme that Arrow has for its file system."""
+    scheme, mark, rest = uri.partition(":")
+    if not mark or "/" in scheme:
+        return uri
+    if scheme == "file":
+        return "/" + rest.lstrip("/")
+    if scheme not in SCHEMES:
+        raise ValueError(f"archives can't be written to {scheme}: of {uri}; known are {', '.join(sorted(SCHEMES))} and file")
+    return f"{SCHEMES[scheme]}:{rest}"
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder's path there.
+
+    Credentials and endpoints come from the environment of the executors (AWS_*, AZURE_*, a Hadoop client for hdfs).
+    """
+    return fs.FileSystem.from_uri(arrow_uri(uri))
+
+
+def _digest(html: Column) -> Column:
+    return F.sha1(F.coalesce(html.cast("string"), F.lit("")).cast("binary"))
+
+
 def decisions(pages: DataFrame, page_id: str, html: str, least_bytes: int) -> DataFrame:
-    """(page, revisits): for pages that revisit others, the hex digests and ids of the responses."""
-    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    drawn = pages.select(F.col(page_id).alias("page"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least_bytes)
-    drawn = saved(drawn, "payloads")
-    heads = drawn.groupBy("digest", "n").agg(F.min("page").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
-    revisits = drawn.join(heads, ["digest", "n"]).where("not (page <=> first)")
-    return saved(revisits.groupBy("page").agg(F.collect_set(F.struct("digest", "first")).alias("revisits")), "revisits")
+    """(page, digest, first): a row for each page and payload that revisits, with the id of its response."""
+    size = F.octet_length(F.coalesce(F.col(html).cast("string"), F.lit("")))
+    drawn = pages.select(F.col(page_id).cast("long").alias("page"), _digest(F.col(html)).alias("digest"), size.alias("n")).where(F.col("n") >= least_bytes)
+    drawn = saved(drawn.select("page", "digest"), "payloads")
+    heads = drawn.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("c")).where("c > 1 and first is not null")
+    revisits = drawn.join(heads, "digest").where("not (page <=> first)")
+    return saved(revisits.groupBy("page", "digest").agg(F.first("first").alias("first")), "revisits")
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes each page as a record of an archive that is a single gzip stream; returns the files."""
     told = decisions(pages, page_id, html, least_bytes)
-    own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
-    rows = own.join(told, own["page_id"].eqNullSafe(told["page"]), "left").select("page_id", "url", "html", "revisits")
+    own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), _digest(F.col(html)).alias("own_digest"))
+    # By page and payload, so that a null or repeated id meets its own response only and spreads by its payloads.
+    rows = own.join(told, own["page_id"].eqNullSafe(told["page"]) & (own["own_digest"] == told["digest"]), "left").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = store(folder)
         stream, path, held, count, files = None, "", 0, 0, []
 
         def close() -> None:
@@ -146,11 +173,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
         for batch in batches:
             for k in range(batch.num_rows):
-                page, target, text, revisits = (batch.column(c)[k].as_py() for c in range(4))
+                page, target, text, first = (batch.column(c)[k].as_py() for c in range(4))
                 payload = (text or "").encode("utf-8", "surrogatepass")
                 digest = payload_digest(payload)
-                key = base64.b32decode(digest).hex() if revisits else ""
-                first = next((r["first"] for r in revisits or () if r["digest"] == key), None)
                 if stream is None:
                     system.create_dir(base, recursive=True)
                     path = f"{base}/{uuid.uuid4().hex}.warc.gz"
@@ -180,7 +205,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
     """Rewrites archives with a gzip member for each record and a sidecar index; returns the new files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = store(folder)
         for batch in batches:
             for source in batch.column(0).to_pylist():
                 path = f"{base}/{uuid.uuid4().hex}.member.warc.gz"
@@ -226,7 +251,7 @@ def read(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     names = [part.split()[0] for part in RECORDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = fs.FileSystem.from_uri(folder)
+        system, _ = store(folder)
         for batch in batches:
             for path, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with system.open_input_stream(index, compression=None) as lines:

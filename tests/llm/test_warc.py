@@ -5,6 +5,7 @@ import gzip
 import hashlib
 from collections import defaultdict
 
+import pytest
 from pyarrow import fs
 
 from shelfsight.llm import warc
@@ -78,3 +79,21 @@ def test_a_member_written_twice_inflates_as_one_stream(tmp_path):
             heads.append(warc.header(head))
             b"".join(inflated.pieces(int(heads[-1]["content-length"]) + 4))
     assert [h["x-page-id"] for h in heads] == ["1", "2"]
+
+
+def test_folders_as_hadoop_names_them():
+    for uri in ("file:/a/b c", "file:///a/b c", "/a/b c"):
+        system, path = warc.store(uri)
+        assert (type(system), path) == (fs.LocalFileSystem, "/a/b c"), uri
+    with pytest.raises(ValueError, match="wasb"):
+        warc.arrow_uri("wasb://a@b/c")
+    for uri, want in (("s3a://bucket/shared/x", "s3://bucket/shared/x"), ("hdfs://node:8020/x", "hdfs://node:8020/x"), ("gs://bucket/x", "gs://bucket/x"), ("abfss://c@a.dfs.core.windows.net/x", "abfss://c@a.dfs.core.windows.net/x")):
+        assert warc.arrow_uri(uri) == want
+
+
+def test_a_hot_id_keeps_a_response_for_each_payload(spark):
+    rows = [(None if k % 3 else 7, "u", f"body {k % 400}") for k in range(2400)] + [(k, "v", f"body {k}") for k in range(400)]
+    pages = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    told = warc.decisions(pages, "page_id", "html", 0)
+    assert told.count() == told.select("page", "digest").distinct().count()
+    assert taken(warc.round_trip(pages)) == brute(rows)
