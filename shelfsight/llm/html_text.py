@@ -4,7 +4,9 @@ A page is cut into blocks at block-level tags. The first pass labels each block
 footers, sidebars, forms, adverts, notices and comments, told by tag, role, class or id), by its link density, its length
 and its density of stop words. Blocks that are too short or too poor in stop words to tell stay open. In the second pass
 these take the label of the nearest decided neighbour: one in the same container goes before others, then the nearer one;
-a heading looks ahead only.
+a heading looks ahead only. A link holds all blocks up to its end, so a card that is a link as a whole is one; a link that is
+never closed ends with its block, and an anchor without a target is none around blocks. A short block outside <article> and
+<main> with a copyright sign never counts as text by itself: it goes if it reads as a notice and follows its neighbours otherwise.
 
 Stop words tell nothing in other languages, in tables, lists and code. So a long run of open blocks (``LONG_RUN``) never follows
 what stands in menus, footers and the like: it is text where no block of the page is good, and follows the other neighbours
@@ -71,6 +73,10 @@ _BLOCKS = _CONTAINERS | _HEADINGS | frozenset("p li td th dt dd pre hr address c
 _RAW = re.compile(r"<(script|style|textarea|title|noscript|iframe|template)\b", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
+#: What a notice of rights says, beside a sign that any text may hold.
+_NOTICE = re.compile(r"^(?:copyright\s*)?\N{COPYRIGHT SIGN}|\N{COPYRIGHT SIGN}\s*(?:copyright\s*)?(?:19|20)\d\d|(?:19|20)\d\d\W{0,3}\N{COPYRIGHT SIGN}|all rights reserved", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -143,7 +149,8 @@ class _Reader:
         self.stack: list[tuple[str, int]] = [("", 0)]  # tag, number
         self.containers = [Container("", 0, False, False, False)]
         self.pieces: list[str] = []
-        self.linked, self.in_link, self.heading, self.breaks = 0, False, False, 0
+        self.linked, self.in_link, self.leads, self.heading, self.breaks = 0, False, False, False, 0
+        self.anchor = (-1, False)  # where the next tag of a link stands, and whether it closes one
 
     def flush(self) -> None:
         text = " ".join(entities.unescape("".join(self.pieces)).split()) if self.pieces else ""
@@ -172,6 +179,13 @@ class _Reader:
                     break
         self.heading = False
 
+    def closes(self, at: int) -> bool:
+        """Whether the link that is open here is closed at all; one that never is ends with its block."""
+        if self.anchor[0] < at:
+            found = _ANCHOR.search(self.page, at)
+            self.anchor = (found.start(), bool(found[1])) if found else (len(self.page), False)
+        return self.anchor[1]
+
     def read(self) -> list[Block]:
         page, at = self.page, 0
         while token := _TOKEN.match(page, at):
@@ -190,7 +204,7 @@ class _Reader:
                 if self.breaks > 1:
                     self.flush()
             elif tag == "a":
-                self.in_link = not closing
+                self.in_link, self.leads = not closing, not closing and bool(_HREF.search(attributes))
             elif tag in _SKIPPED_TAGS:
                 if not closing and not attributes.endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -198,7 +212,7 @@ class _Reader:
                         at = end.end() if end else len(page)
             elif tag in _BLOCKS:
                 self.flush()
-                self.in_link = False
+                self.in_link = self.in_link and self.leads and self.closes(at)
                 self.close(tag) if closing else self.open(tag, attributes)
         self.flush()
         return self.placed()
@@ -230,7 +244,8 @@ def first_pass(blocks: list[Block], stop_words: frozenset[str]) -> None:
         if block.outside or block.linked > LINK_DENSITY * size:
             block.label = "bad"
         elif "\N{COPYRIGHT SIGN}" in block.text and size < 2 * LONG_BLOCK and not block.main:
-            block.label = "bad"
+            if _NOTICE.search(block.text):
+                block.label = "bad"
         elif size >= LONG_BLOCK and not block.heading:
             words = _WORDS.findall(block.text.lower())
             if sum(w in stop_words for w in words) >= STOP_DENSITY * max(1, len(words)):

@@ -27,6 +27,24 @@ def test_inside_an_article():
     assert main_text(page(f'<article><header><h1>A title</h1></header><p>{LONG}</p><div class="ad">Buy the thing of the day</div><p>Short.</p><p>{LONG}2</p></article>')) == WANT
 
 
+def test_cards_that_are_links_as_a_whole():
+    card = f'<a href="/x"><div><h3>Another title</h3><p>{LONG}</p><p>More of it</p></div></a>'
+    for cards in (card * 3, f"<div class=teasers>{card * 3}</div>", f"<ul>{f'<li>{card}</li>' * 3}</ul>"):
+        for body in (f"<article>{ART}</article>{cards}", f"<div class=content>{ART}</div>{cards}", f"{cards}<div class=content>{ART}</div>"):
+            assert main_text(page(body)) == WANT, body
+    for start in ("<a href=/x>", "<a href=/x><a href=/y>", "<a name=top>"):  # never closed, or no link
+        assert main_text(page(f"<div><p>{start}</p>{ART}</div>")) == WANT, start
+    assert main_text(page(f"<a name=top><article>{ART}</article></a>")) == WANT
+    assert main_text("<p><a href=/x>y" * 20_000 + f"</p>{ART}") == WANT
+
+
+def test_copyright_signs():
+    told = "The sign \N{COPYRIGHT SIGN} stands before a year."
+    assert main_text(page(f"<div><h1>A title</h1><p>{LONG}</p><p>{told}</p><p>{LONG}2</p></div>")) == WANT.replace("Short.", told)
+    for notice in ("&copy; The Miller", "Copyright &copy; 2024 The Miller", "The Miller &copy; 2024", "The Miller, 2024 &copy;", "&copy The Miller. All rights reserved."):
+        assert main_text(page(f"<div>{ART}<p>{notice}</p></div>")) == WANT, notice
+
+
 def test_containers_around_the_whole_text():
     for tag in (
         '<form id="aspnetForm" action="x">', '<div id=page class="site no-sidebar">', '<div class="header-fixed">', '<div class="wrap has-comments with-menu">', '<div class="menu-layout">', '<div class="layout sidebar-left">',
