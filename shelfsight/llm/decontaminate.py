@@ -21,7 +21,7 @@ import re
 from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import let_go, saved, schema_of
+from .common import give_back, let_go, saved, schema_of
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -138,16 +138,15 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     ends = text == 0
-    rank = text + int(ends.sum())
+    rank = text.astype("i4") + np.int32(ends.sum())
     rank[ends] = np.arange(int(ends.sum()))
     bits = int(rank.max()).bit_length()
     width = max(1, 62 // max(1, bits))  # words of which one number holds the order
     key = np.zeros(n, "i8")
     for k in range(min(width, n)):
-        key[: n - k] |= rank[k:] << (bits * (width - 1 - k))
-    order = np.argsort(key)
-    at, open_ = order, np.arange(n)
-    rank = np.empty(n, "i8")
+        key[: n - k] |= rank[k:].astype("i8") << (bits * (width - 1 - k))
+    order = np.argsort(key).astype("i4")
+    at, open_ = order, np.arange(n, dtype="i4")
     key = key[order]
     while True:
         fresh = np.ones(len(at), bool)
@@ -158,29 +157,38 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         if not len(open_):
             return order
         at = order[open_]
-        key = rank[at] * n + rank[np.minimum(at + width, n - 1)]
+        key = rank[at].astype("i8") * n + rank[np.minimum(at + width, n - 1)]
         by = np.argsort(key)
         at, key = at[by], key[by]
         order[open_] = at  # the ties of one rank fill the places from that rank on
         width *= 2
 
 
+class Shard:
+    """Documents as numbers of their words, each ended by 0; the words themselves stand once."""
+
+    def __init__(self, documents: Iterable[list[bytes]] = ()) -> None:
+        self.number: dict[bytes, int] = defaultdict(count(1).__next__)
+        self.text, self.starts = array("i"), array("q")
+        for words in documents:
+            self.add(words)
+
+    def add(self, words: list[bytes]) -> None:
+        self.starts.append(len(self.text))
+        self.text.extend(map(self.number.__getitem__, words))
+        self.text.append(0)
+
+
 class FMIndex:
-    """Index over the words of a list of documents."""
-
-    def __init__(self, documents: list[list[bytes]]) -> None:
-        number: dict[bytes, int] = defaultdict(count(1).__next__)
-        lengths = np.array([len(words) for words in documents], "i8")
-        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype("i8")
-        inside = np.ones(int(lengths.sum()) + len(documents), bool)
-        inside[self.starts + lengths] = False
-        text = np.zeros(len(inside), "i8")
-        text[inside] = np.fromiter(map(number.__getitem__, chain.from_iterable(documents)), "i8", int(lengths.sum()))
-        self.number = dict(number)
+    """Index over the words of a shard."""
+
+    def __init__(self, shard: Shard) -> None:
+        self.number, self.starts = dict(shard.number), np.array(shard.starts, "i8")
+        text = np.array(shard.text, "i4")
         order = suffix_order(text)
         self.size = len(text)
-        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(number) + 1))]).astype("i8")
-        self.last = WaveletMatrix(text[order - 1].astype("i4"), len(number))
+        self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.number) + 1))]).astype("i8")
+        self.last = WaveletMatrix(text[order - 1], len(self.number))
         sampled = np.zeros(self.size, bool)
         sampled[::SAMPLE] = True
         sampled[self.starts] = True
@@ -223,10 +231,10 @@ class FMIndex:
         return self.stored[self.marked.ones(rows)] + steps
 
 
-def search_shard(documents: list[list[bytes]], windows: Windows) -> list[tuple[list[str], list[tuple[int, int]]]]:
+def search_shard(shard: Shard, windows: Windows) -> list[tuple[list[str], list[tuple[int, int]]]]:
     """For each document: the items found in it, and the merged spans of its words."""
-    result: list[tuple[list[str], list[tuple[int, int]]]] = [([], []) for _ in documents]
-    index = FMIndex(documents)
+    result: list[tuple[list[str], list[tuple[int, int]]]] = [([], []) for _ in shard.starts]
+    index = FMIndex(shard)
     which, low, high = index.search(windows)
     if not len(which):
         return result
@@ -308,12 +316,13 @@ def _searcher(block, at_text: int, width: int, schema: pa.Schema, shard_words: i
         let_go()
         windows = block.value
 
-        def result(piece: pa.RecordBatch, documents: list[list[bytes]]) -> pa.RecordBatch:
+        def result(piece: pa.RecordBatch, shard: Shard) -> pa.RecordBatch:
             texts, earlier_items, earlier_spans = (piece.column(k).to_pylist() for k in (at_text, width + 2, width + 3))
             columns: list[list] = [[], [], [], []]
-            for text, words, old, old_spans, (new, spans) in zip(texts, documents, earlier_items, earlier_spans, search_shard(documents, windows)):
+            sizes = (np.diff([*shard.starts, len(shard.text)]) - 1).tolist()
+            for text, size, old, old_spans, (new, spans) in zip(texts, sizes, earlier_items, earlier_spans, search_shard(shard, windows)):
                 spans = merged(spans + [(s["first_word"], s["end_word"]) for s in old_spans or []])
-                values = (len(words), sum(b - a for a, b in spans), sorted({*new, *(old or [])}), _with_places(text, spans))
+                values = (size, sum(b - a for a, b in spans), sorted({*new, *(old or [])}), _with_places(text, spans))
                 for column, value in zip(columns, values):
                     column.append(value)
             arrays = [c.cast(f.type) for c, f in zip(piece.columns[:width], schema)]
@@ -321,13 +330,13 @@ def _searcher(block, at_text: int, width: int, schema: pa.Schema, shard_words: i
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         for batch in batches:
-            documents, words, first = [], 0, 0
+            shard, first = Shard(), 0
             for at, text in enumerate(t.as_py() for t in batch.column(at_text)):
-                documents.append(words_of(text))
-                words += len(documents[-1])
-                if words >= shard_words or at + 1 == batch.num_rows:
-                    yield result(batch.slice(first, at + 1 - first), documents)
-                    documents, words, first = [], 0, at + 1
+                shard.add(words_of(text))
+                if len(shard.text) - len(shard.starts) >= shard_words or at + 1 == batch.num_rows:
+                    yield result(batch.slice(first, at + 1 - first), shard)
+                    shard, first = Shard(), at + 1
+            give_back()
 
     return run
 

@@ -55,7 +55,7 @@ def test_index_counts_and_locates():
     dice = random.Random(5)
     documents = [[dice.choice([b"a", b"b", b"c"]) for _ in range(dice.randrange(60))] for _ in range(12)]
     documents += [documents[3], [], [b"a"] * 50]
-    index = d.FMIndex(documents)
+    index = d.FMIndex(d.Shard(documents))
     phrases = [tuple(dice.choice([b"a", b"b", b"c", b"z"]) for _ in range(dice.randrange(1, 6))) for _ in range(80)]
     windows = d.Windows(enumerate(map(list, phrases)))
     which, low, high = index.search(windows)
@@ -98,7 +98,7 @@ def test_random_items_equal_brute_force():
         items = [(str(k), " ".join(dice.choice("abcdz") for _ in range(dice.randrange(9)))) for k in range(30)] + [(None, texts[0]), ("30", texts[1]), ("31", texts[1])]
         window = dice.randrange(1, 12)
         windows = d.Windows(((k, d.words_of(t)) for k, t in items), window)
-        for text, (found, spans) in zip(texts, d.search_shard([d.words_of(t) for t in texts], windows)):
+        for text, (found, spans) in zip(texts, d.search_shard(d.Shard(d.words_of(t) for t in texts), windows)):
             assert sorted(set(found)) == brute(text, [i for i in items if i[0] is not None], window)[2]
             assert {w for a, b in spans for w in range(a, b)} == brute(text, items, window)[1]
 
