@@ -110,3 +110,18 @@ def test_history_at_a_time_with_many_versions_of_one_id(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "_bucket" in plan
     assert scd.customers_at(history, told.limit(0), "who", "at", columns=("city",)).count() == 0
+
+
+def test_a_version_is_not_repeated_for_the_months_it_lasts(spark):
+    """A version open for three thousand years, beside many short ones; facts, versions and their copies meet as in SQL."""
+    history = spark.range(300).selectExpr("id % 3 customer_id", "timestamp'2000-01-01' + make_dt_interval(id) valid_from", "if(id % 7 = 0, null, timestamp'2000-01-05' + make_dt_interval(id)) valid_to", "cast(id as int) version", "concat('c', id) city")
+    history = history.unionByName(spark.sql("select 9L customer_id, timestamp'0001-01-01' valid_from, cast(null as timestamp) valid_to, 1 version, 'Old' city"))
+    history = history.unionByName(history.where("version = 8")).unionByName(spark.sql("select cast(null as bigint) customer_id, timestamp'2000-01-01' valid_from, cast(null as timestamp) valid_to, 1 version, 'x' city"))
+    facts = spark.range(200).selectExpr("id fact", "if(id % 50 = 0, null, if(id % 4 = 3, 9L, id % 4)) who", "if(id = 7, timestamp'3000-01-01', timestamp'1999-12-30' + make_dt_interval(id)) at")
+    found = scd.customers_at(history, facts, "who", "at", columns=("city",), chunk=16)
+    history.createOrReplaceTempView("versions_held")
+    facts.createOrReplaceTempView("facts_held")
+    told = spark.sql("select who, fact, at, version, city from facts_held join versions_held on who = customer_id and at >= valid_from and (valid_to is null or at < valid_to)")
+    assert found.columns == told.columns and found.count() > 500 and rows(found) == rows(told)
+    plan = found._jdf.queryExecution().toString()
+    assert "sequence(" not in plan and "Explode" not in plan and "Broadcast" not in plan
