@@ -132,3 +132,15 @@ def test_scan_puts_severe_first(spark):
         "product_id string, store_id string, confidence double, recommended_reorder int, risk_level string",
     )
     assert [r["risk_level"] for r in stockout.scan_all(scored).collect()] == ["Critical", "High", "Medium", "Low"]
+
+
+def test_the_rounds_run_over_a_table_bounded_by_the_ranges(spark, monkeypatch):
+    """Sixty thousand pairs with values of their own; the rows both learners take are as many as ranges, not as pairs."""
+    seen = []
+    fit = stockout.Stages.fit
+    monkeypatch.setattr(stockout.Stages, "fit", lambda stages, data: seen.append(data.agg(F.count("*"), F.sum("pairs")).first()) or fit(stages, data))
+    many = spark.range(60_000).selectExpr("concat('P', id) product_id", "'S' store_id", "'Toys' category", "cast(id * 37 % 100 as int) current_stock", "id * 11 % 601 / 7.0D avg_qty", "0.0D std_qty")
+    models = stockout.train(many, trees=10, rounds=10)
+    assert len(seen) == 2 and all(rows <= 2 * 32 * 32 and pairs == 60_000 for rows, pairs in seen) and models.rows == 60_000
+    quality = stockout.model_quality(stockout.score(models, many), many).first()
+    assert quality["pairs"] == 60_000 and quality["accuracy"] > 0.9
