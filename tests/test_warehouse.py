@@ -191,3 +191,17 @@ def test_shuffles_grow_with_the_data_and_never_shrink(spark):
         assert fit_shuffles(spark, 1 << 44) == 1 << 16
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shuffles_follow_the_number_of_lines_and_not_their_file(spark, tmp_path):
+    from shelfsight.plans.model import RetailModel
+    from shelfsight.session import TAKEN
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.range(5_000_000).select(F.lit(1).alias("l_orderkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    try:
+        RetailModel(spark, str(tmp_path))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 10
+        assert all(spark.conf.get(name) == limit for name, limit in TAKEN.items())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
