@@ -144,3 +144,15 @@ def test_the_rounds_run_over_a_table_bounded_by_the_ranges(spark, monkeypatch):
     assert len(seen) == 2 and all(rows <= 2 * 32 * 32 and pairs == 60_000 for rows, pairs in seen) and models.rows == 60_000
     quality = stockout.model_quality(stockout.score(models, many), many).first()
     assert quality["pairs"] == 60_000 and quality["accuracy"] > 0.9
+
+
+def test_decisions_of_two_days_are_written_once(spark, feats, work):
+    from shelfsight.plans.model import RetailModel
+    from shelfsight.sources import files
+
+    model = RetailModel.__new__(RetailModel)
+    model.work = type(work)(spark, "two_days")
+    model.spark, model.rule_scores = spark, stockout.rule_score(feats.limit(30))
+    log = model.decision_log
+    assert [r["id"] for r in log.orderBy("timestamp", "product_id", "store_id").collect()] == list(range(1, 61))
+    assert [name.partition("-")[0] for name in files.children(spark, model.work.path)] == ["decisions"]
