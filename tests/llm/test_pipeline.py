@@ -74,6 +74,6 @@ def test_empty_corpus(spark, tmp_path):
 
 def test_names():
     assert sorted(queries.all_queries()) == sorted(
-        ["op1_bpe", "op2_html", "op3_language", "op4_warc", "op5_secrets", "op6_topk", "op7_toxicity", "op8_decontaminate", "op9_token_counts", "op10_ngram_join", "pipeline"]
+        ["op1_bpe", "op2_html", "op3_language", "op4_warc", "op5_secrets", "op6_topk", "op7_toxicity", "op8_decontaminate", "op9_token_counts", "op10_ngram_join", "op11_source_audit", "op12_near_vectors", "op13_vector_codes", "pipeline"]
     )
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "benchmark", "secrets", "tokens"]
