@@ -101,6 +101,20 @@ def test_inventory(spark, star):
     assert facts.unresolved_inventory(stock, star["products"], star["stores"]).first()[0] == 2
 
 
+def test_stock_is_not_sorted_and_unread_dates_of_unknown_pairs_are_left_out(spark, star):
+    stock = spark.createDataFrame(
+        [("S1", "P1", "2024-01-31", 5), ("S1", "P1", None, 6), ("S9", "P1", "n/a", 5), ("S1", "P9", "n/a", 5)],
+        "store_id string, product_id string, date string, stock_level int",
+    )
+    found = facts.fact_inventory(stock, star["products"], star["stores"])
+    assert rows(found, "date_key", "stock_level") == [(20240131, 5), (None, 6)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    known = stock.where("store_id = 'S1'").replace("P9", "P1", "product_id")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        facts.fact_inventory(known, star["products"], star["stores"]).collect()
+
+
 def test_shipment_days_are_full_periods(spark, star):
     sold = sales(spark, star)
     shipments = spark.createDataFrame(
