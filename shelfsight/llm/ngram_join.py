@@ -50,6 +50,7 @@ HOT_SETS, HOT_SHARE = 64, 256
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], "u8")
 _HALF = np.uint64(1 << 63)
+_SHIFT = np.uint64(29)
 
 
 @lru_cache(1)
@@ -64,11 +65,18 @@ def shingles(text: str | None, length: int = SHINGLE) -> np.ndarray:
         return np.empty(0, "u8")
     hashes = np.fromiter(map(_hash_of_word(), words), "u8", len(words))
     parts = min(length, len(words))
-    mixed = np.full(len(words) - parts + 1, parts, "u8")
+    many = len(words) - parts + 1
+    mixed = np.full(many, parts, "u8")
+    # In place, and sorted once: this runs over every text, several times.
     for k in range(parts):
-        mixed = (mixed ^ hashes[k : len(hashes) - parts + 1 + k]) * _ODD[0]
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed * _ODD[1])
+        mixed ^= hashes[k : many + k]
+        mixed *= _ODD[0]
+        mixed ^= mixed >> _SHIFT
+    mixed *= _ODD[1]
+    mixed.sort()
+    fresh = np.ones(many, bool)
+    np.not_equal(mixed[1:], mixed[:-1], out=fresh[1:])
+    return mixed[fresh]
 
 
 def digest(found: np.ndarray) -> bytes:

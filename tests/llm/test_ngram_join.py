@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 from shelfsight.llm import ngram_join
@@ -115,3 +116,13 @@ def test_deals_follow_the_rows(spark, monkeypatch):
     want = sorted(tuple(r) for r in ngram_join.join(docs).collect())
     monkeypatch.setattr(ngram_join, "DEAL_ROWS", 3)
     assert sorted(tuple(r) for r in ngram_join.join(docs).collect()) == want
+
+
+def test_shingles_are_mixed_in_place():
+    text = " ".join(f"w{k % 500} x{k % 499}" for k in range(100_000))
+    assert len(ngram_join.shingles(text)) == len(shingle_set(text))
+    tracemalloc.start()
+    ngram_join.shingles(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 78 * 200_000  # bytes a word, the words included
