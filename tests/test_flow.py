@@ -1,3 +1,4 @@
+import time
 from datetime import date, datetime
 
 import pytest
@@ -6,6 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfsight.operators import ops
 from shelfsight.plans import flow
+from shelfsight.session import fit_shuffles
+from shelfsight.sources import files
+from shelfsight.workspace import Workspace
 
 FIRST, LAST = date(2024, 1, 1), date(2024, 12, 31)
 
@@ -148,3 +152,52 @@ def test_one_sure_new_column_needs_no_approval(warehouse, tmp_path):
     result = run(warehouse, tmp_path / "raw", 1, datetime(2024, 7, 1))
     log = rows(warehouse.log("schema_change_log").read(), "column_name", "status")
     assert result.held == () and warehouse.table("fact_sales").count() == 41 and log == [("loyalty_points", "auto_approve")]
+
+
+def test_released_rows_are_moved_not_written_again(spark, tmp_path):
+    at, root = datetime(2024, 7, 1), str(tmp_path / "landing")
+    kept = spark.range(20).selectExpr("id", "if(id % 5 = 0, 'quarantined', 'held') state").repartition(3)
+    files.write_split(kept, root, "sales", at)
+    snapshot = tmp_path / "landing" / "sales" / f"snapshot={at.strftime(files.STAMP)}"
+    written = {p.name: p.read_bytes() for p in (snapshot / "state=held").glob("part-*")}
+    # An earlier try stopped halfway: one file has moved, of another a copy lies at its target.
+    moved, copied, *_ = sorted(written)
+    files.move(spark, str(snapshot / "state=held" / moved), str(snapshot / "state=valid" / moved))
+    (snapshot / "state=valid" / copied).write_bytes(b"half")
+    for _ in range(2):
+        files.release(spark, root, "sales", at)
+    assert {p.name: p.read_bytes() for p in (snapshot / "state=valid").glob("part-*")} == written
+    assert files.landed(spark, root, "sales", at, files.HELD) is None and files.landed(spark, root, "sales", at, files.QUARANTINED).count() == 4
+    assert rows(files.landed(spark, root, "sales", at), "id") == sorted([(i,) for i in range(20) if i % 5], key=str)
+
+
+def test_a_loaded_batch_leaves_no_staged_table(spark, warehouse, tmp_path):
+    write_raw(tmp_path / "raw")
+    work = Workspace(spark, "staged-once")
+    flow.run_batch(warehouse, str(tmp_path / "raw"), datetime(2024, 7, 1), 1, FIRST, LAST, work=work)
+    left = files.children(spark, work.path)
+    assert left and not [name for name in left if name.startswith("staged_transactions")]
+
+
+def test_packed_text_counts_as_its_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x" * 100)
+    spark.range(100).selectExpr("id").coalesce(1).write.csv(str(tmp_path / "b.csv"), compression="gzip")
+    packed = sum(p.stat().st_size for p in (tmp_path / "b.csv").glob("*.gz"))
+    assert packed and files.text_bytes(spark, str(tmp_path)) == 100 + files.PACKED_TIMES * packed
+
+
+def test_shuffle_files_go_with_their_execution(spark, tmp_path):
+    def held():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    fit_shuffles(spark, 0)
+    before = held()
+    grouped = spark.range(10_000).groupBy(F.expr("id % 100").alias("k")).count()
+    assert grouped.count() == 100
+    grouped.write.parquet(str(tmp_path / "out"))
+    assert [len(grouped.collect()) for _ in range(2)] == [100, 100]  # files that are gone are made again
+    until = time.monotonic() + 20
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not held() - before
