@@ -156,3 +156,30 @@ def test_decisions_of_two_days_are_written_once(spark, feats, work):
     log = model.decision_log
     assert [r["id"] for r in log.orderBy("timestamp", "product_id", "store_id").collect()] == list(range(1, 61))
     assert [name.partition("-")[0] for name in files.children(spark, model.work.path)] == ["decisions"]
+
+
+def test_pairs_alike_in_all_ranges_are_scored_once(spark, feats, models, work, monkeypatch):
+    """Each pair gets what the models say of it alone, though they see fewer rows than there are pairs."""
+    coded = models.regressor.transform(stockout.with_codes(feats, models.codes))
+    alone = models.classifier.transform(coded).select(
+        "product_id", "store_id", stockout.vector_to_array("risk_probability")[1].alias("confidence"), F.col("reorder_prediction").cast("int").alias("recommended_reorder")
+    )
+    seen = []
+    monkeypatch.setattr(work, "save", lambda df, name: seen.append((name, df.count())) or type(work).save(work, df, name))
+    twice = feats.unionByName(feats.withColumn("store_id", F.concat("store_id", F.lit("b"))))
+    scored = stockout.score(models, twice, work)
+    assert seen == [("alike_scores", coded.select(*stockout.BINNED).distinct().count())] and seen[0][1] <= 400 and scored.count() == 800
+    got = scored.select("product_id", F.regexp_replace("store_id", "b$", "").alias("store_id"), "confidence", "recommended_reorder")
+    assert rows(got) == sorted(2 * rows(alone), key=str)
+
+
+def test_ranges_take_two_passes_and_gather_few_values(spark):
+    many = spark.range(0, 50_000, 1, 4).selectExpr("cast(if(id % 9 = 0, null, id % 7) as int) current_stock", "id / 7.0D avg_qty", "0.0D std_qty", "cast(id % 40 as int) category_code")
+    gathered = many.select(*(F.col(c).cast("double").alias(c) for c in stockout.FEATURES)).mapInArrow(stockout._few_values, "column int, value double")
+    assert gathered.count() < 50_000 / 10
+    found = dict(zip(stockout.FEATURES, stockout._ranges(many).getSplitsArray()))
+    inf = float("inf")
+    assert found["current_stock"] == [-inf, *(float(i) for i in range(1, 7)), inf] and found["std_qty"] == [-inf, 0.0, inf]
+    for name in ("avg_qty", "category_code"):
+        cuts = many.select(F.col(name).cast("double").alias(name)).approxQuantile(name, [k / 32 for k in range(1, 32)], stockout.RANK_ERROR)
+        assert found[name] == [-inf, *sorted(set(cuts)), inf]
