@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 from conftest import rows
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from shelfsight.operators import stockout
@@ -183,3 +184,11 @@ def test_ranges_take_two_passes_and_gather_few_values(spark):
     for name in ("avg_qty", "category_code"):
         cuts = many.select(F.col(name).cast("double").alias(name)).approxQuantile(name, [k / 32 for k in range(1, 32)], stockout.RANK_ERROR)
         assert found[name] == [-inf, *sorted(set(cuts)), inf]
+
+
+def test_models_score_in_a_session_that_observed_something(spark, feats):
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    models = stockout.train(feats, trees=3, rounds=2)
+    assert models.classifier is not None and not models.classifier.stages[0].hasSummary and stockout.score(models, feats).count() == 400
