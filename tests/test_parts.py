@@ -125,3 +125,17 @@ def test_a_version_is_not_repeated_for_the_months_it_lasts(spark):
     assert found.columns == told.columns and found.count() > 500 and rows(found) == rows(told)
     plan = found._jdf.queryExecution().toString()
     assert "sequence(" not in plan and "Explode" not in plan and "Broadcast" not in plan
+
+
+def test_tables_of_the_model_are_packed_tightly(spark, tmp_path):
+    from shelfsight.plans.model import RetailModel
+    from shelfsight.sources import files
+
+    spark.range(40).selectExpr("id l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    model = RetailModel(spark, str(tmp_path))
+    names = files.children(spark, model.work.save(spark.range(5), "packed").inputFiles()[0].rpartition("/")[0])
+    assert [n for n in names if n.startswith("part-")] and all(n.endswith(".zstd.parquet") for n in names if n.startswith("part-"))
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    with model.work.lent(spark.range(3), "lent") as lent:
+        assert lent.count() == 3
+    assert not [n for n in files.children(spark, model.work.path) if n.startswith("lent")]
